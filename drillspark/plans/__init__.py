@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each with the SQL that checks it."""
 
-from . import trip_queries  # noqa: F401
+from . import event_queries, metric_queries, table_queries, trip_queries  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

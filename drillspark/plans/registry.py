@@ -52,7 +52,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
 def sum_of(expression: str) -> str:
     """SQL of the exact sum: whole millionths, added as integers."""
-    return f"(CAST(sum(CAST(round_even(({expression}) * 1000000, 0) AS BIGINT)) AS DOUBLE) / 1000000)"
+    return f"(CAST(sum(CAST(round_even(CAST({expression} AS DOUBLE) * 1000000, 0) AS BIGINT)) AS DOUBLE) / 1000000)"
 
 
 def avg_of(expression: str) -> str:

@@ -10,7 +10,7 @@ from ..functions.times import month_key
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as they arrive below ``path``."""
+    """Parquet files as they arrive below ``path``, a folder or a pattern."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
