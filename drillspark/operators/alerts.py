@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import exact_avg
+from ..session import stage_table
 from .filters import EVENT_FIELDS, Fields, Filters, compile_filters
 
 MAX_ALERTS = 20
@@ -16,7 +17,8 @@ ALERT_SEVERITIES = ["error", "critical"]
 def top_alerts(df: DataFrame, filters: Filters | None = None, n: int = 5, fields: Fields = EVENT_FIELDS) -> DataFrame:
     """Host and service pairs with most alerts, their averages and latest alert.
 
-    ``total_events`` counts all filtered events, alerts or not; both come from one scan.
+    ``total_events`` counts all filtered events, alerts or not. The grouped pairs are written first, so list and total
+    together scan the events once.
     """
     alert = F.col("severity").isin(ALERT_SEVERITIES)
 
@@ -34,6 +36,7 @@ def top_alerts(df: DataFrame, filters: Filters | None = None, n: int = 5, fields
         mean("response_time_ms").alias("avg_response_ms"),
         latest.alias("latest"),
     )
+    pairs = stage_table(pairs, "alert-pairs")
     total = pairs.agg(F.coalesce(F.sum("all_events"), F.lit(0))).scalar()
     best = pairs.where("error_count > 0").orderBy(F.desc("error_count"), "host", "service").limit(min(n, MAX_ALERTS))
     return best.select(

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+
 COLUMNS = ["metric_name", "_type", "job", "instance", "label", "count", "values"]
 # What each column of the catalogue holds, for the comment line of its file.
 DESCRIPTIONS = ["__name__", "metadata.type", "label:job", "label:instance", "label:*", "(aggregiert)", "(aggregiert)"]
 
 
-def _metric_name() -> Column:
-    return F.coalesce(F.element_at("labels", F.lit("__name__")), F.lit("unknown"))
+NAME = "__name__"
 
 
 def _label_values(series: DataFrame) -> DataFrame:
-    """(metric_name, label, count, values): distinct values per label and the first two of them as text."""
-    pairs = series.select(_metric_name().alias("metric_name"), F.explode("labels").alias("label", "value"))
-    values = pairs.where("label <> '__name__'").distinct()
+    """(metric_name, label, value), each once; the name itself is a label too, so every metric has a row."""
+    name = F.coalesce(F.element_at("labels", F.lit(NAME)), F.lit("unknown"))
+    entries = F.concat(F.map_entries("labels"), F.array(F.struct(F.lit(NAME).alias("key"), name.alias("value"))))
+    pairs = series.select(name.alias("metric_name"), F.explode(entries).alias("e"))
+    return pairs.select("metric_name", F.col("e.key").alias("label"), F.col("e.value").alias("value")).distinct()
+
+
+def _formatted(values: DataFrame) -> DataFrame:
+    """(metric_name, label, count, values): the number of values and the first two of them as text."""
     in_order = Window.partitionBy("metric_name", "label").orderBy("value")
     first_two = values.withColumn("position", F.row_number().over(in_order)).where("position <= 2")
     shown = first_two.groupBy("metric_name", "label").agg(
@@ -41,14 +48,15 @@ def label_catalogue(series: DataFrame, metadata: DataFrame) -> DataFrame:
 
     ``metadata`` is (metric_name, type); metrics without a type show ``n/a``.
     """
-    values = _label_values(series)
+    found = stage_table(_label_values(series), "label-values")
+    names = found.where(F.col("label") == NAME).select("metric_name").distinct()
+    values = _formatted(found.where(F.col("label") != NAME))
     standard = values.where(F.col("label").isin("job", "instance"))
     own = standard.groupBy("metric_name").agg(
         F.max(F.when(F.col("label") == "job", F.col("values"))).alias("job"),
         F.max(F.when(F.col("label") == "instance", F.col("values"))).alias("instance"),
     )
     others = values.where(~F.col("label").isin("job", "instance"))
-    names = series.select(_metric_name().alias("metric_name")).distinct()
     return (
         names.join(own, "metric_name", "left")
         .join(others, "metric_name", "left")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+
+
+DAY = 86_400
+
 
 def _step(previous: Column, value: Column) -> Column:
     """Growth between two readings; a fall means the counter began again at zero."""
@@ -14,27 +21,40 @@ def _step(previous: Column, value: Column) -> Column:
 def counter_increase(
     df: DataFrame, series: list[str], window_seconds: int, ts: str = "ts", value: str = "value", ties: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Growth per series and time window: (series.., window_start, increase).
+    """Growth per series and time window: (series.., window_start, increase); windows start at whole multiples.
 
-    Steps are taken between neighbours in time inside a window; the step into a window's first reading comes from the
-    last reading of the window before, found on one row per window. So a task sees one window of one series, not a
-    whole series.
+    Steps are taken between neighbours in time inside a window. The step into a window starts at the last reading of
+    the window before, or of the day before. So a task sorts the readings of one window, the windows of one day or the
+    days of one series, never all readings of a series.
     """
-    width = F.lit(int(window_seconds))
     seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
-    start = (seconds - F.pmod(seconds, width)).alias("window_start")
-    order = F.struct(ts, *ties)
-    rows = df.select(*series, start, order.alias("_order"), F.col(value).alias("_value"))
-    inside = Window.partitionBy(*series, "window_start").orderBy("_order")
-    steps = rows.withColumn("_step", _step(F.lag("_value").over(inside), F.col("_value")))
-    windows = steps.groupBy(*series, "window_start").agg(
-        F.sum("_step").alias("_inside"),
-        F.min_by("_value", "_order").alias("_first"),
-        F.max_by("_value", "_order").alias("_last"),
+    start = (seconds - F.pmod(seconds, F.lit(int(window_seconds)))).alias("window_start")
+    rows = df.where(F.col(value).isNotNull()).select(
+        *series, start, F.struct(ts, *ties).alias("_order"), F.col(value).alias("_value")
+    )
+    in_window = Window.partitionBy(*series, "window_start").orderBy("_order")
+    steps = rows.withColumn("_step", _step(F.lag("_value").over(in_window), F.col("_value")))
+    windows = stage_table(
+        steps.groupBy(*series, "window_start")
+        .agg(
+            F.sum("_step").alias("_inside"),
+            F.min_by("_value", "_order").alias("_first"),
+            F.max_by("_value", "_order").alias("_last"),
+        )
+        .withColumn("_day", F.floor(F.col("window_start") / DAY)),
+        "counter-windows",
+    )
+    in_day = Window.partitionBy(*series, "_day").orderBy("window_start")
+    days = windows.groupBy(*series, "_day").agg(F.max_by("_last", "window_start").alias("_day_last"))
+    keys = [*series, "_day"]
+    days = days.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys],
+        F.lag("_day_last").over(Window.partitionBy(*series).orderBy("_day")).alias("_yesterday"),
     )
-    before = F.lag("_last").over(Window.partitionBy(*series).orderBy("window_start"))
+    same_day = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    before = F.coalesce(F.lag("_last").over(in_day), F.col("_yesterday"))
     increase = F.col("_inside") + _step(before, F.col("_first"))
-    return windows.select(*series, "window_start", increase.alias("increase"))
+    return windows.join(days, same_day).select(*series, "window_start", increase.alias("increase"))
 
 
 def counter_rate(

@@ -20,7 +20,8 @@ def facets(
     Returns (field, value, count, rank); the row with field ``*`` holds the number of rows under all filters.
     ``sort`` ranks by ``count``, by ``value``, or ``none`` (order of the counts is then left open).
 
-    One scan serves all fields: a row counts for a field if no other field's filter rejects it.
+    One scan serves all fields: a row counts for a field if no other field's filter rejects it, so rows that two
+    filters reject drop out at once.
     """
     names = [n for n in names if n in fields.allowed]
     rejects = {f: F.when(p, 0).otherwise(1) for f, p in field_predicates(filters, fields).items()}
@@ -29,7 +30,7 @@ def facets(
         all_rejects.alias("_rejects"),
         *[rejects.get(n, F.lit(0)).alias(f"_own_{i}") for i, n in enumerate(names)],
         *[fields.column(n).cast("string").alias(f"_value_{i}") for i, n in enumerate(names)],
-    )
+    ).where("_rejects <= 1")
 
     def item(keep: Column, name: str, value: Column) -> Column:
         return F.when(keep, F.struct(F.lit(name).alias("field"), value.alias("value")))

@@ -82,17 +82,21 @@ def top_metrics(df: DataFrame, n: int = 10) -> DataFrame:
 def pick_series(df: DataFrame, patterns: list[str], n_processes: int = 5, among: int = 10) -> DataFrame:
     """Points of one metric: the first whose name holds an early pattern, else the largest.
 
-    Only the ``among`` largest metrics are looked at, and only the first processes by name are kept.
+    Only the ``among`` largest metrics are looked at, and only the first processes by name are kept. One pass counts
+    points per metric and process, a second one fetches the chosen points; at most ``n_processes`` rows are broadcast.
     """
+    sizes = df.groupBy("metricGroup", "metricName", "process").agg(F.count("*").alias("points"))
+    sizes = stage_table(sizes, "metric-sizes")
+    metrics = sizes.groupBy("metricGroup", "metricName").agg(F.sum("points").alias("points"))
+    largest = metrics.orderBy(F.desc("points"), "metricGroup", "metricName").limit(among)
     rank = F.lit(len(patterns))
     for i, pattern in reversed(list(enumerate(patterns))):
         rank = F.when(F.contains(F.col("metricName"), F.lit(pattern)), i).otherwise(rank)
-    best = top_metrics(df, among).orderBy(rank, F.desc("points"), "metricGroup", "metricName").limit(1)
-    points = df.join(F.broadcast(best.select("metricGroup", "metricName")), ["metricGroup", "metricName"], "left_semi")
-    shown = points.select("process").distinct().orderBy("process").limit(n_processes)
-    return points.join(F.broadcast(shown), "process", "left_semi").select(
-        *SERIES, "timestamp_ms", "value"
-    ).orderBy("timestamp_ms", "host", "process")
+    best = largest.orderBy(rank, F.desc("points"), "metricGroup", "metricName").limit(1)
+    metric = ["metricGroup", "metricName"]
+    shown = sizes.join(F.broadcast(best.select(*metric)), metric).orderBy("process").limit(n_processes)
+    points = df.join(F.broadcast(shown.select(*metric, "process")), [*metric, "process"], "left_semi")
+    return points.select(*SERIES, "timestamp_ms", "value").orderBy("timestamp_ms", "host", "process")
 
 
 def with_zscore(df: DataFrame, keys: list[str] = METRIC) -> DataFrame:
@@ -107,8 +111,11 @@ def with_zscore(df: DataFrame, keys: list[str] = METRIC) -> DataFrame:
 
 
 def anomalies(df: DataFrame, k: float = 3.0, n: int | None = 20) -> DataFrame:
-    """Points more than ``k`` deviations from the mean, farthest first, with the number of all such points."""
-    far = with_zscore(df).where(F.col("z_score") > k)
+    """Points more than ``k`` deviations from the mean, farthest first, with the number of all such points.
+
+    The far points are written first, so list and number come from one pass.
+    """
+    far = stage_table(with_zscore(df).where(F.col("z_score") > k), "far-points")
     total = far.agg(F.count("*")).scalar()
     shown = far.select("host", "process", "metricGroup", "metricName", "timestamp_ms", "value", "mean", "z_score")
     shown = shown.orderBy(F.desc("z_score"), *SERIES, "timestamp_ms")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.exact import exact_avg, exact_sum, resum
+from ..session import stage_table
 from .filters import EVENT_FIELDS, TRIP_FIELDS, Fields, Filters, compile_filters
 
 
@@ -124,7 +125,11 @@ def hour_money(df: DataFrame, distance: bool = False) -> DataFrame:
 
 
 def with_share(stats: DataFrame, column: str, width: int = 20) -> DataFrame:
-    """Adds the share of the total in percent and the length of a bar whose longest has ``width`` characters."""
+    """Adds the share of the total in percent and the length of a bar whose longest has ``width`` characters.
+
+    The grouped rows are written first, so rows, total and maximum come from one computation of them.
+    """
+    stats = stage_table(stats, "shares")
     total = stats.agg(F.sum(column)).scalar()
     longest = stats.agg(F.max(column)).scalar()
     n = F.col(column).cast("double")
