@@ -72,7 +72,7 @@ def _write_shards(spark, sf, root):
 @query(
     "shard_read",
     """SELECT CAST(trip_order % 16 AS INTEGER) AS shard, trip_order, "PULocationID", total_amount FROM trips
-    WHERE "PULocationID" = 37""",
+    WHERE "PULocationID" = 7""",
     T,
 )
 def shard_read(spark, sf):
@@ -80,7 +80,7 @@ def shard_read(spark, sf):
     _write_shards(spark, sf, root)
     schema = "trip_order bigint, PULocationID bigint, total_amount double"
     fields = ["shard", "trip_order", "PULocationID", "total_amount"]
-    return shards.read_shards(spark, root, schema, F.col("PULocationID") == 37, fields)
+    return shards.read_shards(spark, root, schema, F.col("PULocationID") == 7, fields)
 
 
 @query("shard_write_stats", "SELECT CAST(trip_order % 16 AS INTEGER) AS shard, count(*) AS docs FROM trips GROUP BY 1", T)

@@ -37,9 +37,9 @@ def _filtered(chosen):
 
 query(
     "filter_set",
-    f"SELECT {ROW_SQL} FROM trips WHERE payment_type IN (1, 3) AND PULocationID = 42",
+    f"SELECT {ROW_SQL} FROM trips WHERE payment_type IN (1, 3) AND PULocationID = 9",
     T,
-)(_filtered({"payment_type": [1, 3], "PULocationID": [42]}))
+)(_filtered({"payment_type": [1, 3], "PULocationID": [9]}))
 query(
     "filter_range",
     f"SELECT {ROW_SQL} FROM trips WHERE (total_amount BETWEEN 10 AND 20 OR total_amount BETWEEN 40 AND 50) "
@@ -78,11 +78,11 @@ def weekend_nights(spark, sf):
 @query(
     "deep_subset",
     "SELECT PULocationID, trip_distance, fare_amount, tip_amount, total_amount FROM trips "
-    "WHERE PULocationID = 37 AND trip_distance BETWEEN 1 AND 20",
+    "WHERE PULocationID = 7 AND trip_distance BETWEEN 1 AND 20",
     T,
 )
 def deep_subset(spark, sf):
-    where = (F.col("PULocationID") == 37) & F.col("trip_distance").between(1, 20)
+    where = (F.col("PULocationID") == 7) & F.col("trip_distance").between(1, 20)
     shown = ["PULocationID", "trip_distance", "fare_amount", "tip_amount", "total_amount"]
     return filters.subset(fixtures.trips(spark, sf), where, shown)
 
@@ -244,8 +244,8 @@ query("ladder_l1", _level_sql("true", HOUR), T)(lambda spark, sf: _level(spark,
 query("ladder_l2", _level_sql(f"{HOUR} = 18", "PULocationID"), T)(
     lambda spark, sf: _level(spark, sf, {"pickup_hour": [18]}, "PULocationID")
 )
-query("ladder_l3", _level_sql(f"{HOUR} = 18 AND PULocationID = 37", "payment_type"), T)(
-    lambda spark, sf: _level(spark, sf, {"pickup_hour": [18], "PULocationID": [37]}, "payment_type")
+query("ladder_l3", _level_sql(f"{HOUR} = 18 AND PULocationID = 7", "payment_type"), T)(
+    lambda spark, sf: _level(spark, sf, {"pickup_hour": [18], "PULocationID": [7]}, "payment_type")
 )
 
 
@@ -530,7 +530,7 @@ DEEP = ["trip_distance", "fare_amount", "tip_amount", "total_amount"]
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS count, round({avg_of(c)}, 6) AS mean,
         round(stddev_samp({c}), 6) AS stddev, min({c}) AS min, max({c}) AS max
-        FROM trips WHERE PULocationID = 37 AND trip_distance BETWEEN 1 AND 20"""
+        FROM trips WHERE PULocationID = 7 AND trip_distance BETWEEN 1 AND 20"""
         for c in DEEP
     ),
     T,

@@ -35,26 +35,39 @@ def load_if_empty(df: DataFrame, target: str) -> bool:
     return True
 
 
+def with_partitions(df: DataFrame, pickup: str = "tpep_pickup_datetime") -> DataFrame:
+    """Adds ``month``, the folder of a row, and ``pickup_date``, whose ranges Parquet can skip by."""
+    return df.withColumn("month", month_key(pickup)).withColumn("pickup_date", F.to_date(pickup))
+
+
 def write_trips(df: DataFrame, path: str, pickup: str = "tpep_pickup_datetime", zone: str = "PULocationID") -> None:
     """One folder per month, files sorted by pickup time and zone.
 
     The rows are rebalanced by month: adaptive execution splits large months over many tasks and joins small ones, so
     a month with a third of all rows becomes many files instead of one long task.
     """
-    month = df.withColumn("month", month_key(pickup))
-    placed = month.hint("rebalance", F.col("month")).sortWithinPartitions("month", pickup, zone)
-    placed.write.mode("overwrite").partitionBy("month").parquet(path)
+    placed = with_partitions(df, pickup).hint("rebalance", F.col("month"))
+    ordered = placed.sortWithinPartitions("month", pickup, zone)
+    ordered.write.mode("overwrite").partitionBy("month").parquet(path)
 
 
-def read_months(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Trips of a partitioned table; ``start`` and ``end`` (ISO times) also limit the months that are read."""
-    df = spark.read.option("basePath", path).option("inferSchema", "false").parquet(path)
+def read_months(
+    spark: SparkSession, path: str, start: str | None = None, end: str | None = None, pickup: str = "tpep_pickup_datetime"
+) -> DataFrame:
+    """Trips of a monthly table between two ISO times, both included.
+
+    Months outside are not listed. Inside them Parquet skips by date, as filters on times without zone are not pushed
+    down to it.
+    """
+    df = spark.read.parquet(path)
     df = df.withColumn("month", F.col("month").cast("string"))
-    pickup = F.col("tpep_pickup_datetime")
+    month, date, time = F.col("month"), F.col("pickup_date"), F.col(pickup)
     if start:
-        df = df.where((F.col("month") >= start[:7].replace("-", "")) & (pickup >= F.lit(start).cast("timestamp_ntz")))
+        limit = F.lit(start).cast("timestamp_ntz")
+        df = df.where((month >= start[:7].replace("-", "")) & (date >= F.lit(start[:10]).cast("date")) & (time >= limit))
     if end:
-        df = df.where((F.col("month") <= end[:7].replace("-", "")) & (pickup <= F.lit(end).cast("timestamp_ntz")))
+        limit = F.lit(end).cast("timestamp_ntz")
+        df = df.where((month <= end[:7].replace("-", "")) & (date <= F.lit(end[:10]).cast("date")) & (time <= limit))
     return df
 
 

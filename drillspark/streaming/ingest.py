@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.times import month_key
+from ..sources.tables import with_partitions
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -21,7 +21,6 @@ def ingest_stream(
     stream: DataFrame, table: str, checkpoint: str, pickup: str = "tpep_pickup_datetime", once: bool = True
 ) -> StreamingQuery:
     """Append every new row to the table at ``table``, one folder per month; each file is loaded exactly once."""
-    months = stream.withColumn("month", month_key(pickup))
-    writer = months.writeStream.format("parquet").outputMode("append").partitionBy("month")
+    writer = with_partitions(stream, pickup).writeStream.format("parquet").outputMode("append").partitionBy("month")
     writer = writer.option("path", table).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
