@@ -49,12 +49,14 @@ def iso_z(ts: Column | str) -> Column:
 
 def minutes_elapsed(start: Column | str, end: Column | str) -> Column:
     """Fractional minutes between two instants."""
-    return F.timestamp_diff("MICROSECOND", _col(start), _col(end)) / F.lit(60_000_000.0)
+    micros = [F.unix_micros(_col(c).cast("timestamp")) for c in (start, end)]
+    return (micros[1] - micros[0]) / F.lit(60_000_000.0)
 
 
 def minute_boundaries(start: Column | str, end: Column | str) -> Column:
     """Number of full-minute marks crossed, seconds ignored."""
-    return F.timestamp_diff("MINUTE", F.date_trunc("minute", _col(start)), F.date_trunc("minute", _col(end)))
+    minutes = [F.floor(F.unix_seconds(_col(c).cast("timestamp")) / 60) for c in (start, end)]
+    return minutes[1] - minutes[0]
 
 
 def parse_iso(text: Column | str) -> Column:

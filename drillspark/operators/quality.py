@@ -40,16 +40,25 @@ def duration(mode: str = "elapsed") -> Column:
     raise ValueError(f"unknown duration mode: {mode}")
 
 
+def payable(mode: str = "elapsed") -> Column:
+    """The part of ``valid`` that needs no duration: an amount above zero and, for ``elapsed``, both zones."""
+    paid = F.col("total_amount") > 0
+    if mode == "boundary":
+        return paid
+    return paid & F.col("PULocationID").isNotNull() & F.col("DOLocationID").isNotNull()
+
+
+def plausible_duration(minutes: Column, mode: str = "elapsed") -> Column:
+    return minutes.between(1, 120) if mode == "boundary" else (minutes > 1) & (minutes < 120)
+
+
 def valid(mode: str = "elapsed") -> Column:
     """Trips fit for route ranking.
 
     ``elapsed``: more than 1 and less than 120 minutes, an amount above zero, both zones known.
     ``boundary``: 1 to 120 minute marks, an amount above zero.
     """
-    paid, minutes = F.col("total_amount") > 0, duration(mode)
-    if mode == "boundary":
-        return paid & minutes.between(1, 120)
-    return paid & (minutes > 1) & (minutes < 120) & F.col("PULocationID").isNotNull() & F.col("DOLocationID").isNotNull()
+    return payable(mode) & plausible_duration(duration(mode), mode)
 
 
 def valid_trips(df: DataFrame, mode: str = "elapsed") -> DataFrame:
@@ -126,11 +135,16 @@ def tip_by_distance(df: DataFrame) -> DataFrame:
 
 
 def longest_trips(df: DataFrame, n: int = 10) -> DataFrame:
-    return _shown(df).orderBy(F.desc("distance"), *_ties("distance")).limit(n)
+    """The longest trips by distance in tenths of a mile, earlier ones first among equals."""
+    return _shown(df.orderBy(F.desc(F.round("trip_distance", 1)), *_TIES).limit(n))
 
 
 def priciest_trips(df: DataFrame, n: int = 10) -> DataFrame:
-    return _shown(df).orderBy(F.desc("total"), *_ties("total")).limit(n)
+    """The trips with the largest amount in cents, earlier ones first among equals."""
+    return _shown(df.orderBy(F.desc(F.round("total_amount", 2)), *_TIES).limit(n))
+
+
+_TIES = [PICKUP, DROPOFF, "trip_distance", "fare_amount", "tip_amount", "total_amount"]
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -142,7 +156,3 @@ def _shown(df: DataFrame) -> DataFrame:
         F.round("tip_amount", 2).alias("tip"),
         F.round("total_amount", 2).alias("total"),
     )
-
-
-def _ties(first: str) -> list[Column]:
-    return [F.asc(c) for c in ("pickup", "distance", "fare", "tip", "total") if c != first]

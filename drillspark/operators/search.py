@@ -55,3 +55,7 @@ def total_hits(df: DataFrame, query: str, filters: Filters | None = None, column
 def match_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """Rows whose text holds a word that starts with ``prefix``."""
     return df.where(has_word_prefix(column, prefix))
+
+
+def count_documents(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("documents"))

@@ -215,6 +215,11 @@ def text_prefix(spark, sf):
     return search.match_prefix(fixtures.table(spark, sf, "documents"), "text", "lic").select("doc_id", "source", "lang")
 
 
+@query("text_count", "SELECT count(*) AS documents FROM documents")
+def text_count(spark, sf):
+    return search.count_documents(fixtures.table(spark, sf, "documents"))
+
+
 @query(
     "text_tokens",
     f"""w AS (SELECT lang, unnest(regexp_split_to_array(lower(text), '{GAP}+')) AS word FROM documents)

@@ -66,7 +66,8 @@ def partitioned_roundtrip(spark, sf):
 
 
 def _write_shards(spark, sf, root):
-    return shards.write_shards(fixtures.trips(spark, sf), root, 16, F.col("trip_order"))
+    docs = fixtures.trips(spark, sf).select("trip_order", "tpep_pickup_datetime", "PULocationID", "total_amount")
+    return shards.write_shards(docs, root, 16, F.col("trip_order"))
 
 
 @query(
@@ -165,7 +166,10 @@ def unwrap_docs(spark, sf):
     T,
 )
 def working_set_info(spark, sf):
-    return workingset.WorkingSet(lambda: fixtures.trips(spark, sf)).info_frame()
+    held = workingset.WorkingSet(lambda: fixtures.trips(spark, sf))
+    info = held.info_frame()
+    held.invalidate()
+    return info
 
 
 @query("describe_schema")

@@ -571,18 +571,18 @@ def tip_by_distance(spark, sf):
 
 
 def _listed(first: str) -> str:
-    order = [f"{first} DESC"] + [c for c in ("pickup", "distance", "fare", "tip", "total") if c != first]
     return f"""SELECT strftime(tpep_pickup_datetime, '%Y-%m-%d %H:%M') AS pickup, round(trip_distance, 1) AS distance,
       round(fare_amount, 2) AS fare, round(tip_amount, 2) AS tip, round(total_amount, 2) AS total
-    FROM trips ORDER BY {', '.join(order)} LIMIT 10"""
+    FROM trips ORDER BY {first} DESC, tpep_pickup_datetime, tpep_dropoff_datetime, trip_distance, fare_amount,
+      tip_amount, total_amount LIMIT 10"""
 
 
-@query("longest_trips", _listed("distance"), T)
+@query("longest_trips", _listed("round(trip_distance, 1)"), T)
 def longest_trips(spark, sf):
     return quality.longest_trips(fixtures.trips(spark, sf))
 
 
-@query("priciest_trips", _listed("total"), T)
+@query("priciest_trips", _listed("round(total_amount, 2)"), T)
 def priciest_trips(spark, sf):
     return quality.priciest_trips(fixtures.trips(spark, sf))
 

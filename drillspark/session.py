@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_folders: set[str] = set()
 
 
 def build_session(app: str = "drillspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,8 +53,20 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _on_disk(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def app_folder(spark: SparkSession) -> str:
-    return f"{shared_root(spark).rstrip('/')}/drillspark/{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder; it goes away when the driver ends."""
+    folder = f"{shared_root(spark).rstrip('/')}/drillspark/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        files, path = _on_disk(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders.add(folder)
+    return folder
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -74,7 +87,8 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Remove everything this application wrote below the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(app_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove everything this application wrote below the shared folder, before the driver ends."""
+    folder = app_folder(spark)
+    files, path = _on_disk(spark, folder)
+    files.delete(path, True)
+    _folders.discard(folder)

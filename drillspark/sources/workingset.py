@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 class WorkingSet:
@@ -35,15 +34,11 @@ class WorkingSet:
         return {"loaded": self.valid(), **self._info}
 
     def info_frame(self) -> DataFrame:
-        """The same as a frame: (rows, use_disk, use_memory, loaded)."""
+        """The same as one row: (rows, use_memory, use_disk, loaded)."""
         df = self.get()
         level = df.storageLevel
-        return df.agg(F.count("*").alias("rows")).select(
-            "rows",
-            F.lit(level.useMemory).alias("use_memory"),
-            F.lit(level.useDisk).alias("use_disk"),
-            F.lit(self.valid()).alias("loaded"),
-        )
+        row = (self._info["rows"], level.useMemory, level.useDisk, self.valid())
+        return df.sparkSession.createDataFrame([row], "rows bigint, use_memory boolean, use_disk boolean, loaded boolean")
 
     def invalidate(self) -> None:
         if self._df is not None:

@@ -192,12 +192,12 @@ def test_mapping_of_worked_examples(spark):
         {**go, "__name__": "go_build_info"},
         {"__name__": "lonely_metric"},
         {
-            "__name__": "solr_metrics_core_errors_total", "base_url": "http://x", "category": "QUERY", "cluster_id": "c",
-            "collection": "nyc_taxi", "core": "k", "handler": "/select", "instance": "node1.cloud.local:9854",
-            "internal": "false", "job": "solr", "replica": "replica_n1", "shard": "shard1",
+            "__name__": "search_metrics_core_errors_total", "base_url": "http://x", "category": "QUERY", "cluster_id": "c",
+            "collection": "rides", "core": "k", "handler": "/select", "instance": "node1.cloud.local:9854",
+            "internal": "false", "job": "search", "replica": "replica_n1", "shard": "shard1",
         },
     ]
-    solr = "metrics_core_errors_total_category_QUERY_collection_nyc_taxi_handler__select_internal_false_replica_replica_n1_shard_shard1"
+    long = "metrics_core_errors_total_category_QUERY_collection_rides_handler__select_internal_false_replica_replica_n1_shard_shard1"
     assert mapped(spark, labels) == {
         ("node", "node1.cloud.local:9100", "cluster", "node1", "node", "cpu_seconds_total_cpu_0_mode_idle"),
         ("node", "node1.cloud.local:9100", "cluster", "node1", "node", "cpu_seconds_total_cpu_0_mode_user"),
@@ -206,18 +206,18 @@ def test_mapping_of_worked_examples(spark):
         ("prometheus", "node0.cloud.local:9090", "cluster", "node0", "prometheus", "go_gc_duration_seconds_p50"),
         ("prometheus", "node0.cloud.local:9090", "cluster", "node0", "prometheus", "go_gc_duration_seconds_sum"),
         ("", "", "cluster", "", "lonely", "lonely_metric"),
-        ("solr", "node1.cloud.local:9854", "cluster", "node1", "solr", solr),
+        ("search", "node1.cloud.local:9854", "cluster", "node1", "search", long),
     }
 
 
 def test_groups_grow_while_prefixes_are_crowded(spark):
     """101 series share metrics_core, one of them has a name of its own below metrics."""
-    labels = [{"__name__": f"solr_metrics_core_m{i}_total", "job": "solr", "instance": "n:1"} for i in range(101)]
-    labels.append({"__name__": "solr_metrics_jvm_x", "job": "solr", "instance": "n:1"})
+    labels = [{"__name__": f"search_metrics_core_m{i}_total", "job": "search", "instance": "n:1"} for i in range(101)]
+    labels.append({"__name__": "search_metrics_jvm_x", "job": "search", "instance": "n:1"})
     got = {(r[4], r[5]) for r in mapped(spark, labels)}
-    assert ("solr_metrics_core", "m7_total") in got and ("solr_metrics", "jvm_x") in got and len(got) == 102
+    assert ("search_metrics_core", "m7_total") in got and ("search_metrics", "jvm_x") in got and len(got) == 102
     at_limit = {(r[4], r[5]) for r in mapped(spark, labels[:100])}
-    assert at_limit == {("solr", f"metrics_core_m{i}_total") for i in range(100)}
+    assert at_limit == {("search", f"metrics_core_m{i}_total") for i in range(100)}
 
 
 def test_the_last_part_never_moves_into_the_group(spark):
