@@ -2,7 +2,7 @@
 
 Adding doubles gives other last digits each time a shuffle delivers rows in another order, or a lost task is run
 again. Amounts are therefore counted in whole units of ``10**-places`` and added as integers. The count is split into
-a high and a low part of 20 bits, so that neither sum can overflow below some 8 * 10**12 rows.
+a high part and a low part of 20 bits, so that neither sum overflows below 8 * 10**12 rows and a total of 9 * 10**18.
 """
 
 from __future__ import annotations

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _GAP = r"[^\p{L}\p{N}]"
+_WORD = r"[\p{L}\p{N}]"
 
 
 def _col(c: Column | str) -> Column:
@@ -33,22 +35,28 @@ def query_words(query: str) -> list[str]:
     return list(dict.fromkeys(words))
 
 
+def _holds(text: Column | str, words: list[str], pattern: str) -> Column:
+    """A plain search for the words first: it spares most texts the pattern."""
+    lower = F.lower(_col(text))
+    somewhere = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in words])
+    return F.coalesce(somewhere & lower.rlike(pattern), F.lit(False))
+
+
 def has_any_word(text: Column | str, query: str) -> Column:
     """True if the text holds at least one word of the query.
 
-    An empty query matches everything, a query of punctuation only matches nothing. One pattern runs over the text;
-    it stops at the first hit and builds no word list per row.
+    An empty query matches everything, a query of punctuation only matches nothing. No word list is built per row.
     """
     words = query_words(query)
     if not words:
         return F.lit(not query)
-    pattern = f"(^|{_GAP})({'|'.join(map(re.escape, words))})($|{_GAP})"
-    return F.coalesce(F.lower(_col(text)).rlike(pattern), F.lit(False))
+    return _holds(text, words, f"(?<!{_WORD})(?:{'|'.join(map(re.escape, words))})(?!{_WORD})")
 
 
 def has_word_prefix(text: Column | str, prefix: str) -> Column:
     """True if a word of the text starts with ``prefix``."""
-    return F.coalesce(F.lower(_col(text)).rlike(f"(^|{_GAP}){re.escape(prefix.lower())}"), F.lit(False))
+    start = prefix.lower()
+    return _holds(text, [start], f"(?<!{_WORD}){re.escape(start)}")
 
 
 def is_finite(value: Column | str) -> Column:

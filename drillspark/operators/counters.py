@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage_table
+from .joins import join_on
 
 
 DAY = 86_400
@@ -46,15 +45,11 @@ def counter_increase(
     )
     in_day = Window.partitionBy(*series, "_day").orderBy("window_start")
     days = windows.groupBy(*series, "_day").agg(F.max_by("_last", "window_start").alias("_day_last"))
-    keys = [*series, "_day"]
-    days = days.select(
-        *[F.col(k).alias(f"_of_{k}") for k in keys],
-        F.lag("_day_last").over(Window.partitionBy(*series).orderBy("_day")).alias("_yesterday"),
-    )
-    same_day = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    yesterday = F.lag("_day_last").over(Window.partitionBy(*series).orderBy("_day")).alias("_yesterday")
     before = F.coalesce(F.lag("_last").over(in_day), F.col("_yesterday"))
     increase = F.col("_inside") + _step(before, F.col("_first"))
-    return windows.join(days, same_day).select(*series, "window_start", increase.alias("increase"))
+    joined = join_on(windows, days.select(*series, "_day", yesterday), [*series, "_day"])
+    return joined.select(*series, "window_start", increase.alias("increase"))
 
 
 def counter_rate(

@@ -91,13 +91,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack_series(df: DataFrame) -> DataFrame:
     """Documents of points, sorted in time inside each document, at most one day and MAX_POINTS points long.
 
-    Rows are sorted over all tasks by series and time, so even one series with most of the points is spread over many
-    tasks; a series may come in several documents anyway. Points need a value (NaN and infinity are values).
+    Points are rebalanced by series and day: adaptive execution splits what is too large for a task, even a day with a
+    third of all points, and joins what is small. A series may come in several documents anyway. Points need a value
+    (NaN and infinity are values).
     """
     points = df.where(F.col("value").isNotNull() & F.col("timestamp_ms").isNotNull())
     points = points.select(*SERIES, F.col("timestamp_ms").cast("bigint"), F.col("value").cast("double"))
-    ordered = points.repartitionByRange(*SERIES, "timestamp_ms", "value").sortWithinPartitions(*SERIES, "timestamp_ms")
-    return ordered.mapInArrow(_pack, _DOCUMENT_SCHEMA)
+    day = F.floor(F.col("timestamp_ms") / DAY_MS)
+    placed = points.withColumn("_day", day).hint("rebalance", *[F.col(c) for c in (*SERIES, "_day")]).drop("_day")
+    return placed.sortWithinPartitions(*SERIES, "timestamp_ms").mapInArrow(_pack, _DOCUMENT_SCHEMA)
 
 
 CLEANERS = {"finite": finite, "sentinel": drop_sentinel}

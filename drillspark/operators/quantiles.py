@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage_table
+from .joins import join_on
 
 
 def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[str] | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def quantiles(df: DataFrame, column: str, probabilities: list[float], by: list[s
         *by, "slice", "before", "rank", F.col("q.p").alias("p")
     )
     running = Window.partitionBy(*by, "slice", "p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    reached = slices.join(targets, [*by, "slice"]).withColumn("upto", F.col("before") + F.sum("n").over(running))
+    reached = join_on(slices, targets, [*by, "slice"]).withColumn("upto", F.col("before") + F.sum("n").over(running))
     return reached.where("upto >= rank").groupBy(*by, "p").agg(F.min(column).alias("value"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_finite
 from ..functions.times import from_epoch_ms, hour_of
 from ..session import stage_table
+from .joins import join_on
 from .quantiles import quantiles
 
 SERIES = ["host", "process", "metricGroup", "metricName"]
@@ -71,7 +72,7 @@ def host_comparison(df: DataFrame) -> DataFrame:
         F.max(F.when(F.col("p") == 0.95, F.col("value"))).alias("p95"),
         F.max(F.when(F.col("p") == 0.99, F.col("value"))).alias("p99"),
     )
-    return stats.join(wide, keys, "left")
+    return join_on(stats, wide, keys, "left")
 
 
 def top_metrics(df: DataFrame, n: int = 10) -> DataFrame:
@@ -94,8 +95,8 @@ def pick_series(df: DataFrame, patterns: list[str], n_processes: int = 5, among:
         rank = F.when(F.contains(F.col("metricName"), F.lit(pattern)), i).otherwise(rank)
     best = largest.orderBy(rank, F.desc("points"), "metricGroup", "metricName").limit(1)
     metric = ["metricGroup", "metricName"]
-    shown = sizes.join(F.broadcast(best.select(*metric)), metric).orderBy("process").limit(n_processes)
-    points = df.join(F.broadcast(shown.select(*metric, "process")), [*metric, "process"], "left_semi")
+    shown = join_on(sizes, F.broadcast(best.select(*metric)), metric).orderBy("process").limit(n_processes)
+    points = join_on(df, F.broadcast(shown.select(*metric, "process")), [*metric, "process"])
     return points.select(*SERIES, "timestamp_ms", "value").orderBy("timestamp_ms", "host", "process")
 
 
@@ -107,7 +108,7 @@ def with_zscore(df: DataFrame, keys: list[str] = METRIC) -> DataFrame:
     """
     stats = df.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"))
     z = F.when(F.col("stddev") > 0, F.abs(F.col("value") - F.col("mean")) / F.col("stddev")).otherwise(0.0)
-    return df.join(stage_table(stats, "metric-stats"), keys).withColumn("z_score", z)
+    return join_on(df, stage_table(stats, "metric-stats"), keys).withColumn("z_score", z)
 
 
 def anomalies(df: DataFrame, k: float = 3.0, n: int | None = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import label
+from .joins import join_on
 
 
 def match_labels(
@@ -45,11 +46,12 @@ _BINARY = {
 def vector_binary(a: DataFrame, b: DataFrame, on: list[str], op: str, value: str = "value") -> DataFrame:
     """Combine samples of equal labels: ``div`` a/b, ``sub`` a-b, ``share`` a/(a+b), ``used`` 1-a/b.
 
-    Samples without a partner drop out. Each side holds one sample per label set, so no key repeats.
+    Samples without a partner drop out; a missing label equals a missing label. Each side holds one sample per label
+    set, so no key repeats.
     """
     left = a.select(*on, F.col(value).alias("_a"))
     right = b.select(*on, F.col(value).alias("_b"))
-    return left.join(right, on).select(*on, _BINARY[op](F.col("_a"), F.col("_b")).alias(value))
+    return join_on(left, right, on).select(*on, _BINARY[op](F.col("_a"), F.col("_b")).alias(value))
 
 
 _AGGREGATES = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "count": F.count}

@@ -219,6 +219,7 @@ def _vectors(spark, sf):
     both = fixtures.monitoring(spark, sf).groupBy("host", instant).agg(
         F.avg("cpu_percent").alias("cpu"), F.avg("memory_percent").alias("memory")
     )
+    both = stage_table(both, "instant-vectors")
     cpu = both.where("cpu IS NOT NULL").select("host", "instant", F.col("cpu").alias("value"))
     return cpu, both.select("host", "instant", F.col("memory").alias("value"))
 

@@ -129,8 +129,9 @@ def test_quantiles_of_groups_of_very_different_size(ev, column):
 
 
 def test_quantiles_of_one_value_and_of_missing_values(spark):
-    df = spark.createDataFrame([(1, 5.0)] * 300 + [(1, None), (2, None)], "k int, v double")
-    assert [tuple(r) for r in quantiles.quantiles(df, "v", [0.5], ["k"]).collect()] == [(1, 0.5, 5.0)]
+    df = spark.createDataFrame([(1, 5.0)] * 300 + [(1, None), (2, None), (None, 7.0)], "k int, v double")
+    got = quantiles.quantiles(df, "v", [0.5], ["k"]).collect()
+    assert {tuple(r) for r in got} == {(1, 0.5, 5.0), (None, 0.5, 7.0)}
 
 
 def test_generated_events(spark):

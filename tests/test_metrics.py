@@ -100,6 +100,12 @@ def test_zscore_equals_the_window_form(samples):
     assert [r.z_score for r in far] == pytest.approx(sorted(expected.values(), reverse=True)[:5])
 
 
+def test_points_without_a_host_are_kept(spark):
+    df = spark.createDataFrame([(None, "p", "g", "m", i, float(i)) for i in range(5)], SCHEMA)
+    assert [r.mean for r in series.with_zscore(df).collect()] == [2.0] * 5
+    assert series.host_comparison(df).first().median == 2.0
+
+
 def test_constant_series_has_no_anomalies(spark):
     flat = spark.createDataFrame([("h", "p", "g", "m", i, 4.0) for i in range(20)], SCHEMA)
     assert {r.z_score for r in series.with_zscore(flat).collect()} == {0.0}

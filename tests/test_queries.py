@@ -35,3 +35,22 @@ def test_plan(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON_ALLOWED:
         assert "Python" not in plan and "MapInArrow" not in plan
+
+
+ONE_SCAN = ["facets_multi", "overall_stats", "rollup_daily", "null_profile", "corr_matrix", "clean_report", "by_month"]
+
+
+@pytest.mark.parametrize("name", ONE_SCAN)
+def test_one_scan(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_facets_cut_their_lists_before_the_shuffle(spark):
+    plan = entry.queries()["facets_multi"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_columns_are_pruned(spark):
+    plan = entry.queries()["bench_top_locations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_suppkey:bigint>" in plan
