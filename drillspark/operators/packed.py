@@ -7,15 +7,20 @@ from __future__ import annotations
 
 import base64
 import binascii
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .series import SERIES, drop_sentinel, finite
 
+# The functions below travel to the executors by value, so this package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The layout of one packed point.
 POINT = np.dtype([("value", ">f8"), ("ts", ">i8")])
 DAY_MS = 86_400_000

@@ -2,6 +2,8 @@ import base64
 import math
 import random
 import struct
+import subprocess
+import sys
 from collections import defaultdict
 
 import pytest
@@ -60,6 +62,17 @@ def test_broken_documents(spark):
     assert sorted((r.timestamp_ms, r.value) for r in packed.decode_series(docs).collect()) == [(10, 1.5), (20, 2.5)]
 
 
+def test_executors_need_not_have_the_package(tmp_path):
+    from pyspark import cloudpickle
+
+    for function in (packed._pack, packed._unpack):
+        path = tmp_path / "function"
+        path.write_bytes(cloudpickle.dumps(function))
+        code = f"import pickle; print(list(pickle.load(open({str(path)!r}, 'rb'))(iter([]))))"
+        run = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, timeout=60)
+        assert run.stdout.strip() == "[]", run.stderr
+
+
 def test_merging_cleans_and_recounts(samples, rows):
     docs = packed.pack_series(samples)
     counts = defaultdict(int)
