@@ -18,6 +18,11 @@ def plausible() -> Column:
     return (distance > 0) & (distance < 100) & (fare > 0) & (fare < 500) & (passengers > 0) & (passengers <= 6)
 
 
+def moving() -> Column:
+    """The lighter rule: some distance and a fare above zero."""
+    return (F.col("trip_distance") > 0) & (F.col("fare_amount") > 0)
+
+
 def clean_trips(df: DataFrame) -> DataFrame:
     return df.where(plausible())
 

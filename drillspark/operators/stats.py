@@ -74,10 +74,10 @@ def overall_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def by_weekday(df: DataFrame) -> DataFrame:
+def by_weekday(df: DataFrame, convention: str = "sun1") -> DataFrame:
     return grouped(
         df,
-        {"weekday": times.weekday("tpep_pickup_datetime")},
+        {"weekday": times.weekday("tpep_pickup_datetime", convention)},
         "trips",
         {"revenue": "total_amount"},
         {"avg_amount": "total_amount", "avg_distance": "trip_distance", "avg_tip": "tip_amount"},
@@ -99,7 +99,7 @@ def by_passengers(df: DataFrame) -> DataFrame:
         df,
         ["passenger_count"],
         "trips",
-        None,
+        {"revenue": "total_amount"},
         {"avg_amount": "total_amount", "avg_distance": "trip_distance"},
     ).orderBy("passenger_count")
 

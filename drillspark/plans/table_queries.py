@@ -65,23 +65,31 @@ def partitioned_roundtrip(spark, sf):
     return span.select("month", "trip_order", "trip_line", "total_amount")
 
 
-def _write_shards(spark, sf, root):
+def _write_shards(spark, sf, root, file_format="json"):
     docs = fixtures.trips(spark, sf).select("trip_order", "tpep_pickup_datetime", "PULocationID", "total_amount")
-    return shards.write_shards(docs, root, 16, F.col("trip_order"))
+    return shards.write_shards(docs, root, 16, F.col("trip_order"), file_format=file_format)
 
 
-@query(
-    "shard_read",
-    """SELECT CAST(trip_order % 16 AS INTEGER) AS shard, trip_order, "PULocationID", total_amount FROM trips
-    WHERE "PULocationID" = 7""",
-    T,
-)
-def shard_read(spark, sf):
+SHARD_SQL = """SELECT CAST(trip_order % 16 AS INTEGER) AS shard, trip_order, "PULocationID", total_amount FROM trips
+    WHERE "PULocationID" = 7"""
+
+
+def _read_shards(spark, sf, file_format):
     root = new_path(spark, "shards")
-    _write_shards(spark, sf, root)
+    _write_shards(spark, sf, root, file_format)
     schema = "trip_order bigint, PULocationID bigint, total_amount double"
     fields = ["shard", "trip_order", "PULocationID", "total_amount"]
-    return shards.read_shards(spark, root, schema, F.col("PULocationID") == 7, fields)
+    return shards.read_shards(spark, root, schema, F.col("PULocationID") == 7, fields, file_format=file_format)
+
+
+@query("shard_read", SHARD_SQL, T)
+def shard_read(spark, sf):
+    return _read_shards(spark, sf, "json")
+
+
+@query("shard_read_parquet", SHARD_SQL, T)
+def shard_read_parquet(spark, sf):
+    return _read_shards(spark, sf, "parquet")
 
 
 @query("shard_write_stats", "SELECT CAST(trip_order % 16 AS INTEGER) AS shard, count(*) AS docs FROM trips GROUP BY 1", T)
@@ -124,6 +132,16 @@ def serving_day(spark, sf):
     return serving.serving_day(spark.read.parquet(path), "1997-01-15")
 
 
+@query(
+    "serving_newest_day",
+    f"h AS ({HOURLY_SQL}) SELECT * FROM h WHERE pickup_date = (SELECT max(pickup_date) FROM h)",
+    T,
+)
+def serving_newest_day(spark, sf):
+    path = _published(spark, sf, "hourly", rollups.rollup_hourly)
+    return serving.serving_day(spark.read.parquet(path))
+
+
 @query("serving_top_routes", f"SELECT * FROM ({ROUTE_ROLLUP_SQL.format(least=10)}) ORDER BY total_revenue DESC, id LIMIT 10", T)
 def serving_top_routes(spark, sf):
     path = _published(spark, sf, "routes", rollups.rollup_routes)
@@ -219,6 +237,18 @@ def stream_hourly_rollup(spark, sf):
     return rollup.read_rollup(spark, out).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
 
 
+@query(
+    "stream_first_hours",
+    f"""SELECT strftime(date_trunc('hour', tpep_pickup_datetime), '%Y-%m-%d %H:%M') AS hour, count(*) AS total_trips,
+      {sum_of('total_amount')} AS total_revenue FROM trips GROUP BY 1 ORDER BY 1 LIMIT 24""",
+    T,
+)
+def stream_first_hours(spark, sf):
+    out = new_path(spark, "rollup")
+    rollup.start_hourly_rollup(_trip_stream(spark, sf), out, new_path(spark, "rollup-checkpoint")).awaitTermination()
+    return rollup.first_hours(spark, out).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
+
+
 @query(
     "stream_ingest",
     "SELECT strftime(tpep_pickup_datetime, '%Y%m') AS month, trip_order, trip_line, total_amount FROM trips",

@@ -281,6 +281,19 @@ def by_weekday(spark, sf):
     return stats.by_weekday(quality.clean_trips(fixtures.trips(spark, sf)))
 
 
+@query(
+    "by_weekday_monday_first",
+    f"""SELECT CAST(isodow(tpep_pickup_datetime) AS INTEGER) AS weekday, count(*) AS trips,
+      {sum_of('total_amount')} AS revenue, {avg_of('total_amount')} AS avg_amount, {avg_of('trip_distance')} AS avg_distance,
+      {avg_of('tip_amount')} AS avg_tip
+    FROM trips WHERE trip_distance > 0 AND fare_amount > 0 AND passenger_count > 0 GROUP BY 1""",
+    T,
+)
+def by_weekday_monday_first(spark, sf):
+    rows = fixtures.trips(spark, sf).where(quality.moving() & (F.col("passenger_count") > 0))
+    return stats.by_weekday(rows, "mon1")
+
+
 BY_HOUR_SQL = f"""SELECT {HOUR} AS hour, count(*) AS trips, {sum_of('total_amount')} AS revenue,
   {avg_of('total_amount')} AS avg_amount FROM clean GROUP BY 1"""
 
@@ -292,8 +305,8 @@ def by_hour(spark, sf):
 
 @query(
     "by_passengers",
-    f"""{CLEAN} SELECT passenger_count, count(*) AS trips, {avg_of('total_amount')} AS avg_amount,
-      {avg_of('trip_distance')} AS avg_distance FROM clean GROUP BY 1""",
+    f"""{CLEAN} SELECT passenger_count, count(*) AS trips, {sum_of('total_amount')} AS revenue,
+      {avg_of('total_amount')} AS avg_amount, {avg_of('trip_distance')} AS avg_distance FROM clean GROUP BY 1""",
     T,
 )
 def by_passengers(spark, sf):
@@ -304,11 +317,11 @@ def by_passengers(spark, sf):
     "top_zones",
     f"""SELECT PULocationID, count(*) AS trips, {sum_of('total_amount')} AS revenue,
       {avg_of('total_amount')} AS avg_amount, {avg_of('trip_distance')} AS avg_distance
-    FROM trips GROUP BY 1 ORDER BY trips DESC, PULocationID LIMIT 10""",
+    FROM trips WHERE trip_distance > 0 AND fare_amount > 0 GROUP BY 1 ORDER BY trips DESC, PULocationID LIMIT 10""",
     T,
 )
 def top_zones(spark, sf):
-    return stats.top_zones(fixtures.trips(spark, sf))
+    return stats.top_zones(fixtures.trips(spark, sf).where(quality.moving()))
 
 
 @query(

@@ -23,8 +23,9 @@ def read_serving(spark: SparkSession, path: str, order: list[Column | str], numb
     return df.orderBy(*order)
 
 
-def serving_day(hourly: DataFrame, day: str) -> DataFrame:
-    """The hours of one day (``yyyy-MM-dd``)."""
+def serving_day(hourly: DataFrame, day: str | None = None) -> DataFrame:
+    """The hours of one day (``yyyy-MM-dd``), of the newest day if none is given."""
+    day = day or hourly.agg(F.max("pickup_date")).scalar()
     return hourly.where(F.col("pickup_date") == day).orderBy("pickup_hour").limit(24)
 
 

@@ -1,4 +1,4 @@
-"""Documents as JSON lines, spread over numbered shards (one folder per shard)."""
+"""Documents spread over numbered shards, one folder each: JSON lines, or Parquet where filters shall reach the files."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from .documents import to_documents
 
 
-def write_shards(df: DataFrame, root: str, n_shards: int, shard_by: Column, max_docs: int = 1_000_000) -> DataFrame:
+def write_shards(
+    df: DataFrame, root: str, n_shards: int, shard_by: Column, max_docs: int = 1_000_000, file_format: str = "json"
+) -> DataFrame:
     """Write rows to shard ``shard_by mod n_shards`` and report what was written: (shard, docs).
 
     Adaptive execution splits large shards over several tasks, so no shard is one task's work. The documents are
@@ -21,15 +23,16 @@ def write_shards(df: DataFrame, root: str, n_shards: int, shard_by: Column, max_
         written, *[F.count_if(F.col("shard") == i).alias(f"shard{i}") for i in range(n_shards)]
     )
     writer = counted.write.mode("overwrite").option("maxRecordsPerFile", max_docs)
-    writer.partitionBy("shard").json(root)
+    writer.partitionBy("shard").format(file_format).save(root)
     rows = [(i, written.get[f"shard{i}"]) for i in range(n_shards) if written.get[f"shard{i}"]]
     return df.sparkSession.createDataFrame(rows, "shard int, docs bigint")
 
 
-def shard_stats(spark: SparkSession, root: str) -> DataFrame:
-    """(shard, files, docs) counted from the files themselves."""
-    lines = spark.read.schema("value string, shard int").text(root)
-    per_file = lines.groupBy("shard", F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("docs"))
+def shard_stats(spark: SparkSession, root: str, file_format: str = "json") -> DataFrame:
+    """(shard, files, docs) counted from the files themselves; no field is parsed."""
+    reader = spark.read.schema("shard int") if file_format == "parquet" else spark.read.schema("value string, shard int")
+    docs = reader.format("text" if file_format == "json" else file_format).load(root)
+    per_file = docs.groupBy("shard", F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("docs"))
     return per_file.groupBy("shard").agg(F.count("*").alias("files"), F.sum("docs").alias("docs"))
 
 
@@ -51,13 +54,14 @@ def read_shards(
     where: Column | None = None,
     fields: list[str] | None = None,
     shards: list[int] | None = None,
+    file_format: str = "json",
 ) -> DataFrame | None:
     """Documents of all shards (or some), filtered and projected; None if none match.
 
     Every shard is split over tasks; nothing passes through the driver. Shard numbers prune folders, the schema
-    leaves all other fields unparsed.
+    leaves all other fields unparsed, and Parquet shards skip what the filter rules out.
     """
-    df = spark.read.schema(_with_shard(schema)).json(root)
+    df = spark.read.schema(_with_shard(schema)).format(file_format).load(root)
     if shards is not None:
         df = df.where(F.col("shard").isin(shards))
     if where is not None:

@@ -41,20 +41,30 @@ def start_hourly_rollup(stream: DataFrame, out: str, checkpoint: str, once: bool
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _partials(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(PARTIAL_SCHEMA).parquet(out)
+
+
 def read_rollup(spark: SparkSession, out: str) -> DataFrame:
     """The rollup as it stands: partial sums added up per (hour, zone)."""
-    partials = spark.read.schema(PARTIAL_SCHEMA).parquet(out)
-    return partials.groupBy("hour", "PULocationID").agg(
+    return _partials(spark, out).groupBy("hour", "PULocationID").agg(
         F.sum("trips").alias("trips"),
         F.sum("revenue").cast("double").alias("revenue"),
         F.sum("distance").cast("double").alias("distance"),
     )
 
 
+def first_hours(spark: SparkSession, out: str, n: int = 24) -> DataFrame:
+    """Trips and revenue of the first ``n`` hours over all zones."""
+    hours = _partials(spark, out).groupBy("hour").agg(
+        F.sum("trips").alias("total_trips"), F.sum("revenue").cast("double").alias("total_revenue")
+    )
+    return hours.orderBy("hour").limit(n)
+
+
 def compact_rollup(spark: SparkSession, out: str, target: str) -> None:
     """Write one partial row per (hour, zone) to a new table, so that reads stay cheap after many batches."""
-    partials = spark.read.schema(PARTIAL_SCHEMA).parquet(out)
-    merged = partials.groupBy("hour", "PULocationID").agg(
+    merged = _partials(spark, out).groupBy("hour", "PULocationID").agg(
         F.sum("trips").alias("trips"),
         F.sum("revenue").cast(f"decimal(38,{PLACES})").alias("revenue"),
         F.sum("distance").cast(f"decimal(38,{PLACES})").alias("distance"),

@@ -85,6 +85,17 @@ def test_shards(spark, trips, tmp_path):
     assert shards.read_shards(spark, root, schema, F.col("PULocationID") == 99) is None
 
 
+def test_parquet_shards_push_filters_down(spark, trips, tmp_path):
+    root = str(tmp_path / "shards")
+    shards.write_shards(trips, root, 3, F.col("id"), file_format="parquet")
+    assert {r.shard: r.docs for r in shards.shard_stats(spark, root, "parquet").collect()} == Counter(r[0] % 3 for r in DATA)
+    found = shards.read_shards(
+        spark, root, "id int, PULocationID bigint", F.col("PULocationID") == 1, ["id"], [1], file_format="parquet"
+    )
+    assert "EqualTo(PULocationID,1)" in plan(found) and "(shard#" in plan(found).split("PartitionFilters: [")[1]
+    assert {r.id for r in found.collect()} == {r[0] for r in DATA if r[5] == 1 and r[0] % 3 == 1}
+
+
 def test_one_hot_shard_is_split(spark, tmp_path):
     root = str(tmp_path / "hot")
     rows = spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("pad"))
@@ -183,6 +194,9 @@ def test_streamed_rollup_equals_batch(spark, trips, trip_folder, tmp_path, rows)
         {"revenue": F.col("revenue").cast("double"), "distance": F.col("distance").cast("double")}
     )
     assert rows(rollup.read_rollup(spark, out)) == rows(batch)
+    hours = rollup.first_hours(spark, out, 5).collect()
+    expected = Counter(r[1].replace(minute=0, second=0) for r in DATA)
+    assert [(r.hour, r.total_trips) for r in hours] == sorted(expected.items())[:5]
     compacted = str(tmp_path / "compacted")
     rollup.compact_rollup(spark, out, compacted)
     assert rows(rollup.read_rollup(spark, compacted)) == rows(batch)
