@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import as_col
+
 # Display texts per code.
 PAYMENT_TYPES = {1: "Kreditkarte", 2: "Bargeld", 3: "Keine Zahlung", 4: "Streit", 5: "Unbekannt", 6: "Storniert"}
 PAYMENT_TYPES_SHORT = {1: "Kreditkarte", 2: "Bargeld", 3: "Keine Zahlung", 4: "Streit"}
@@ -26,7 +28,7 @@ UP_STATUS = {1: "UP", 0: "DOWN"}
 
 def label_codes(code: Column | str, mapping: dict, default: Column | None = None) -> Column:
     """Text of a code; codes outside the mapping get ``default`` (null if there is none)."""
-    c = F.col(code) if isinstance(code, str) else code
+    c = as_col(code)
     cases = None
     for key, text in mapping.items():
         cases = F.when(c == key, text) if cases is None else cases.when(c == key, text)
@@ -34,22 +36,22 @@ def label_codes(code: Column | str, mapping: dict, default: Column | None = None
 
 
 def payment_label(code: Column | str) -> Column:
-    c = F.col(code) if isinstance(code, str) else code
+    c = as_col(code)
     return label_codes(c, PAYMENT_TYPES, F.concat(F.lit("Typ "), c.cast("string")))
 
 
 def weekday_label(code: Column | str) -> Column:
-    c = F.col(code) if isinstance(code, str) else code
+    c = as_col(code)
     return label_codes(c, WEEKDAYS, c.cast("string"))
 
 
 def http_label(code: Column | str) -> Column:
-    c = F.col(code) if isinstance(code, str) else code
+    c = as_col(code)
     return label_codes(c, HTTP_STATUS, c.cast("string"))
 
 
 def severity_label(code: Column | str) -> Column:
-    c = F.col(code) if isinstance(code, str) else code
+    c = as_col(code)
     return label_codes(c, SEVERITIES, c)
 
 

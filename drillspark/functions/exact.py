@@ -10,17 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import as_col
+
 PLACES = 6
 _LOW_BITS = 20
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def units(c: Column | str, places: int = PLACES) -> Column:
     """Whole units of ``10**-places``; NaN counts as missing, infinity fails the query."""
-    value = F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
+    value = F.nanvl(as_col(c).cast("double"), F.lit(None).cast("double"))
     return F.rint(value * float(10**places)).cast("bigint")
 
 
@@ -39,9 +37,9 @@ def exact_sum(c: Column | str, places: int = PLACES) -> Column:
 
 def exact_avg(c: Column | str, places: int = PLACES) -> Column:
     """Mean over the rows that hold a value; null if none does."""
-    return exact_sum(c, places) / F.count(F.nanvl(_col(c).cast("double"), F.lit(None).cast("double")))
+    return exact_sum(c, places) / F.count(F.nanvl(as_col(c).cast("double"), F.lit(None).cast("double")))
 
 
 def resum(c: Column | str, places: int = PLACES) -> Column:
     """Add up sums that are already aggregated (few rows, large values)."""
-    return F.sum(_col(c).cast(f"decimal(38,{places})")).cast("double")
+    return F.sum(as_col(c).cast(f"decimal(38,{places})")).cast("double")

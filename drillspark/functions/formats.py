@@ -7,9 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+from .columns import as_col
 
 
 def _fixed(x: Column, places: int) -> Column:
@@ -20,7 +18,7 @@ def _fixed(x: Column, places: int) -> Column:
 
 def fmt_num(value: Column | str) -> Column:
     """``20542120681`` -> ``20.54 G``; units T, G, M, K; four decimals below one."""
-    v = _col(value).cast("double")
+    v = as_col(value).cast("double")
     size = F.abs(v)
     sign = F.when(v < 0, "-").otherwise("")
 
@@ -39,19 +37,19 @@ def fmt_num(value: Column | str) -> Column:
 
 def compact(count: Column | str) -> Column:
     """``1200000`` -> ``1.2M``, ``12345`` -> ``12k``, below 1000 as is."""
-    n = _col(count).cast("double")
+    n = as_col(count).cast("double")
     millions = (F.floor(n / 1e6 * 10 + 0.5) / F.lit(10.0)).cast("decimal(38,1)").cast("string")
     thousands = F.floor(n / 1e3 + 0.5).cast("string")
     return (
         F.when(n >= 1e6, F.concat(millions, F.lit("M")))
         .when(n >= 1e3, F.concat(thousands, F.lit("k")))
-        .otherwise(_col(count).cast("bigint").cast("string"))
+        .otherwise(as_col(count).cast("bigint").cast("string"))
     )
 
 
 def readable_bytes(size: Column | str) -> Column:
     """``1536`` -> ``1.50 KiB``."""
-    n = _col(size).cast("double")
+    n = as_col(size).cast("double")
     steps = [("TiB", 4), ("GiB", 3), ("MiB", 2), ("KiB", 1)]
     text = F.concat(_fixed(n, 2), F.lit(" B"))
     for unit, power in reversed(steps):
@@ -62,7 +60,7 @@ def readable_bytes(size: Column | str) -> Column:
 
 def bucket_label(low: Column | str, gap: int, style: str) -> Column:
     """``money`` gives ``$0-10``, ``ms`` gives ``0-200ms``, ``hour`` gives ``07:00``."""
-    lo = _col(low).cast("bigint")
+    lo = as_col(low).cast("bigint")
     high = (lo + F.lit(gap)).cast("string")
     if style == "money":
         return F.concat(F.lit("$"), lo.cast("string"), F.lit("-"), high)
@@ -75,24 +73,24 @@ def bucket_label(low: Column | str, gap: int, style: str) -> Column:
 
 def shorten(text: Column | str, width: int = 15) -> Column:
     """Text longer than ``width`` keeps ``width - 3`` characters and three dots."""
-    c = _col(text)
+    c = as_col(text)
     return F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 3), F.lit("..."))).otherwise(c)
 
 
 def strip_domain(host: Column | str, domain: str = ".cloud.local") -> Column:
-    return F.replace(_col(host), F.lit(domain), F.lit(""))
+    return F.replace(as_col(host), F.lit(domain), F.lit(""))
 
 
 def band(value: Column | str, bounds: list[float], labels: list[str]) -> Column:
     """Label of the first bound the value lies below; the last label beyond all bounds."""
-    v = _col(value)
+    v = as_col(value)
     pairs = list(zip(bounds, labels))
     return reduce(lambda rest, p: F.when(v < p[0], p[1]).otherwise(rest), reversed(pairs), F.lit(labels[-1]))
 
 
 def status_band(value: Column | str, steps: list[tuple[float | None, str]]) -> Column:
     """Colour of the highest step whose start is reached; the step without a start is the base colour."""
-    v = _col(value)
+    v = as_col(value)
     base = next(colour for start, colour in steps if start is None)
     starts = sorted(((start, colour) for start, colour in steps if start is not None), reverse=True)
     return reduce(lambda rest, s: F.when(v >= s[0], s[1]).otherwise(rest), reversed(starts), F.lit(base))
@@ -100,19 +98,19 @@ def status_band(value: Column | str, steps: list[tuple[float | None, str]]) -> C
 
 def encode_status(colour: Column | str, value: Column | str) -> Column:
     """Aggregate: green flags count 1, yellow 2, red 3, summed over the rows of a group."""
-    weight = F.when(_col(colour) == "green", 1).when(_col(colour) == "yellow", 2).when(_col(colour) == "red", 3)
-    return F.sum(weight * _col(value))
+    weight = F.when(as_col(colour) == "green", 1).when(as_col(colour) == "yellow", 2).when(as_col(colour) == "red", 3)
+    return F.sum(weight * as_col(value))
 
 
 def to_bits(bytes_: Column | str) -> Column:
-    return _col(bytes_) * 8
+    return as_col(bytes_) * 8
 
 
 def make_id(*parts: Column | str) -> Column:
     """Key parts joined with ``_``: the same row always gets the same id, so writing twice is harmless."""
-    return F.concat_ws("_", *[_col(p) for p in parts])
+    return F.concat_ws("_", *[as_col(p) for p in parts])
 
 
 def row_id(*parts: Column | str) -> Column:
     """A fixed-length id of any columns, for rows without a short key."""
-    return F.sha2(F.to_json(F.struct(*[_col(p) for p in parts])), 256)
+    return F.sha2(F.to_json(F.struct(*[as_col(p) for p in parts])), 256)

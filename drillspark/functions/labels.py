@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import as_col
+
 # Labels that never enter the metric name, and suffixes of quantiles.
 STANDARD_LABELS = ["job", "instance"]
 IGNORED_LABELS = ["base_url", "cluster_id", "core", "fstype", "__name__"]
@@ -20,30 +22,26 @@ QUANTILE_SUFFIX = {
 }
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def label(labels: Column | str, name: str) -> Column:
     """Value of a label; a missing label is the empty text."""
-    return F.coalesce(F.element_at(_col(labels), F.lit(name)), F.lit(""))
+    return F.coalesce(F.element_at(as_col(labels), F.lit(name)), F.lit(""))
 
 
 def host_of(instance: Column | str) -> Column:
     """``node1.cloud.local:9100`` -> ``node1``; without a dot the text before the colon."""
-    c = F.coalesce(_col(instance), F.lit(""))
+    c = F.coalesce(as_col(instance), F.lit(""))
     return F.when(F.contains(c, F.lit(".")), F.substring_index(c, ".", 1)).otherwise(F.substring_index(c, ":", 1))
 
 
 def strip_job(name: Column | str, job: Column | str) -> Column:
     """Metric name without a leading ``<job>_``."""
-    n, j = _col(name), _col(job)
+    n, j = as_col(name), as_col(job)
     leads = (j != "") & F.startswith(n, F.concat(j, F.lit("_")))
     return F.when(leads, n.substr(F.length(j) + 2, F.length(n))).otherwise(n)
 
 
 def name_parts(name: Column | str) -> Column:
-    return F.split(_col(name), "_", -1)
+    return F.split(as_col(name), "_", -1)
 
 
 def name_prefixes(name: Column | str) -> Column:
@@ -55,7 +53,7 @@ def name_prefixes(name: Column | str) -> Column:
 def label_suffix(labels: Column | str) -> Column:
     """Remaining labels as ``key_value`` in key order; ``/`` and blanks become ``_``; empty without labels."""
     skipped = [*STANDARD_LABELS, *IGNORED_LABELS, *HISTOGRAM_LABELS]
-    kept = F.map_filter(_col(labels), lambda k, v: ~k.isin(skipped))
+    kept = F.map_filter(as_col(labels), lambda k, v: ~k.isin(skipped))
     entries = F.array_sort(F.map_entries(kept))
     return F.array_join(
         F.transform(entries, lambda e: F.concat(e["key"], F.lit("_"), F.translate(e["value"], "/ ", "__"))), "_"
@@ -64,7 +62,7 @@ def label_suffix(labels: Column | str) -> Column:
 
 def quantile_suffix(quantile: Column | str) -> Column:
     """``0.99`` -> ``_p99``; unknown quantiles keep their digits; empty without a quantile."""
-    q = _col(quantile)
+    q = as_col(quantile)
     text = F.concat(F.lit("_p"), F.replace(q, F.lit("."), F.lit("")))
     for known, suffix in QUANTILE_SUFFIX.items():
         text = F.when(q == known, suffix).otherwise(text)

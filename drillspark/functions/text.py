@@ -8,17 +8,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import as_col
+
 _GAP = r"[^\p{L}\p{N}]"
 _WORD = r"[\p{L}\p{N}]"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def tokens(text: Column | str) -> Column:
     """Lower-case words: runs of letters and digits."""
-    return F.filter(F.split(F.lower(_col(text)), f"{_GAP}+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(as_col(text)), f"{_GAP}+"), lambda w: w != "")
 
 
 def query_words(query: str) -> list[str]:
@@ -37,7 +35,7 @@ def query_words(query: str) -> list[str]:
 
 def _holds(text: Column | str, words: list[str], pattern: str) -> Column:
     """A plain search for the words first: it spares most texts the pattern."""
-    lower = F.lower(_col(text))
+    lower = F.lower(as_col(text))
     somewhere = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in words])
     return F.coalesce(somewhere & lower.rlike(pattern), F.lit(False))
 
@@ -60,5 +58,5 @@ def has_word_prefix(text: Column | str, prefix: str) -> Column:
 
 
 def is_finite(value: Column | str) -> Column:
-    v = _col(value)
+    v = as_col(value)
     return F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))

@@ -5,66 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+from .columns import as_col
 
 
 def hour_of(ts: Column | str) -> Column:
-    return F.hour(_col(ts))
+    return F.hour(as_col(ts))
 
 
 def weekday(ts: Column | str, convention: str = "sun1") -> Column:
     """Day of week: ``sun1`` 1=Sunday..7=Saturday, ``mon1`` 1=Monday..7=Sunday, ``mon0`` 0=Monday..6=Sunday."""
     if convention == "sun1":
-        return F.dayofweek(_col(ts))
+        return F.dayofweek(as_col(ts))
     if convention == "mon1":
-        return F.weekday(_col(ts)) + 1
+        return F.weekday(as_col(ts)) + 1
     if convention == "mon0":
-        return F.weekday(_col(ts))
+        return F.weekday(as_col(ts))
     raise ValueError(f"unknown weekday convention: {convention}")
 
 
 def day_of(ts: Column | str) -> Column:
-    return F.to_date(_col(ts))
+    return F.to_date(as_col(ts))
 
 
 def month_key(ts: Column | str) -> Column:
     """``yyyyMM``."""
-    return F.date_format(_col(ts), "yyyyMM")
+    return F.date_format(as_col(ts), "yyyyMM")
 
 
 def hour_start(ts: Column | str) -> Column:
-    return F.date_trunc("hour", _col(ts))
+    return F.date_trunc("hour", as_col(ts))
 
 
 def fmt_ts(ts: Column | str, pattern: str = "yyyy-MM-dd") -> Column:
-    return F.date_format(_col(ts), pattern)
+    return F.date_format(as_col(ts), pattern)
 
 
 def iso_z(ts: Column | str) -> Column:
     """``2023-01-09T14:32:00Z``."""
-    return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(as_col(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def minutes_elapsed(start: Column | str, end: Column | str) -> Column:
     """Fractional minutes between two instants."""
-    micros = [F.unix_micros(_col(c).cast("timestamp")) for c in (start, end)]
+    micros = [F.unix_micros(as_col(c).cast("timestamp")) for c in (start, end)]
     return (micros[1] - micros[0]) / F.lit(60_000_000.0)
 
 
 def minute_boundaries(start: Column | str, end: Column | str) -> Column:
     """Number of full-minute marks crossed, seconds ignored."""
-    minutes = [F.floor(F.unix_seconds(_col(c).cast("timestamp")) / 60) for c in (start, end)]
+    minutes = [F.floor(F.unix_seconds(as_col(c).cast("timestamp")) / 60) for c in (start, end)]
     return minutes[1] - minutes[0]
 
 
 def parse_iso(text: Column | str) -> Column:
     """Timestamp from the first 19 characters of ISO text; shorter or wrong text gives null."""
-    c = _col(text)
+    c = as_col(text)
     joined = F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 8))
     return F.when(F.length(c) >= 19, F.try_to_timestamp(joined, F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
 def from_epoch_ms(ms: Column | str) -> Column:
-    return F.timestamp_millis(_col(ms))
+    return F.timestamp_millis(as_col(ms))

@@ -44,7 +44,7 @@ def split_metric(series: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     the whole name, that more than ``threshold`` series share. It is found once per distinct (job, name).
     """
     names = stage_table(_names(series), "metric-names")
-    hot = stage_table(hot_prefixes(_prefix_counts(names), threshold, None).select("job", "prefix"), "hot-prefixes")
+    hot = _prefix_counts(names).where(F.col("n") > threshold).select("job", "prefix")
     cut = names.select("job", "name", F.posexplode(name_prefixes("name")).alias("i", "prefix"))
     cut = cut.where(F.col("i") + 1 < F.size(name_parts("name")))
     found = cut.join(hot, ["job", "prefix"]).groupBy("job", "name").agg(F.max(F.col("i") + 1).alias("split"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import as_col
 from .filters import Fields, Filters, field_predicates
 
 TOTAL = "*"
@@ -17,7 +18,8 @@ def facets(
 ) -> DataFrame:
     """Counts per field under all filters except the field's own, top ``limit`` values per field.
 
-    Returns (field, value, count, rank); the row with field ``*`` holds the number of rows under all filters.
+    Returns (field, value, count, rank); the row with field ``*`` holds the number of rows under all filters and is
+    absent if there are none.
     ``sort`` ranks by ``count``, by ``value``, or ``none`` (order of the counts is then left open).
 
     One scan serves all fields: a row counts for a field if no other field's filter rejects it, so rows that two
@@ -60,10 +62,9 @@ def facets(
 
 def facet(df: DataFrame, column: Column | str, where: Column | None = None, limit: int | None = 20) -> DataFrame:
     """Rows per value of one field, largest first; rows without a value are not counted."""
-    value = F.col(column) if isinstance(column, str) else column
     rows = df if where is None else df.where(where)
     counts = (
-        rows.select(value.alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("count"))
+        rows.select(as_col(column).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("count"))
     )
     ordered = counts.orderBy(F.desc("count"), F.asc("value"))
     return ordered if limit is None else ordered.limit(limit)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..functions.columns import as_col
 
 Filters = Mapping[str, Iterable]
 
@@ -145,8 +146,7 @@ def subset(df: DataFrame, where: Column, fields: list[str]) -> DataFrame:
 
 def time_range(ts: Column | str, start: str, end: str) -> Column:
     """Both ends included, times without zone."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return c.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    return as_col(ts).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
 
 
 def count_filtered(df: DataFrame, filters: Filters, fields: Fields, cap: int | None = None) -> DataFrame:
