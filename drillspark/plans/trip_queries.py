@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions import codes, formats, times
-from ..operators import facets, filters, histograms, lookups, quality, reconcile, rollups, routes, stats
+from ..operators import facets, filters, histograms, lookups, quality, reconcile, rollups, routes, stats, suite
 from ..operators.filters import TRIP_FIELDS, compile_filters
 from .registry import avg_of, query, sum_of
 
@@ -616,66 +616,27 @@ def kpi_cards(spark, sf):
     return cards.withColumn("avg_from_averages", F.round("avg_from_averages", 6))
 
 
-# The seven queries of the benchmark suite.
-@query("bench_count", "SELECT count(*) AS trips FROM trips", T)
-def bench_count(spark, sf):
-    return fixtures.trips(spark, sf).agg(F.count("*").alias("trips"))
-
-
-@query(
-    "bench_sum_avg",
-    f"""SELECT {sum_of('total_amount')} AS revenue, {avg_of('trip_distance')} AS avg_distance,
-    {avg_of('tip_amount')} AS avg_tip FROM trips""",
-    T,
-)
-def bench_sum_avg(spark, sf):
-    avgs = {"avg_distance": "trip_distance", "avg_tip": "tip_amount"}
-    return stats.grouped(fixtures.trips(spark, sf), [], "n", {"revenue": "total_amount"}, avgs).drop("n")
-
-
-@query(
-    "bench_weekday",
-    f"SELECT {DOW} AS weekday, count(*) AS trips, {avg_of('total_amount')} AS avg_amount FROM trips GROUP BY 1",
-    T,
-)
-def bench_weekday(spark, sf):
-    day = {"weekday": times.weekday(PICKUP)}
-    return stats.grouped(fixtures.trips(spark, sf), day, "trips", avgs={"avg_amount": "total_amount"}).orderBy("weekday")
-
-
-@query(
-    "bench_hour",
-    f"SELECT {HOUR} AS hour, count(*) AS trips, {sum_of('total_amount')} AS revenue FROM trips GROUP BY 1",
-    T,
-)
-def bench_hour(spark, sf):
-    hour = {"hour": times.hour_of(PICKUP)}
-    return stats.grouped(fixtures.trips(spark, sf), hour, "trips", {"revenue": "total_amount"}).orderBy("hour")
-
-
-@query(
-    "bench_top_locations",
-    "SELECT PULocationID AS value, count(*) AS count FROM trips GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    T,
-)
-def bench_top_locations(spark, sf):
-    return facets.facet(fixtures.trips(spark, sf), "PULocationID", limit=10)
+SUITE_SQL = {
+    "count": "SELECT count(*) AS trips FROM trips",
+    "sum_avg": f"""SELECT {sum_of('total_amount')} AS revenue, {avg_of('trip_distance')} AS avg_distance,
+      {avg_of('tip_amount')} AS avg_tip FROM trips""",
+    "weekday": f"SELECT {DOW} AS weekday, count(*) AS trips, {avg_of('total_amount')} AS avg_amount FROM trips GROUP BY 1",
+    "hour": f"SELECT {HOUR} AS hour, count(*) AS trips, {sum_of('total_amount')} AS revenue FROM trips GROUP BY 1",
+    "top_locations": "SELECT PULocationID AS value, count(*) AS count FROM trips GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "week": f"""SELECT count(*) AS trips, {avg_of('total_amount')} AS avg_amount FROM trips
+      WHERE tpep_pickup_datetime BETWEEN TIMESTAMP '1997-01-09' AND TIMESTAMP '1997-01-16'""",
+    "month": BY_MONTH_SQL,
+}
 
 
-@query(
-    "bench_week",
-    f"""SELECT count(*) AS trips, {avg_of('total_amount')} AS avg_amount FROM trips
-    WHERE tpep_pickup_datetime BETWEEN TIMESTAMP '1997-01-09' AND TIMESTAMP '1997-01-16'""",
-    T,
-)
-def bench_week(spark, sf):
-    week = fixtures.trips(spark, sf).where(filters.time_range(PICKUP, "1997-01-09", "1997-01-16"))
-    return stats.grouped(week, [], "trips", avgs={"avg_amount": "total_amount"})
+def _suite_query(name: str):
+    @query(f"bench_{name}", SUITE_SQL[name], T)
+    def run(spark, sf):
+        return suite.SUITE[name](fixtures.trips(spark, sf), ("1997-01-09", "1997-01-16"))
 
 
-@query("bench_month", BY_MONTH_SQL, T)
-def bench_month(spark, sf):
-    return rollups.by_month(fixtures.trips(spark, sf))
+for _name in SUITE_SQL:
+    _suite_query(_name)
 
 
 @query(

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from drillspark.operators import facets, filters, histograms, lookups, quality, reconcile, rollups, routes, stats
+from drillspark.operators import facets, filters, histograms, lookups, quality, reconcile, rollups, routes, stats, suite
 from drillspark.operators.filters import TRIP_FIELDS, compile_filters, selection_to_filters
 from trips_data import SCHEMA, as_dicts, make_trips
 
@@ -255,3 +255,8 @@ def test_zone_names(spark, tmp_path, trips):
     assert (named[1].pu_name, named[1].pu_label, named[1].pu_borough) == ("Alpha", "Alpha (N)", "North")
     assert (named[5].pu_name, named[5].pu_label, named[5].pu_borough, named[5].pu_short) == ("Zone 5", "Zone 5", "Unknown", "N/A")
     assert len(named) == counted.count()
+
+
+def test_suite_is_timed(trips):
+    timed = suite.bench_suite(trips).collect()
+    assert len(timed) == 7 and all(r.seconds > 0 and r.rows_per_second > 0 for r in timed)
