@@ -7,6 +7,8 @@ a high part and a low part of 20 bits, so that neither sum overflows below 8 * 1
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ def decimal_sum(c: Column | str, places: int = PLACES) -> Column:
     high = F.sum(F.shiftright(u, _LOW_BITS)).cast("decimal(20,0)")
     low = F.sum(u.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(20,0)")
     whole = (high * F.lit(1 << _LOW_BITS).cast("decimal(8,0)") + low).cast("decimal(30,0)")
-    return (whole * F.lit(f"0.{'0' * (places - 1)}1").cast(f"decimal({places},{places})")).cast(f"decimal(38,{places})")
+    unit = F.lit(Decimal(1).scaleb(-places)).cast(f"decimal({places + 1},{places})")
+    return (whole * unit).cast(f"decimal(38,{places})")
 
 
 def exact_sum(c: Column | str, places: int = PLACES) -> Column:

@@ -47,7 +47,7 @@ def event_stats(df: DataFrame, filters: Filters, field: str, fields: Fields = EV
     stats = rows.groupBy(by.alias(field)).agg(
         F.count("*").alias("count"),
         exact_avg("response_time_ms").alias("avg_response_time_ms"),
-        F.sum("bytes_sent").alias("sum_bytes_sent"),
+        exact_sum("bytes_sent", 0).alias("sum_bytes_sent"),
     )
     if field in fields.virtual:
         return stats.orderBy(field)

@@ -66,7 +66,7 @@ def facets_events(spark, sf):
 @query(
     "event_stats_host",
     f"""SELECT host, count(*) AS count, {avg_of('response_time_ms')} AS avg_response_time_ms,
-      CAST(sum(bytes_sent) AS BIGINT) AS sum_bytes_sent FROM monitoring GROUP BY 1 ORDER BY count DESC, host LIMIT 50""",
+      CAST(sum(bytes_sent) AS DOUBLE) AS sum_bytes_sent FROM monitoring GROUP BY 1 ORDER BY count DESC, host LIMIT 50""",
     M,
 )
 def event_stats_host(spark, sf):
@@ -76,7 +76,7 @@ def event_stats_host(spark, sf):
 @query(
     "event_stats_hour",
     f"""SELECT {HOUR} AS event_hour, count(*) AS count, {avg_of('response_time_ms')} AS avg_response_time_ms,
-      CAST(sum(bytes_sent) AS BIGINT) AS sum_bytes_sent FROM monitoring WHERE {ALERT} GROUP BY 1""",
+      CAST(sum(bytes_sent) AS DOUBLE) AS sum_bytes_sent FROM monitoring WHERE {ALERT} GROUP BY 1""",
     M,
 )
 def event_stats_hour(spark, sf):
