@@ -73,6 +73,20 @@ def test_executors_need_not_have_the_package(tmp_path):
         assert run.stdout.strip() == "[]", run.stderr
 
 
+def test_one_hot_day_of_one_series_is_packed_by_many_tasks(spark):
+    points = spark.range(200_000).selectExpr(
+        "'h' AS host", "'p' AS process", "'g' AS metricGroup", "'m' AS metricName",
+        "1700006400000 + id * 100 AS timestamp_ms", "rand(1) AS value",
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        docs = packed.pack_series(points.repartition(16)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len({d.task for d in docs}) > 4
+    assert sum(d.ts_data_amountValues for d in docs) == 200_000
+
+
 def test_merging_cleans_and_recounts(samples, rows):
     docs = packed.pack_series(samples)
     counts = defaultdict(int)

@@ -54,3 +54,16 @@ def test_facets_cut_their_lists_before_the_shuffle(spark):
 def test_columns_are_pruned(spark):
     plan = entry.queries()["bench_top_locations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_suppkey:bigint>" in plan
+
+
+@pytest.mark.parametrize("name", ["zscore", "dimensional", "label_catalogue", "zone_lookup", "counter_rate", "host_comparison"])
+def test_results_without_any_broadcast(spark, con, name):
+    """What is too large to broadcast is joined by shuffle, with the same result."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" not in entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert check.compare(spark, con, name, SF).startswith("ok")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
