@@ -14,13 +14,13 @@ TOTAL = "*"
 
 
 def facets(
-    df: DataFrame, filters: Filters, names: list[str], fields: Fields, limit: int = 30, sort: str = "count"
+    df: DataFrame, filters: Filters, names: list[str], fields: Fields, limit: int | None = 30, sort: str = "count"
 ) -> DataFrame:
-    """Counts per field under all filters except the field's own, top ``limit`` values per field.
+    """Counts per field under all filters except the field's own, top ``limit`` values per field (None: all of them).
 
     Returns (field, value, count, rank); the row with field ``*`` holds the number of rows under all filters and is
-    absent if there are none.
-    ``sort`` ranks by ``count``, by ``value``, or ``none`` (order of the counts is then left open).
+    absent if there are none. ``sort`` ranks the shown values by ``count``, by ``value``, or ``none`` (no rank); without
+    a limit there is no rank either.
 
     One scan serves all fields: a row counts for a field if no other field's filter rejects it, so rows that two
     filters reject drop out at once.
@@ -47,6 +47,8 @@ def facets(
         .groupBy("item.field", "item.value")
         .agg(F.count("*").alias("count"))
     )
+    if limit is None:
+        return counted
     per_field = Window.partitionBy("field")
     by_count = per_field.orderBy(F.desc("count"), F.asc("value"))
     top = counted.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= limit)
@@ -63,9 +65,8 @@ def facets(
 def facet(df: DataFrame, column: Column | str, where: Column | None = None, limit: int | None = 20) -> DataFrame:
     """Rows per value of one field, largest first; rows without a value are not counted."""
     rows = df if where is None else df.where(where)
-    counts = (
-        rows.select(as_col(column).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("count"))
-    )
+    values = rows.select(as_col(column).alias("value")).where(F.col("value").isNotNull())
+    counts = values.groupBy("value").agg(F.count("*").alias("count"))
     ordered = counts.orderBy(F.desc("count"), F.asc("value"))
     return ordered if limit is None else ordered.limit(limit)
 

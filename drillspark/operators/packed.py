@@ -23,6 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The layout of one packed point.
 POINT = np.dtype([("value", ">f8"), ("ts", ">i8")])
+# First and last millisecond of the years 1 to 9999; points outside carry no usable time.
+TIME_RANGE = (-62_135_596_800_000, 253_402_300_799_999)
 DAY_MS = 86_400_000
 MAX_POINTS = 50_000
 
@@ -55,15 +57,17 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [_points(text) for text in batch.column("ts_data").to_pylist()]
         if not arrays:
             continue
-        row_of_point = pa.array(np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]))
         points = np.concatenate(arrays)
+        usable = (points["ts"] >= TIME_RANGE[0]) & (points["ts"] <= TIME_RANGE[1])
+        row_of_point = pa.array(np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])[usable])
+        points = points[usable]
         keys = [batch.column(document).take(row_of_point) for document in DOCUMENT_COLUMNS.values()]
         values = [pa.array(points["ts"].astype("i8")), pa.array(points["value"].astype("f8"))]
         yield pa.RecordBatch.from_arrays(keys + values, [*DOCUMENT_COLUMNS, "timestamp_ms", "value"])
 
 
 def decode_series(docs: DataFrame) -> DataFrame:
-    """One row per point of every document."""
+    """One row per point of every document; points without a usable time are left out."""
     return docs.select(*DOCUMENT_COLUMNS.values(), "ts_data").mapInArrow(_unpack, _POINT_SCHEMA)
 
 

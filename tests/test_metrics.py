@@ -54,7 +54,7 @@ def test_packing_and_decoding_give_the_points_back(samples):
 
 
 def test_broken_documents(spark):
-    good = base64.b64encode(struct.pack(">dqdq", 1.5, 10, 2.5, 20) + b"tail").decode()
+    good = base64.b64encode(struct.pack(">dqdqdq", 1.5, 10, 9.9, 2**62, 2.5, 20) + b"tail").decode()
     docs = spark.createDataFrame(
         [("h", "p", "g", "m", text) for text in (good, "A", "", None)],
         "ts_host string, ts_process string, ts_metricGroup string, ts_metricName string, ts_data string",
