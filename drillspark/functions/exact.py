@@ -3,46 +3,47 @@
 Adding doubles gives other last digits each time a shuffle delivers rows in another order, or a lost task is run
 again. Amounts are therefore counted in whole units of ``10**-places`` and added as integers. The count is split into
 a high part and a low part of 20 bits, so that neither sum overflows below 8 * 10**12 rows and a total of 9 * 10**18.
+
+The functions take the name of a column; a computed measure gets a name first, so it is computed once per row.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import as_col
-
 PLACES = 6
-_LOW_BITS = 20
 
 
-def units(c: Column | str, places: int = PLACES) -> Column:
-    """Whole units of ``10**-places``; NaN counts as missing, infinity fails the query."""
-    value = F.nanvl(as_col(c).cast("double"), F.lit(None).cast("double"))
-    return F.rint(value * float(10**places)).cast("bigint")
+def _present(column: str) -> str:
+    """The value, with NaN as missing."""
+    return f"nanvl(CAST(`{column}` AS DOUBLE), CAST(NULL AS DOUBLE))"
+
+
+def _decimal_sum(column: str, places: int) -> str:
+    if not 0 <= places <= PLACES:
+        raise ValueError(f"0 to {PLACES} decimal places, not {places}")
+    # Infinity has no whole number of units and fails the query.
+    units = f"CAST(rint({_present(column)} * {10**places}D) AS BIGINT)"
+    high = f"CAST(sum(shiftright({units}, 20)) AS DECIMAL(20,0)) * CAST(1048576 AS DECIMAL(8,0))"
+    low = f"CAST(sum({units} & 1048575) AS DECIMAL(20,0))"
+    return f"CAST(({high} + {low}) * CAST('1e-{places}' AS DECIMAL({places + 1},{places})) AS DECIMAL(38,{places}))"
 
 
-def decimal_sum(c: Column | str, places: int = PLACES) -> Column:
+def decimal_sum(column: str, places: int = PLACES) -> Column:
     """Sum as DECIMAL(38, places); partial sums of this type add up exactly later."""
-    u = units(c, places)
-    high = F.sum(F.shiftright(u, _LOW_BITS)).cast("decimal(20,0)")
-    low = F.sum(u.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(20,0)")
-    whole = (high * F.lit(1 << _LOW_BITS).cast("decimal(8,0)") + low).cast("decimal(30,0)")
-    unit = F.lit(Decimal(1).scaleb(-places)).cast(f"decimal({places + 1},{places})")
-    return (whole * unit).cast(f"decimal(38,{places})")
+    return F.expr(_decimal_sum(column, places))
 
 
-def exact_sum(c: Column | str, places: int = PLACES) -> Column:
-    return decimal_sum(c, places).cast("double")
+def exact_sum(column: str, places: int = PLACES) -> Column:
+    return F.expr(f"CAST({_decimal_sum(column, places)} AS DOUBLE)")
 
 
-def exact_avg(c: Column | str, places: int = PLACES) -> Column:
+def exact_avg(column: str, places: int = PLACES) -> Column:
     """Mean over the rows that hold a value; null if none does."""
-    return exact_sum(c, places) / F.count(F.nanvl(as_col(c).cast("double"), F.lit(None).cast("double")))
+    return F.expr(f"CAST({_decimal_sum(column, places)} AS DOUBLE) / count({_present(column)})")
 
 
-def resum(c: Column | str, places: int = PLACES) -> Column:
+def resum(column: str, places: int = PLACES) -> Column:
     """Add up sums that are already aggregated (few rows, large values)."""
-    return F.sum(as_col(c).cast(f"decimal(38,{places})")).cast("double")
+    return F.expr(f"CAST(sum(CAST(`{column}` AS DECIMAL(38,{places}))) AS DOUBLE)")

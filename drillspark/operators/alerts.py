@@ -22,18 +22,19 @@ def top_alerts(df: DataFrame, filters: Filters | None = None, n: int = 5, fields
     """
     alert = F.col("severity").isin(ALERT_SEVERITIES)
 
-    def mean(c: str):
-        return F.coalesce(exact_avg(F.when(alert, F.col(c))), F.lit(0.0))
-
     latest = F.max_by(
         F.struct("message", "event_ts", "severity"), F.when(alert, F.struct("event_ts", "event_id"))
     )
-    pairs = df.where(compile_filters(filters, fields)).groupBy("host", "service").agg(
+    measures = ["cpu_percent", "memory_percent", "response_time_ms"]
+    rows = df.where(compile_filters(filters, fields))
+    marked = rows.withColumns({f"_{m}": F.when(alert, F.col(m)) for m in measures})
+    cpu, memory, response = [F.coalesce(exact_avg(f"_{m}"), F.lit(0.0)) for m in measures]
+    pairs = marked.groupBy("host", "service").agg(
         F.count("*").alias("all_events"),
         F.count_if(alert).alias("error_count"),
-        mean("cpu_percent").alias("avg_cpu"),
-        mean("memory_percent").alias("avg_memory"),
-        mean("response_time_ms").alias("avg_response_ms"),
+        cpu.alias("avg_cpu"),
+        memory.alias("avg_memory"),
+        response.alias("avg_response_ms"),
         latest.alias("latest"),
     )
     pairs = stage_table(pairs, "alert-pairs")

@@ -130,9 +130,9 @@ def tip_by_distance(df: DataFrame) -> DataFrame:
     rate = F.when(F.col("fare_amount") > 0, F.col("tip_amount") / F.col("fare_amount") * 100).otherwise(0)
     miles = F.col("trip_distance")
     band = F.when(miles < 2, "0-2 mi").when(miles < 5, "2-5 mi").when(miles < 10, "5-10 mi").otherwise("10+ mi")
-    stats = df.groupBy(band.alias("distance_bucket")).agg(
+    stats = df.withColumn("_rate", rate).groupBy(band.alias("distance_bucket")).agg(
         F.count("*").alias("trips"),
-        exact_avg(rate).alias("avg_tip_rate"),
+        exact_avg("_rate").alias("avg_tip_rate"),
         exact_avg("tip_amount").alias("avg_tip"),
         exact_avg("total_amount").alias("avg_total"),
     )

@@ -15,7 +15,7 @@ PICKUP, DROPOFF = "tpep_pickup_datetime", "tpep_dropoff_datetime"
 def rollup_hourly(df: DataFrame) -> DataFrame:
     """One row per (date, hour) with id ``yyyyMMdd_HH``."""
     rollup = grouped(
-        df,
+        df.withColumn("_minutes", times.minutes_elapsed(PICKUP, DROPOFF)),
         {"pickup_date": times.day_of(PICKUP), "pickup_hour": times.hour_of(PICKUP)},
         "trip_count",
         {"total_revenue": "total_amount", "total_passengers": "passenger_count"},
@@ -23,7 +23,7 @@ def rollup_hourly(df: DataFrame) -> DataFrame:
             "avg_fare": "total_amount",
             "avg_distance": "trip_distance",
             "avg_tip": "tip_amount",
-            "avg_duration_min": times.minutes_elapsed(PICKUP, DROPOFF),
+            "avg_duration_min": "_minutes",
         },
     )
     hour = F.lpad(F.col("pickup_hour").cast("string"), 2, "0")

@@ -17,11 +17,11 @@ def grouped(
     df: DataFrame,
     keys: Mapping[str, Column] | list[str],
     count: str,
-    sums: Mapping[str, Column | str] | None = None,
-    avgs: Mapping[str, Column | str] | None = None,
-    maxs: Mapping[str, Column | str] | None = None,
+    sums: Mapping[str, str] | None = None,
+    avgs: Mapping[str, str] | None = None,
+    maxs: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Count, exact sums, exact averages and maxima per key, combined on the map side."""
+    """Count, exact sums, exact averages and maxima of columns per key, combined on the map side."""
     if not isinstance(keys, Mapping):
         keys = {k: F.col(k) for k in keys}
     measures = [F.count("*").alias(count)]
@@ -139,10 +139,11 @@ def with_share(stats: DataFrame, column: str, width: int = 20) -> DataFrame:
 def kpi_cards(hourly: DataFrame, daily: DataFrame) -> DataFrame:
     """Headline numbers from hourly and daily statistics: weighted and plain averages, peak hour, totals."""
     peak = F.max_by("pickup_hour", F.struct(F.col("count"), -F.col("pickup_hour")))
-    cards = hourly.agg(
+    weighted = hourly.withColumn("_weighted", F.col("avg_total_amount") * F.col("count"))
+    cards = weighted.agg(
         F.sum("count").alias("trips"),
         resum("sum_total_amount").alias("total_revenue"),
         peak.alias("peak_hour"),
-        (resum(F.col("avg_total_amount") * F.col("count")) / F.sum("count")).alias("avg_from_averages"),
+        (resum("_weighted") / F.sum("count")).alias("avg_from_averages"),
     ).withColumn("avg_fare", F.col("total_revenue") / F.col("trips"))
     return cards.withColumn("mean_daily_avg_fare", daily.agg(exact_avg("avg_fare")).scalar())

@@ -121,7 +121,7 @@ def test_exact_sum_beyond_one_long(spark):
     assert df.agg(exact.exact_sum("x").alias("s")).first().s == 3.6e13
 
 
-@pytest.mark.parametrize("places", [0, 1, 2, 6, 9])
+@pytest.mark.parametrize("places", [0, 1, 2, 6])
 def test_places(spark, places):
     df = spark.createDataFrame([(1.25,), (2.5,), (-0.125,)], "x double")
     total = df.agg(exact.decimal_sum("x", places).alias("s")).first().s
