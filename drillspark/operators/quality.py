@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.exact import exact_avg
+from ..functions.formats import band
 from .rollups import DROPOFF, PICKUP
 
 
+# Upper ends of the distance bands in miles, and their names.
+DISTANCE_BANDS = ([2, 5, 10], ["0-2 mi", "2-5 mi", "5-10 mi", "10+ mi"])
+
+
 def plausible() -> Column:
     """0 < distance < 100, 0 < fare < 500, 0 < passengers <= 6."""
     distance, fare, passengers = F.col("trip_distance"), F.col("fare_amount"), F.col("passenger_count")
@@ -128,9 +133,8 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def tip_by_distance(df: DataFrame) -> DataFrame:
     """Average tip rate (percent of the fare), tip and total per distance band."""
     rate = F.when(F.col("fare_amount") > 0, F.col("tip_amount") / F.col("fare_amount") * 100).otherwise(0)
-    miles = F.col("trip_distance")
-    band = F.when(miles < 2, "0-2 mi").when(miles < 5, "2-5 mi").when(miles < 10, "5-10 mi").otherwise("10+ mi")
-    stats = df.withColumn("_rate", rate).groupBy(band.alias("distance_bucket")).agg(
+    miles = band("trip_distance", *DISTANCE_BANDS).alias("distance_bucket")
+    stats = df.withColumn("_rate", rate).groupBy(miles).agg(
         F.count("*").alias("trips"),
         exact_avg("_rate").alias("avg_tip_rate"),
         exact_avg("tip_amount").alias("avg_tip"),

@@ -20,7 +20,7 @@ def build_session(app: str = "drillspark", master: str | None = None, **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.ui.enabled": "false",
+        **({"spark.ui.enabled": "false"} if (master or "").startswith("local") else {}),
         **conf,
     }
     for key, value in settings.items():
