@@ -18,8 +18,8 @@ def facets(
 ) -> DataFrame:
     """Counts per field under all filters except the field's own, top ``limit`` values per field (None: all of them).
 
-    Returns (field, value, count, rank); the row with field ``*`` holds the number of rows under all filters and is
-    absent if there are none. ``sort`` ranks the shown values by ``count``, by ``value``, or ``none`` (no rank); without
+    Returns (field, value, count, rank); the row with field ``*`` holds the number of rows under all filters, also when
+    that is 0. ``sort`` ranks the shown values by ``count``, by ``value``, or ``none`` (no rank); without
     a limit there is no rank either.
 
     One scan serves all fields: a row counts for a field if no other field's filter rejects it, so rows that two
@@ -41,11 +41,14 @@ def facets(
     for i, n in enumerate(names):
         value = F.col(f"_value_{i}")
         items.append(item((F.col("_rejects") == F.col(f"_own_{i}")) & value.isNotNull(), n, value))
+    counted_once = flagged.select(F.explode(F.array(*items)).alias("item")).where(F.col("item").isNotNull())
+    zero = F.lit(0).cast("bigint").alias("n")
+    no_hit = df.sparkSession.range(0, 1, 1, 1).select(F.lit(TOTAL).alias("field"), F.lit(TOTAL).alias("value"), zero)
     counted = (
-        flagged.select(F.explode(F.array(*items)).alias("item"))
-        .where(F.col("item").isNotNull())
-        .groupBy("item.field", "item.value")
-        .agg(F.count("*").alias("count"))
+        counted_once.select("item.field", "item.value", F.lit(1).cast("bigint").alias("n"))
+        .unionByName(no_hit)
+        .groupBy("field", "value")
+        .agg(F.sum("n").alias("count"))
     )
     if limit is None:
         return counted

@@ -94,6 +94,11 @@ def test_facets_ignore_their_own_filter(trips):
         assert got[name] == counts
 
 
+def test_no_hits_are_shown_as_zero(trips):
+    got = facets.facets(trips, {"PULocationID": [99]}, ["payment_type"], TRIP_FIELDS).collect()
+    assert [tuple(r) for r in got] == [("*", "*", 0, 1)]
+
+
 def test_facet_limit_and_sort(trips):
     top = facets.facets(trips, {}, ["pickup_hour"], TRIP_FIELDS, limit=4).where("field <> '*'").orderBy("rank").collect()
     counts = Counter(t["tpep_pickup_datetime"].hour for t in TRIPS)
