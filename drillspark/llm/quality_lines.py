@@ -12,7 +12,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import arrow_struct, free_name
+from .frames import arrow_struct, free_name, ship
+
+ship(__name__)
 
 #: Characters between words; nothing else separates them.
 SPACES = " \t\n\x0b\x0c\r"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_lines
+from . import ngram_join, quality_lines
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -30,3 +30,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_lines.with_quality(documents(spark, sf_dir).select("doc_id", "text"))
     names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept kept_words".split()
     return judged.select("doc_id", *[f"quality.{n}" for n in names])
+
+
+@query("op10_ngram_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(documents(spark, sf_dir))
