@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, quality_lines
+from . import decontaminate, ngram_join, quality_lines, secret_scan
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -35,3 +35,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(documents(spark, sf_dir))
+
+
+@query("op6_decontaminate")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_kind(F.col("base"), kind).alias(f"n_{kind}") for kind in secret_scan.SURE],
+        F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.written(F.array_sort(F.concat("base", "linked"))).alias("spans"),
+    )
