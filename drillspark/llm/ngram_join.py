@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage_table
 from .components import min_labels
-from .frames import ship
+from .frames import free_name, ship
 from .word_codes import shingles, word_codes
 
 ship(__name__)
@@ -109,12 +109,13 @@ def _prefixes(batches, join: Join, common) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 batch.column("doc_id"),
+                batch.column("text_key"),
                 pa.array(sizes, pa.int32()),
                 pa.array(names, pa.string()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 pa.array(prefix_names, pa.string()),
             ],
-            ["doc_id", "n", "name", "prefix", "prefix_name"],
+            ["doc_id", "text_key", "n", "name", "prefix", "prefix_name"],
         )
 
 
@@ -143,19 +144,21 @@ def _can_match(join: Join):
     return (100 * small >= join.percent * large) & ((100 + join.percent) * most >= join.percent * (small + large))
 
 
-def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
+def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     ``component_id`` is the smallest doc_id reachable by links, the document itself included. Missing and empty texts
     have no shingles and no links; repeated rows are linked as equal texts are, each with a result of its own; a class
-    without any doc_id has none as its name; an empty table gives an empty one; other columns are left out.
+    without any doc_id has none as its name; an empty table gives an empty one; other columns are left out. ``with_key``
+    adds the MD5 of the text as text_key.
     """
     spark = docs.sparkSession
     given = docs.select("doc_id", "text")
     common = spark.sparkContext.broadcast(common_shingles(given, join))
     id_type = given.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n int, name string, prefix array<long>, prefix_name string"
-    described = given.mapInArrow(lambda it: _prefixes(it, join, common), schema)
+    schema = f"doc_id {id_type}, text_key string, n int, name string, prefix array<long>, prefix_name string"
+    keyed = given.withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))) if with_key else F.lit(""))
+    described = keyed.mapInArrow(lambda it: _prefixes(it, join, common), schema)
     # written together with the row numbers, so that these stay
     described = stage_table(described.withColumn("row", F.monotonically_increasing_id()), "prefixes")
     # the smallest row stands for all texts with the same set, then for all sets with the same prefix and size
@@ -195,7 +198,7 @@ def linked(docs: DataFrame, join: Join = Join()) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
         labels = min_labels(links, needed)
-    return _with_ids(described, labels)
+    return _with_ids(described, labels, ["text_key"] if with_key else [])
 
 
 def _leader_pairs(now: DataFrame, join: Join, turn: int) -> DataFrame:
@@ -224,13 +227,31 @@ def _ordered_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
 
 
-def _with_ids(described: DataFrame, labels: DataFrame) -> DataFrame:
+def _with_ids(described: DataFrame, labels: DataFrame, more: list[str]) -> DataFrame:
     """Labels of representatives, for all rows, named by the smallest doc_id of a class."""
-    rows = described.select("doc_id", "n", "name")
+    rows = described.select("doc_id", "n", "name", *more)
     firsts = described.where("n > 0").groupBy("name").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"))
     firsts = firsts.join(labels, "row", "left").select("name", "doc_id", F.coalesce("label", "row").alias("label"))
     firsts = stage_table(firsts, "labels")
     smallest = firsts.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     firsts = firsts.join(smallest, "label").select("name", "component_id")
     out = rows.join(firsts, "name", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+
+
+def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """``docs`` with one row of each class, one with the smallest doc_id; all columns stay.
+
+    Rows that repeat one another wholly in doc_id and text count as one; empty texts are linked with nothing and stay.
+    """
+    doc, key = free_name(docs, "kept_doc"), free_name(docs, "kept_key")
+    classes = linked(docs, join, with_key=True)
+    # a class is named by its smallest doc_id; more than one text can have it if that id is repeated
+    kept = classes.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias(doc), F.col("k.text_key").alias(key))
+    dropped = classes.where("n_shingles > 0").select("doc_id", "text_key").distinct()
+    same = dropped["doc_id"].eqNullSafe(F.col(doc)) & (dropped["text_key"] == F.col(key))
+    dropped = stage_table(dropped.join(kept, same, "left_anti"), "other-copies")
+    dropped = dropped.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col(key))
+    return docs.join(dropped, same, "left_anti")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, quality_lines, secret_scan
+from . import byte_bpe, decontaminate, ngram_join, quality_lines, secret_scan
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -52,3 +53,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
         secret_scan.written(F.array_sort(F.concat("base", "linked"))).alias("spans"),
     )
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.tokenize(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
