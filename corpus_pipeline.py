@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drillspark.llm import quality_lines
+from drillspark.llm import byte_bpe, decontaminate, ngram_join, quality_lines, secret_scan
 from drillspark.session import new_path
 
 
@@ -13,7 +14,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_lines.keep_clean(docs)
 
 
-STAGES = [("quality", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that with the smallest doc_id."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not hold too much of a benchmark item."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced."""
+    return secret_scan.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents that are left."""
+    return byte_bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("benchmark", benchmark),
+    ("secrets", secrets),
+    ("tokens", tokens),
+]
 ORACLE_SQL = None
 
 
