@@ -19,13 +19,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .frames import ship
+from .frames import ship, small_batches
 
 ship(__name__)
 
 #: Encoded pieces that a worker remembers, the longest of them, the characters of a long text handled at once, and those
 #: of several texts handled together.
-REMEMBERED, REMEMBERED_CHARS, PIECE, TOGETHER = 1 << 20, 64, 1 << 20, 1 << 22
+REMEMBERED, REMEMBERED_CHARS, PIECE, TOGETHER = 1 << 18, 64, 1 << 20, 1 << 21
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -254,7 +254,7 @@ def _coded(batches, state, pattern: str, with_ids: bool) -> Iterator[pa.RecordBa
     if "coder" not in held:
         held["coder"] = Coder(held["ranks"], pattern)
     coder = held["coder"]
-    for batch in batches:
+    for batch in small_batches(batches, 1024):
         n = len(batch)
         hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in range(n)]
         counts, ids = [0] * n, [[] for _ in range(n)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -39,21 +39,8 @@ def ordered(column: Column) -> Column:
     return F.struct(column.isNull().alias("missing"), column.alias("id"))
 
 
-def arrow_struct(function: Callable, schema: str):
-    """A column function from text to a struct: ``function`` takes one text (missing: empty) and returns a tuple.
-
-    Texts travel in Arrow batches; a batch is read and answered one text at a time, so no more than one batch is held.
-    """
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
-
-    kind = to_arrow_type(StructType.fromDDL(schema))
-
-    def answer(texts: pa.Array) -> pa.Array:
-        found = [function(text.as_py() or "") for text in texts]
-        columns = list(zip(*found)) or [()] * kind.num_fields
-        arrays = [pa.array(list(c), kind.field(i).type) for i, c in enumerate(columns)]
-        return pa.StructArray.from_arrays(arrays, fields=[kind.field(i) for i in range(kind.num_fields)])
-
-    answer.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(answer, schema)
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, without copying, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)

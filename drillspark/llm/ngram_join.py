@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage_table
 from .components import min_labels
-from .frames import free_name, ship
+from .frames import free_name, ship, small_batches
 from .word_codes import shingles, word_codes
 
 ship(__name__)
@@ -36,7 +36,7 @@ class Join:
     size: int = 4
     percent: int = 85
     common: int = 1 << 19
-    buffered: int = 1 << 21
+    buffered: int = 1 << 20
     leaders: int = 3
     rounds: int = 2
 
@@ -59,7 +59,7 @@ def _frequent(texts: Iterator[pa.RecordBatch], size: int, buffered: int) -> Iter
         return pa.record_batch([pa.array(values[some].view(np.int64)), pa.array(times[some])], ["shingle", "n"])
 
     total = 0
-    for batch in texts:
+    for batch in small_batches(texts):
         for found in shingle_sets(batch.column(0), size):
             held.append(found)
             total += len(found)
@@ -87,7 +87,7 @@ def common_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray
 def _prefixes(batches, join: Join, common) -> Iterator[pa.RecordBatch]:
     """For each text: size of its set, a 128-bit name of the set, its rarest shingles in order, and a name of these."""
     shingles, times = common.value
-    for batch in batches:
+    for batch in small_batches(batches):
         sizes, names, prefixes, prefix_names = [], [], [], []
         for found in shingle_sets(batch.column("text"), join.size):
             n = len(found)
@@ -121,7 +121,7 @@ def _prefixes(batches, join: Join, common) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches, size: int) -> Iterator[pa.RecordBatch]:
     """The name and the whole set of each text, a few texts at a time."""
-    for batch in batches:
+    for batch in small_batches(batches):
         for found in shingle_sets(batch.column(0), size):
             items = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found.view(np.int64)))
             yield pa.record_batch([pa.array([xxhash.xxh3_128_hexdigest(found.tobytes())]), items], ["name", "items"])

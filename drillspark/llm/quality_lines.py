@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import count, islice
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
-from .frames import arrow_struct, free_name, ship
+from .frames import free_name, ship, small_batches
 
 ship(__name__)
 
@@ -119,26 +123,40 @@ def judge(text: str, rules: Rules) -> tuple:
     return n, chars, symbols, duplicates, again, failed, keep, kept_words, cleaned
 
 
-SCHEMA = (
+FIGURES = StructType.fromDDL(
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "kept boolean, kept_words long, cleaned string"
 )
 
 
-def with_quality(docs: DataFrame, column: str = "quality", text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """``docs`` with a struct ``column`` (replacing one of that name): figures, verdicts and the cleaned text.
+def _judged(batches: Iterable[pa.RecordBatch], rules: Rules, kind: pa.StructType) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches):
+        rows = [judge(text.as_py() or "", rules) for text in batch.column("text")]
+        columns = [pa.array(list(c), kind.field(i).type) for i, c in enumerate(zip(*rows))]
+        figures = pa.StructArray.from_arrays(columns, fields=[kind.field(i) for i in range(kind.num_fields)])
+        yield pa.record_batch([*batch.columns, figures], [*batch.schema.names, "figures"])
 
-    A missing or empty text has no words, so it fails. Repeated rows are judged alike and all stay; an empty table gives
-    an empty one; any other columns pass untouched. Memory: one text, its words and three integers for each word.
+
+def with_quality(docs: DataFrame, column: str = "quality", rules: Rules = Rules()) -> DataFrame:
+    """``docs`` (text and any other columns) with a struct ``column``: figures, verdicts and the cleaned text.
+
+    ``column`` replaces one of that name. A missing or empty text has no words, so it fails. Repeated rows are judged
+    alike and all stay; an empty table gives an empty one; other columns pass untouched. Memory: the texts of one Arrow
+    batch, the figures of some hundred, the words of one and three integers for each of its words.
     """
-    judged = arrow_struct(lambda t: judge(t, rules), SCHEMA)
-    return docs.withColumn(column, judged(F.col(text)))
+    kind = to_arrow_type(FIGURES)
+    given = docs.drop(column)
+    # names in Python are unimportant and may clash there, so columns travel by place
+    places = [f"c{i}" if c != "text" else c for i, c in enumerate(given.columns)]
+    sent = given.toDF(*places)
+    schema = StructType([*sent.schema.fields, StructField("figures", FIGURES)])
+    return sent.mapInArrow(lambda batches: _judged(batches, rules, kind), schema).toDF(*given.columns, column)
 
 
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents kept, with failing lines removed and ``n_chars`` counted anew; same columns as ``docs``."""
     q = free_name(docs, "quality")
-    kept = with_quality(docs, q, rules=rules).where(F.col(f"{q}.kept"))
+    kept = with_quality(docs, q, rules).where(F.col(f"{q}.kept"))
     changed = {"text": F.col(f"{q}.cleaned")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(F.col(f"{q}.cleaned")).cast(docs.schema["n_chars"].dataType)
