@@ -25,7 +25,7 @@ ship(__name__)
 
 #: Encoded pieces that a worker remembers, the longest of them, the characters of a long text handled at once, and those
 #: of several texts handled together.
-REMEMBERED, REMEMBERED_CHARS, PIECE, TOGETHER = 1 << 18, 64, 1 << 20, 1 << 21
+REMEMBERED, REMEMBERED_CHARS, PIECE, TOGETHER = 1 << 18, 48, 1 << 20, 1 << 21
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -203,9 +203,11 @@ class Coder:
         self.tokens: dict[str, bytes] = {}
 
     @staticmethod
-    def _remember(memory: dict[str, bytes], new: dict[str, bytes]) -> None:
-        if len(memory) > REMEMBERED:
-            memory.clear()
+    def _remember(memory: dict[str, bytes], new: dict[str, bytes], most: int) -> None:
+        """Keep what is new; a full memory forgets every other entry, of which the frequent ones soon come back."""
+        while len(memory) > most:
+            for known in list(memory)[::2]:
+                del memory[known]
         memory.update((k, v) for k, v in new.items() if len(k) <= REMEMBERED_CHARS)
 
     def encode(self, pieces: list[str]) -> list[bytes]:
@@ -230,8 +232,8 @@ class Coder:
         fresh = {c: joined(tokens) for c, tokens in split.items()}
         held = self.chunks
         out = [joined(s) + b"".join([held[c] if c in held else fresh[c] for c in chunks]) for s, chunks in zip(starts, rest)]
-        self._remember(known, coded)
-        self._remember(held, fresh)
+        self._remember(known, coded, REMEMBERED)
+        self._remember(held, fresh, REMEMBERED)
         return out
 
 
