@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
-from .frames import free_name, lower_ascii
+from .frames import lower_ascii, without
 
 #: Between words, after A-Z is lowered. (Splitting reads a text once; extracting all matches copies it for each match.)
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -136,8 +136,4 @@ def hits(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> Da
 def keep_clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``docs`` without contaminated rows; all columns stay."""
     flagged = hits(docs, benchmark, limits).where("contaminated")
-    flagged = stage_table(flagged.select("doc_id", "text_key").distinct(), "contaminated")
-    doc, key = free_name(docs, "flagged_doc"), free_name(docs, "flagged_key")
-    flagged = flagged.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
-    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col(key))
-    return docs.join(flagged, same, "left_anti")
+    return without(docs, stage_table(flagged.select("doc_id", "text_key").distinct(), "contaminated"))

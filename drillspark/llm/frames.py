@@ -39,6 +39,23 @@ def ordered(column: Column) -> Column:
     return F.struct(column.isNull().alias("missing"), column.alias("id"))
 
 
+def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A written table of short rows, marked for broadcast if it has at most ``rows``; else it is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def text_key(df: DataFrame) -> Column:
+    """What stands for a row's text where texts are not carried along; a missing text counts as empty."""
+    return F.md5(F.coalesce(df["text"], F.lit("")))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text are in ``dropped`` (doc_id, text_key), a written table."""
+    doc, key = free_name(docs, "dropped_doc"), free_name(docs, "dropped_key")
+    gone = if_small(dropped.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(doc)) & (text_key(docs) == F.col(key)), "left_anti")
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of the batches, without copying, so that what is made of one stays small."""
     for batch in batches:

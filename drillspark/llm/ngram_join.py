@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_on
 from ..session import stage_table
 from .components import min_labels
-from .frames import free_name, ship, small_batches
+from .frames import if_small, ship, small_batches, without
 from .word_codes import shingles, word_codes
 
 ship(__name__)
@@ -120,20 +121,39 @@ def _prefixes(batches, join: Join, common) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches, size: int) -> Iterator[pa.RecordBatch]:
-    """The name and the whole set of each text, a few texts at a time."""
+    """The whole sets of texts that have the set that was asked for."""
     for batch in small_batches(batches):
-        for found in shingle_sets(batch.column(0), size):
-            items = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found.view(np.int64)))
-            yield pa.record_batch([pa.array([xxhash.xxh3_128_hexdigest(found.tobytes())]), items], ["name", "items"])
+        rows, items = [], []
+        for row, name, found in zip(batch.column("row"), batch.column("name"), shingle_sets(batch.column("text"), size)):
+            if xxhash.xxh3_128_hexdigest(found.tobytes()) == name.as_py():
+                rows.append(row.as_py())
+                items.append(found.view(np.int64))
+        offsets = np.concatenate([[0], np.cumsum([len(i) for i in items])]).astype(np.int32)
+        flat = np.concatenate(items) if items else np.empty(0, np.int64)
+        yield pa.record_batch(
+            [pa.array(rows, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["row", "items"]
+        )
+
+
+def _whole_sets(given: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """row and items, once for each row of ``wanted`` (row, doc_id, name), from the texts."""
+    asked = wanted.select("row", "name", F.col("doc_id").alias("wanted"))
+    texts = given.join(if_small(asked), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("row", "name", "text")
+    whole = texts.mapInArrow(lambda it: _sets(it, join.size), "row long, items array<long>")
+    whole = stage_table(whole, "whole-sets")
+    if whole.count() > wanted.count():  # rows that repeat one another in doc_id and text
+        whole = stage_table(whole.dropDuplicates(["row"]), "whole-sets")
+    return whole
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their whole sets."""
-    left = sets.select(F.col("row").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("row").alias("b"), F.col("items").alias("items_b"))
+    """The pairs (a, b), a written table, whose sets are similar enough, by their whole sets."""
+    asked = if_small(pairs)
+    left = sets.join(asked, sets["row"] == asked["a"]).select("a", "b", F.col("items").alias("items_a"))
+    right = sets.join(asked, sets["row"] == asked["b"]).select("a", "b", F.col("items").alias("items_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - both
-    return pairs.join(left, "a").join(right, "b").where(100 * both.cast("long") >= join.percent * union).select("a", "b")
+    return left.join(right, ["a", "b"]).where(100 * both.cast("long") >= join.percent * union).select("a", "b")
 
 
 def _can_match(join: Join):
@@ -162,26 +182,22 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
     # written together with the row numbers, so that these stay
     described = stage_table(described.withColumn("row", F.monotonically_increasing_id()), "prefixes")
     # the smallest row stands for all texts with the same set, then for all sets with the same prefix and size
-    first = described.where("n > 0").groupBy("name").agg(F.min("row").alias("row"))
-    sets = described.join(first.select("row"), "row", "left_semi")
-    sets = stage_table(sets, "distinct-sets")
+    first = described.where("n > 0").groupBy("name").agg(F.min("row").alias("row")).select("row")
+    first = if_small(stage_table(first, "distinct-sets"))
+    sets = described.join(first, "row", "left_semi")
     groups = sets.groupBy("prefix_name", "n").agg(F.min("row").alias("grp"), F.count("*").alias("members"))
-    members = stage_table(sets.join(groups, ["prefix_name", "n"]).select("row", "grp"), "prefix-groups")
-    entries = sets.select(F.col("row").alias("grp"), "n", "prefix").join(groups.select("grp", "members"), "grp")
-    entries = entries.select("grp", "n", "members", F.posexplode("prefix").alias("at", "shingle"))
+    members = sets.join(groups, ["prefix_name", "n"])
+    members = stage_table(members.select("row", "doc_id", "name", "grp", "n", "members"), "prefix-groups")
+    leads = stage_table(members.where("row = grp").select("row", F.least("members", F.lit(2)).alias("several")), "group-leads")
+    entries = described.select("row", F.posexplode("prefix").alias("at", "shingle")).join(if_small(leads), "row")
     # lists of one set pair nothing
-    shared = entries.groupBy("shingle").agg(F.sum("members").alias("listed")).where("listed > 1")
-    lists = entries.join(shared.select("shingle"), "shingle").drop("members")
+    shared = entries.groupBy("shingle").agg(F.sum("several").alias("listed")).where("listed > 1").select("shingle")
+    lists = entries.select("shingle", F.col("row").alias("grp"), "at").join(shared, "shingle")
     lists = stage_table(lists, "prefix-lists")
-    listed = lists.join(members.select("grp", "row"), "grp")  # expand groups into members
-    listed = stage_table(listed.select("shingle", "row", "grp", "n", "at"), "prefix-members")
-    needed = listed.select("row").distinct()
-    named = sets.join(needed, "row").select("row", "doc_id", "name")
-    wanted = named.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    whole = texts.mapInArrow(lambda it: _sets(it, join.size), "name string, items array<long>")
-    whole = whole.join(named.select("row", "name"), "name").select("row", "items").dropDuplicates(["row"])
-    whole = stage_table(whole, "whole-sets")
+    listed = lists.join(members.select("grp", "row", "n"), "grp")  # expand groups into members
+    listed = stage_table(listed.select("shingle", "row", "n", "at"), "prefix-members")
+    needed = stage_table(listed.select("row").distinct(), "listed")
+    whole = _whole_sets(given, stage_table(members.join(needed, "row").select("row", "doc_id", "name"), "wanted"), join)
 
     labels = needed.select("row", F.col("row").alias("label"))
     links, done = None, None
@@ -244,14 +260,9 @@ def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
     Rows that repeat one another wholly in doc_id and text count as one; empty texts are linked with nothing and stay.
     """
-    doc, key = free_name(docs, "kept_doc"), free_name(docs, "kept_key")
-    classes = linked(docs, join, with_key=True)
+    classes = stage_table(linked(docs, join, with_key=True).where("n_shingles > 0"), "classes")
     # a class is named by its smallest doc_id; more than one text can have it if that id is repeated
-    kept = classes.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias(doc), F.col("k.text_key").alias(key))
-    dropped = classes.where("n_shingles > 0").select("doc_id", "text_key").distinct()
-    same = dropped["doc_id"].eqNullSafe(F.col(doc)) & (dropped["text_key"] == F.col(key))
-    dropped = stage_table(dropped.join(kept, same, "left_anti"), "other-copies")
-    dropped = dropped.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key))
-    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == F.col(key))
-    return docs.join(dropped, same, "left_anti")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("first")
+    kept = classes.groupBy("component_id").agg(first).select("first.doc_id", "first.text_key")
+    dropped = join_on(classes.select("doc_id", "text_key").distinct(), kept, ["doc_id", "text_key"], "left_anti")
+    return without(docs, stage_table(dropped, "other-copies"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
-from .frames import free_name
+from .frames import free_name, if_small, text_key
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LONG = r"""(?i)^(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}$"""
@@ -74,7 +74,7 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sure = F.array_sort(F.concat(*[_spans(text, k, *SURE[k]) for k in SURE]))
     weak = F.array_sort(F.concat(*[_spans(text, k, *WEAK[k]) for k in WEAK]))
-    found = docs.select("doc_id", F.md5(text).alias("text_key"), sure.alias("base"), weak.alias("weak"))
+    found = docs.select("doc_id", text_key(docs).alias("text_key"), sure.alias("base"), weak.alias("weak"))
     found = stage_table(found.withColumn("row", F.monotonically_increasing_id()), "secret-parts")
     return _link(found, scope)
 
@@ -120,8 +120,8 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> DataF
     found = found.where((F.size("base") > 0) | (F.size("linked") > 0)).dropDuplicates(["doc_id", "text_key"])
     found = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), spans.alias(cuts))
     text = docs["text"]
-    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (F.md5(F.coalesce(text, F.lit(""))) == F.col(key))
-    joined = docs.join(stage_table(found, "found"), same, "left")
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & (text_key(docs) == F.col(key))
+    joined = docs.join(if_small(stage_table(found, "found"), 100_000), same, "left")
 
     def step(done: Column, s: Column) -> Column:
         begin = F.greatest(done["at"], s["start"])
