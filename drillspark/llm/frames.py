@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,6 +56,13 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(doc)) & (text_key(docs) == F.col(key)), "left_anti")
 
 
+def for_long_texts(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most ``rows`` rows to Python at once: with whole texts, Spark's 10,000 would need too much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, rows)
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of the batches, without copying, so that what is made of one stays small."""
     for batch in batches:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, ngram_join, quality_lines, secret_scan
+from . import byte_bpe, decontaminate, lm_score, ngram_join, quality_lines, secret_scan, toxicity
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -58,3 +58,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.tokenize(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.coalesce(lm_score.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels.select("doc_id", "toxic").where(~apart))
+    return toxicity.score(docs, model).select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rest = documents(spark, sf_dir), lm_score.remainder(F.col("doc_id"), 7)
+    model = lm_score.learn(docs.where(rest != 2), rest == 3)
+    return lm_score.score(docs, model).select("doc_id", (rest == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
