@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, lm_score, ngram_join, quality_lines, secret_scan, toxicity
+from ..session import new_path
+from . import byte_bpe, decontaminate, license_scan, lm_score, ngram_join, quality_lines, secret_scan, toxicity, url_filter, warc
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -73,3 +74,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, rest = documents(spark, sf_dir), lm_score.remainder(F.col("doc_id"), 7)
     model = lm_score.learn(docs.where(rest != 2), rest == 3)
     return lm_score.score(docs, model).select("doc_id", (rest == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed are the addresses of pages with garbled text (words followed by runs of three marks)."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    url = F.col("url")
+    garbled = F.coalesce(F.col("html").rlike(r"%%%|\*\*\*|###|\$\$\$|&&&"), F.lit(False))
+    listed = pages.where(garbled).select(F.concat(url_filter.host_of(url), url_filter.path_of(url)).alias("key"))
+    return url_filter.judge(pages, listed).drop("listed")
+
+
+@query("op8_warc_revisit")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    warc.write(pages, path)
+    return warc.read(spark, path, pages.schema["page_id"].dataType.simpleString())
