@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .frames import ship, small_batches
+from .frames import for_long_texts, ship, small_batches
 
 ship(__name__)
 
@@ -221,8 +221,8 @@ class Coder:
                 start, *chunks = piece.split(" ")
             starts.append(self.split(start))
             rest.append(chunks)
-        split = {c: self.split(" " + c) for c in set().union(*rest) - self.chunks.keys()}
-        new = list(set().union(*starts, *split.values()) - self.tokens.keys())
+        split = {c: self.split(" " + c) for c in set().union(*rest) if c not in self.chunks}
+        new = [t for t in set().union(*starts, *split.values()) if t not in self.tokens]
         coded = dict(zip(new, self.vocabulary.encode([t.encode("utf-8", "surrogatepass") for t in new])))
         known = self.tokens
 
@@ -288,6 +288,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = Fa
     text has no ids; repeated rows each have a result; an empty table gives an empty one; other columns are left out. The
     vocabulary (its size is that of the file) is sent to each executor once.
     """
+    for_long_texts(docs.sparkSession)
     given = docs.select("doc_id", "text")
     state = docs.sparkSession.sparkContext.broadcast({"ranks": load_ranks(ranks_path)})
     id_type = given.schema["doc_id"].dataType.simpleString()

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 from ..operators.joins import join_on
 from ..session import stage_table
 from .components import min_labels
-from .frames import if_small, ship, small_batches, without
+from .frames import for_long_texts, if_small, ship, small_batches, without
 from .word_codes import shingles, word_codes
 
 ship(__name__)
 
 
+#: Bits of the parity of a set: each shingle turns one bit round. Two sets differ in at least as many shingles as bits.
+PARITY = 512
+
+
 @dataclass(frozen=True)
 class Join:
     """``percent`` similarity or more links; ``common`` bounds the broadcast list of the most frequent shingles."""
@@ -89,7 +94,7 @@ def _prefixes(batches, join: Join, common) -> Iterator[pa.RecordBatch]:
     """For each text: size of its set, a 128-bit name of the set, its rarest shingles in order, and a name of these."""
     shingles, times = common.value
     for batch in small_batches(batches):
-        sizes, names, prefixes, prefix_names = [], [], [], []
+        sizes, names, prefixes, prefix_names, parities = [], [], [], [], []
         for found in shingle_sets(batch.column("text"), join.size):
             n = len(found)
             at = np.searchsorted(shingles, found)
@@ -104,6 +109,8 @@ def _prefixes(batches, join: Join, common) -> Iterator[pa.RecordBatch]:
             sizes.append(n)
             names.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
             prefixes.append(prefix.view(np.int64))
+            odd = np.bincount((found & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+            parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             prefix_names.append(xxhash.xxh3_128_hexdigest(prefix.tobytes()))
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
         flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
@@ -115,8 +122,9 @@ def _prefixes(batches, join: Join, common) -> Iterator[pa.RecordBatch]:
                 pa.array(names, pa.string()),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 pa.array(prefix_names, pa.string()),
+                pa.array([p.tolist() for p in parities], pa.list_(pa.int64())),
             ],
-            ["doc_id", "text_key", "n", "name", "prefix", "prefix_name"],
+            ["doc_id", "text_key", "n", "name", "prefix", "prefix_name", "parity"],
         )
 
 
@@ -146,6 +154,17 @@ def _whole_sets(given: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     return whole
 
 
+def _alike(pairs: DataFrame, parities: DataFrame, join: Join) -> DataFrame:
+    """The pairs whose parities differ in no more bits than their sets may differ in shingles; none that links is lost."""
+    sides = [parities.select(*[F.col(c).alias(f"{c}_{s}" if c != "row" else s) for c in parities.columns]) for s in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b")
+    words = [F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)]
+    differ = reduce(lambda a, b: a + b, words)
+    # 100 * o >= percent * u with n_a + n_b = u + o: u - o <= (100 - percent) / (100 + percent) * (n_a + n_b)
+    allowed = (100 - join.percent) * (F.col("n_a") + F.col("n_b")).cast("long")
+    return met.where((100 + join.percent) * differ <= allowed).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b), a written table, whose sets are similar enough, by their whole sets."""
     asked = if_small(pairs)
@@ -173,10 +192,11 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
     adds the MD5 of the text as text_key.
     """
     spark = docs.sparkSession
+    for_long_texts(spark)
     given = docs.select("doc_id", "text")
     common = spark.sparkContext.broadcast(common_shingles(given, join))
     id_type = given.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, text_key string, n int, name string, prefix array<long>, prefix_name string"
+    schema = f"doc_id {id_type}, text_key string, n int, name string, prefix array<long>, prefix_name string, parity array<long>"
     keyed = given.withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))) if with_key else F.lit(""))
     described = keyed.mapInArrow(lambda it: _prefixes(it, join, common), schema)
     # written together with the row numbers, so that these stay
@@ -187,7 +207,7 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
     sets = described.join(first, "row", "left_semi")
     groups = sets.groupBy("prefix_name", "n").agg(F.min("row").alias("grp"), F.count("*").alias("members"))
     members = sets.join(groups, ["prefix_name", "n"])
-    members = stage_table(members.select("row", "doc_id", "name", "grp", "n", "members"), "prefix-groups")
+    members = stage_table(members.select("row", "doc_id", "name", "grp", "n", "members", "parity"), "prefix-groups")
     leads = stage_table(members.where("row = grp").select("row", F.least("members", F.lit(2)).alias("several")), "group-leads")
     entries = described.select("row", F.posexplode("prefix").alias("at", "shingle")).join(if_small(leads), "row")
     # lists of one set pair nothing
@@ -199,6 +219,7 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
     needed = stage_table(listed.select("row").distinct(), "listed")
     whole = _whole_sets(given, stage_table(members.join(needed, "row").select("row", "doc_id", "name"), "wanted"), join)
 
+    parities = members.join(needed, "row", "left_semi").select("row", "n", "parity")
     labels = needed.select("row", F.col("row").alias("label"))
     links, done = None, None
     for turn in range(join.rounds + 1):
@@ -209,7 +230,7 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
         pairs = _leader_pairs(now, join, turn) if turn < join.rounds else _all_pairs(now, join)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stage_table(pairs, f"pairs-{turn}")
+        pairs = stage_table(_alike(pairs, parities, join), f"pairs-{turn}")
         found = stage_table(_similar(pairs, whole, join), f"links-{turn}")
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from .frames import free_name, ship, small_batches
+from .frames import for_long_texts, free_name, ship, small_batches
 
 ship(__name__)
 
@@ -144,6 +144,7 @@ def with_quality(docs: DataFrame, column: str = "quality", rules: Rules = Rules(
     alike and all stay; an empty table gives an empty one; other columns pass untouched. Memory: the texts of one Arrow
     batch, the figures of some hundred, the words of one and three integers for each of its words.
     """
+    for_long_texts(docs.sparkSession)
     kind = to_arrow_type(FIGURES)
     given = docs.drop(column)
     # names in Python are unimportant and may clash there, so columns travel by place
