@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from .frames import for_long_texts, free_name, ship, small_batches
 
@@ -123,9 +123,13 @@ def judge(text: str, rules: Rules) -> tuple:
     return n, chars, symbols, duplicates, again, failed, keep, kept_words, cleaned
 
 
-FIGURES = StructType.fromDDL(
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, kept_words long, cleaned string"
+FIGURES = StructType(
+    [
+        *(StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        *(StructField(n, BooleanType()) for n in ("base_failed", "kept")),
+        StructField("kept_words", LongType()),
+        StructField("cleaned", StringType()),
+    ]
 )
 
 

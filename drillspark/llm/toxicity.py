@@ -28,7 +28,11 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled texts learned from, ``places`` the hashed terms, ``chosen`` those with weights."""
+    """``sample`` bounds the labelled texts learned from, ``places`` the hashed terms, ``chosen`` those with weights.
+
+    A term needs ``least_texts`` and ``least_gain`` to be chosen; pairs are shrunk more than single terms, as a few
+    labels say less about them.
+    """
 
     sample: int = 20_000
     places: int = 1 << 18
@@ -36,9 +40,11 @@ class Settings:
     chosen: int = 512
     factors: int = 4
     least_texts: int = 3
-    steps: int = 400
+    least_gain: float = 12.0
+    steps: int = 800
     rate: float = 0.05
-    shrink: float = 1e-4
+    shrink: float = 1e-5
+    shrink_pairs: float = 1e-3
     threshold: float = 0.7
 
 
@@ -78,7 +84,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     table = each.where(F.col("n") >= settings.least_texts).orderBy("place").toArrow()
     place, seen, toxic = (table.column(c).to_numpy().astype(np.float64) for c in ("place", "n", "k"))
     gain = _gain(seen, toxic, n, positive)
-    best = np.argsort(-gain, kind="stable")[: settings.chosen]
+    best = [b for b in np.argsort(-gain, kind="stable")[: settings.chosen] if gain[b] >= settings.least_gain]
     chosen = {int(place[b]): i for i, b in enumerate(best)}
     model["chosen"] = chosen
     wanted = F.array(*[F.lit(p) for p in sorted(chosen)]).cast("array<int>")
@@ -121,7 +127,7 @@ def _fit(x: np.ndarray, y: np.ndarray, settings: Settings) -> tuple[float, np.nd
         slopes = [
             error.sum(keepdims=True),
             x.T @ error + settings.shrink * weights,
-            x.T @ (error[:, None] * together) - vectors * ((x**2).T @ error)[:, None] + settings.shrink * vectors,
+            x.T @ (error[:, None] * together) - vectors * ((x**2).T @ error)[:, None] + settings.shrink_pairs * vectors,
         ]
         for v, g, m, s in zip(values, slopes, first, second):
             m += 0.1 * (g - m)
