@@ -9,13 +9,12 @@ from ..functions.exact import exact_avg
 from ..session import stage_table
 from .filters import EVENT_FIELDS, Fields, Filters, compile_filters
 
-MAX_ALERTS = 20
 # Severities that count as alerts.
 ALERT_SEVERITIES = ["error", "critical"]
 
 
-def top_alerts(df: DataFrame, filters: Filters | None = None, n: int = 5, fields: Fields = EVENT_FIELDS) -> DataFrame:
-    """Host and service pairs with most alerts, their averages and latest alert.
+def top_alerts(df: DataFrame, filters: Filters | None = None, n: int | None = 5, fields: Fields = EVENT_FIELDS) -> DataFrame:
+    """Host and service pairs with most alerts (all of them without ``n``), their averages and latest alert.
 
     ``total_events`` counts all filtered events, alerts or not. The grouped pairs are written first, so list and total
     together scan the events once.
@@ -39,7 +38,8 @@ def top_alerts(df: DataFrame, filters: Filters | None = None, n: int = 5, fields
     )
     pairs = stage_table(pairs, "alert-pairs")
     total = pairs.agg(F.coalesce(F.sum("all_events"), F.lit(0))).scalar()
-    best = pairs.where("error_count > 0").orderBy(F.desc("error_count"), "host", "service").limit(min(n, MAX_ALERTS))
+    best = pairs.where("error_count > 0").orderBy(F.desc("error_count"), "host", "service")
+    best = best if n is None else best.limit(n)
     return best.select(
         "host",
         "service",

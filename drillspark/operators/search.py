@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import has_any_word, has_word_prefix
 from .filters import EVENT_FIELDS, Fields, Filters, compile_filters
 
-MAX_HITS = 100
 # Fields of an event shown with a hit.
 HIT_FIELDS = [
     "event_ts",
@@ -37,15 +36,15 @@ def search(
     df: DataFrame,
     query: str,
     filters: Filters | None = None,
-    size: int = 20,
+    size: int | None = 20,
     column: str = "message",
     columns: list[str] | None = None,
     ties: tuple[str, ...] = ("event_id",),
 ) -> DataFrame:
-    """The newest hits, at most 100 of them."""
+    """The newest hits, ``size`` of them or all."""
     shown = columns or HIT_FIELDS
     hits = newest_first(match(df, column, query, filters), "event_ts", *[F.asc(t) for t in ties])
-    return hits.limit(min(size, MAX_HITS)).select(*ties, *shown)
+    return (hits if size is None else hits.limit(size)).select(*ties, *shown)
 
 
 def total_hits(df: DataFrame, query: str, filters: Filters | None = None, column: str = "message") -> DataFrame:

@@ -140,7 +140,7 @@ _histogram("response_hist_100", 100)
     f"""chosen AS (SELECT * FROM monitoring WHERE {HOUR} BETWEEN 0 AND 12),
     a AS (SELECT host, service, count(*) AS error_count, coalesce({avg_of('cpu_percent')}, 0) AS avg_cpu,
         coalesce({avg_of('memory_percent')}, 0) AS avg_memory, coalesce({avg_of('response_time_ms')}, 0) AS avg_response_ms
-      FROM chosen WHERE {ALERT} GROUP BY 1, 2 ORDER BY error_count DESC, host, service LIMIT 20),
+      FROM chosen WHERE {ALERT} GROUP BY 1, 2 ORDER BY error_count DESC, host, service LIMIT 50),
     l AS (SELECT *, row_number() OVER (PARTITION BY host, service ORDER BY event_ts DESC, event_id DESC) AS n
       FROM chosen WHERE {ALERT})
     SELECT a.*, l.message AS latest_message, {TS} AS latest_timestamp, l.severity AS latest_severity,
@@ -187,7 +187,7 @@ SHOWN = "event_id, host, service, severity, event_type, message, cpu_percent, me
 @query(
     "text_match",
     f"""SELECT {SHOWN}, {TS} AS event_ts FROM monitoring WHERE severity IN ('error', 'warning')
-      AND {_words('message', 'timeout', 'query')} ORDER BY monitoring.event_ts DESC, event_id LIMIT 100""",
+      AND {_words('message', 'timeout', 'query')} ORDER BY monitoring.event_ts DESC, event_id LIMIT 500""",
     M,
 )
 def text_match(spark, sf):

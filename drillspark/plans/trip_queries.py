@@ -391,7 +391,7 @@ def top_routes_filtered(spark, sf):
     "top_routes_boundary",
     f"""r AS ({ROUTES_SQL.format(minutes=MARKS, where=f"{VALID_MARKS} AND {HOUR} IN (7, 8, 18)")}) {SCORED_SQL},
       (SELECT count(*) FROM trips WHERE {HOUR} IN (7, 8, 18)) AS total_trips
-    FROM r WHERE trip_count >= 3 ORDER BY score DESC, PULocationID, DOLocationID LIMIT 20""",
+    FROM r WHERE trip_count >= 3 ORDER BY score DESC, PULocationID, DOLocationID LIMIT 50""",
     T,
 )
 def top_routes_boundary(spark, sf):
