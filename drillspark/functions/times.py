@@ -46,9 +46,8 @@ def iso_z(ts: Column | str) -> Column:
 
 
 def minutes_elapsed(start: Column | str, end: Column | str) -> Column:
-    """Fractional minutes between two instants."""
-    micros = [F.unix_micros(as_col(c).cast("timestamp")) for c in (start, end)]
-    return (micros[1] - micros[0]) / F.lit(60_000_000.0)
+    """Fractional minutes between two times; times without a zone stay without one, whatever the session's zone is."""
+    return F.timestamp_diff("MICROSECOND", as_col(start), as_col(end)) / F.lit(60_000_000.0)
 
 
 def minute_boundaries(start: Column | str, end: Column | str) -> Column:
