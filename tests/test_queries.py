@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from drillspark.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
 PYTHON_ALLOWED = {"decode_series", "merged_series", "merged_series_flat"}
@@ -18,7 +19,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     result = check.compare(spark, con, name, SF)
     assert result.startswith("ok") or result.startswith("EMPTY")
@@ -28,7 +29,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 5
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_plan(spark, name):
     """No pairwise joins, and Python only where series are packed or decoded."""
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
