@@ -31,7 +31,8 @@ from .word_codes import shingles, word_codes
 ship(__name__)
 
 
-#: Bits of the parity of a set: each shingle turns one bit round. Two sets differ in at least as many shingles as bits.
+#: Least bits of the parity of a set: each shingle turns one bit round. Two sets differ in at least as many shingles as
+#: bits. Larger sets have a fine parity with a bit for each shingle at least, which folds to this and to 64 bits (a hint).
 PARITY = 512
 
 
@@ -90,11 +91,24 @@ def common_shingles(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray
     return shingles.view(np.uint64)[order], n[order]
 
 
+def parity_words(found: np.ndarray) -> np.ndarray:
+    """The fine parity of a set, in words of 64 bits; a power of two of bits, ``PARITY`` and ``len(found)`` at least."""
+    bits = max(PARITY, 1 << max(len(found) - 1, 0).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def _prefixes(batches, join: Join, common) -> Iterator[pa.RecordBatch]:
     """For each text: size of its set, a 128-bit name of the set, its rarest shingles in order, and a name of these."""
     shingles, times = common.value
     for batch in small_batches(batches):
-        sizes, names, prefixes, prefix_names, parities = [], [], [], [], []
+        sizes, names, prefixes, prefix_names, fine = [], [], [], [], []
         for found in shingle_sets(batch.column("text"), join.size):
             n = len(found)
             at = np.searchsorted(shingles, found)
@@ -109,22 +123,21 @@ def _prefixes(batches, join: Join, common) -> Iterator[pa.RecordBatch]:
             sizes.append(n)
             names.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
             prefixes.append(prefix.view(np.int64))
-            odd = np.bincount((found & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
-            parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            fine.append(parity_words(found))
             prefix_names.append(xxhash.xxh3_128_hexdigest(prefix.tobytes()))
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-        flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+        parities = [np.bitwise_xor.reduce(f.reshape(-1, PARITY // 64), axis=0) for f in fine]
         yield pa.record_batch(
             [
                 batch.column("doc_id"),
                 batch.column("text_key"),
                 pa.array(sizes, pa.int32()),
                 pa.array(names, pa.string()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                _lists(prefixes),
                 pa.array(prefix_names, pa.string()),
-                pa.array([p.tolist() for p in parities], pa.list_(pa.int64())),
+                _lists(parities),
+                _lists(fine),
             ],
-            ["doc_id", "text_key", "n", "name", "prefix", "prefix_name", "parity"],
+            ["doc_id", "text_key", "n", "name", "prefix", "prefix_name", "parity", "fine"],
         )
 
 
@@ -136,11 +149,7 @@ def _sets(batches, size: int) -> Iterator[pa.RecordBatch]:
             if xxhash.xxh3_128_hexdigest(found.tobytes()) == name.as_py():
                 rows.append(row.as_py())
                 items.append(found.view(np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(i) for i in items])]).astype(np.int32)
-        flat = np.concatenate(items) if items else np.empty(0, np.int64)
-        yield pa.record_batch(
-            [pa.array(rows, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["row", "items"]
-        )
+        yield pa.record_batch([pa.array(rows, pa.int64()), _lists(items)], ["row", "items"])
 
 
 def _whole_sets(given: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
@@ -159,10 +168,32 @@ def _alike(pairs: DataFrame, parities: DataFrame, join: Join) -> DataFrame:
     sides = [parities.select(*[F.col(c).alias(f"{c}_{s}" if c != "row" else s) for c in parities.columns]) for s in "ab"]
     met = pairs.join(sides[0], "a").join(sides[1], "b")
     words = [F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)]
-    differ = reduce(lambda a, b: a + b, words)
+    return met.where(_few_differ(reduce(lambda a, b: a + b, words), join)).select("a", "b")
+
+
+def _few_differ(differ, join: Join):
+    """Whether sets that differ in at least so many shingles can still be similar enough."""
     # 100 * o >= percent * u with n_a + n_b = u + o: u - o <= (100 - percent) / (100 + percent) * (n_a + n_b)
-    allowed = (100 - join.percent) * (F.col("n_a") + F.col("n_b")).cast("long")
-    return met.where((100 + join.percent) * differ <= allowed).select("a", "b")
+    return (100 + join.percent) * differ <= (100 - join.percent) * (F.col("n_a") + F.col("n_b")).cast("long")
+
+
+def _alike_in_detail(pairs: DataFrame, described: DataFrame, join: Join) -> DataFrame:
+    """Of the pairs, a written table, those that their fine parities allow; a longer one is folded to half its length.
+
+    A few hundredths of the size of the sets, so that sets travel for hardly any pair but those that link.
+    """
+    asked = if_small(pairs)
+    sides = [
+        described.join(asked, described["row"] == asked[s]).select("a", "b", F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"fine_{s}"))
+        for s in "ab"
+    ]
+    half = lambda x, k: F.slice(x, 1 + k * F.floor(F.size(x) / 2).cast("int"), F.floor(F.size(x) / 2).cast("int"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x, other: F.when(F.size(x) > F.size(other), F.zip_with(half(x, 0), half(x, 1), xor)).otherwise(x)
+    a, b = F.col("fine_a"), F.col("fine_b")
+    met = sides[0].join(sides[1], ["a", "b"]).withColumns({"fold_a": fold(a, b), "fold_b": fold(b, a)})
+    differ = F.aggregate(F.zip_with("fold_a", "fold_b", xor), F.lit(0), lambda n, word: n + F.bit_count(word))
+    return met.where((F.size("fold_a") != F.size("fold_b")) | _few_differ(differ, join)).select("a", "b")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -176,11 +207,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
 
 def _can_match(join: Join):
-    """Length bound, and position bound: what follows the shared shingle on both sides must suffice."""
+    """Length bound, position bound (what follows the shared shingle on both sides must suffice) and the bound of hints."""
     small, large = F.least("n_a", "n_b").cast("long"), F.greatest("n_a", "n_b").cast("long")
     # 100 * o >= percent * (n_a + n_b - o)  <=>  (100 + percent) * o >= percent * (n_a + n_b)
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
-    return (100 * small >= join.percent * large) & ((100 + join.percent) * most >= join.percent * (small + large))
+    fits = (100 * small >= join.percent * large) & ((100 + join.percent) * most >= join.percent * (small + large))
+    return fits & _few_differ(F.bit_count(F.col("hint_a").bitwiseXOR(F.col("hint_b"))), join)
 
 
 def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> DataFrame:
@@ -196,7 +228,7 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
     given = docs.select("doc_id", "text")
     common = spark.sparkContext.broadcast(common_shingles(given, join))
     id_type = given.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, text_key string, n int, name string, prefix array<long>, prefix_name string, parity array<long>"
+    schema = f"doc_id {id_type}, text_key string, n int, name string, prefix array<long>, prefix_name string, parity array<long>, fine array<long>"
     keyed = given.withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))) if with_key else F.lit(""))
     described = keyed.mapInArrow(lambda it: _prefixes(it, join, common), schema)
     # written together with the row numbers, so that these stay
@@ -214,8 +246,9 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
     shared = entries.groupBy("shingle").agg(F.sum("several").alias("listed")).where("listed > 1").select("shingle")
     lists = entries.select("shingle", F.col("row").alias("grp"), "at").join(shared, "shingle")
     lists = stage_table(lists, "prefix-lists")
-    listed = lists.join(members.select("grp", "row", "n"), "grp")  # expand groups into members
-    listed = stage_table(listed.select("shingle", "row", "n", "at"), "prefix-members")
+    hint = reduce(lambda a, b: a.bitwiseXOR(b), [F.col("parity")[i] for i in range(PARITY // 64)])
+    listed = lists.join(members.select("grp", "row", "n", hint.alias("hint")), "grp")  # expand groups into members
+    listed = stage_table(listed.select("shingle", "row", "n", "at", "hint"), "prefix-members")
     needed = stage_table(listed.select("row").distinct(), "listed")
     whole = _whole_sets(given, stage_table(members.join(needed, "row").select("row", "doc_id", "name"), "wanted"), join)
 
@@ -223,7 +256,7 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
     labels = needed.select("row", F.col("row").alias("label"))
     links, done = None, None
     for turn in range(join.rounds + 1):
-        now = listed.join(labels, "row") if turn else listed.withColumn("label", F.col("row"))
+        now = listed.join(if_small(labels), "row") if turn else listed.withColumn("label", F.col("row"))
         classes = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         open_lists = classes.where("low < high").select("shingle")
         now = stage_table(now.join(open_lists, "shingle"), f"open-{turn}")
@@ -231,10 +264,11 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage_table(_alike(pairs, parities, join), f"pairs-{turn}")
-        found = stage_table(_similar(pairs, whole, join), f"links-{turn}")
+        close = stage_table(_alike_in_detail(pairs, described, join), f"close-pairs-{turn}")
+        found = stage_table(_similar(close, whole, join), f"links-{turn}")
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
-        labels = min_labels(links, needed)
+        labels = stage_table(min_labels(links, needed), f"labels-{turn}")
     return _with_ids(described, labels, ["text_key"] if with_key else [])
 
 
@@ -245,17 +279,17 @@ def _leader_pairs(now: DataFrame, join: Join, turn: int) -> DataFrame:
     """
     way = F.pmod(F.xxhash64("shingle", F.lit(turn)), F.lit(join.leaders))
     drawn = now.withColumn("way", way)
-    key = F.struct(F.xxhash64("row", "way", F.lit(turn)).alias("draw"), "row", "n", "at", "label")
+    key = F.struct(F.xxhash64("row", "way", F.lit(turn)).alias("draw"), "row", "n", "at", "label", "hint")
     leaders = drawn.groupBy("shingle").agg(F.min(key).alias("lead"))
-    leaders = leaders.select("shingle", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("row", "n", "at", "label")])
-    sides = [F.col(c).alias(f"{c}_a") for c in ("row", "n", "at", "label")]
+    leaders = leaders.select("shingle", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in ("row", "n", "at", "label", "hint")])
+    sides = [F.col(c).alias(f"{c}_a") for c in ("row", "n", "at", "label", "hint")]
     met = drawn.select("shingle", *sides).join(leaders, "shingle")
     return _ordered_pairs(met.where((F.col("label_a") != F.col("label_b")) & _can_match(join)))
 
 
 def _all_pairs(now: DataFrame, join: Join) -> DataFrame:
     """All pairs of members of a list that are still in different classes."""
-    sides = [now.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "at", "label")]) for s in "ab"]
+    sides = [now.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "at", "label", "hint")]) for s in "ab"]
     met = sides[0].join(sides[1], "shingle")
     return _ordered_pairs(met.where((F.col("label_a") < F.col("label_b")) & _can_match(join)))
 

@@ -102,6 +102,22 @@ def test_join_of_a_chain_and_a_crowd(spark):
     assert ngram_join.keep_one(frame(spark, given)).count() == len(set(got.values()))
 
 
+def test_join_of_large_sets(spark):
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(1100)]
+    given = [" ".join(base[:n]) for n in (480, 505, 530, 900, 1020, 1035, 1100)]  # sizes around powers of two
+    for changed in (3, 15, 25, 60, 200):
+        words = base[:1040]
+        for at in rng.sample(range(1040), changed):
+            words[at] = f"x{rng.random()}"
+        given.append(" ".join(words))
+    given = list(enumerate(given))
+    sets = [word_sets(t) for _, t in given]
+    links = [(a, b) for a, b in itertools.combinations(range(len(given)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(frame(spark, given)).collect()}
+    assert got == smallest(links, range(len(given))) and len(set(got.values())) > 2
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
