@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -94,31 +97,53 @@ def _is_range(value) -> bool:
     return isinstance(value, str) and value.startswith("[") and " TO " in value
 
 
-def _range_predicate(column: Column, text: str) -> Column | None:
-    """Inclusive range, ``*`` for an open end; None if the bounds are no numbers."""
-    bounds = text.strip("[]").split(" TO ")
-    if len(bounds) != 2:
+_RANGE = re.compile(r"\[\s*(\S+) TO (\S+)\s*\]")
+
+
+def _end(text: str) -> float | datetime | None:
+    """One end of a range: a finite number, an ISO date (its midnight) or time without offset, or None for ``*``."""
+    if text == "*":
         return None
     try:
-        low, high = (None if b.strip() == "*" else float(b) for b in bounds)
+        number = float(text)
     except ValueError:
-        return None
-    sides = [] if low is None else [column >= low]
-    sides += [] if high is None else [column <= high]
-    return reduce(lambda a, b: a & b, sides, F.lit(True)) if sides else column.isNotNull()
+        time = datetime.fromisoformat(text)
+        # a final Z is how some clients write times that have no zone in the data
+        if time.tzinfo is not None and not text.endswith("Z"):
+            raise ValueError(f"time with an offset: {text}") from None
+        return time.replace(tzinfo=None)
+    if not math.isfinite(number):
+        raise ValueError(f"not a finite number: {text}")
+    return number
+
+
+def _range_predicate(column: Column, text: str) -> Column:
+    """Inclusive range of numbers or of times; a range that cannot be read is an error, never a filter left out."""
+    found = _RANGE.fullmatch(text)
+    if found is None:
+        raise ValueError(f"not a range: {text}")
+    ends = [_end(e) for e in found.groups()]
+    if len({type(e) for e in ends if e is not None}) > 1:
+        raise ValueError(f"a number and a time in one range: {text}")
+    low, high = (F.lit(e.isoformat()).cast("timestamp_ntz") if isinstance(e, datetime) else e for e in ends)
+    if low is None and high is None:
+        return column.isNotNull()
+    if low is None:
+        return column <= high
+    return column >= low if high is None else column.between(low, high)
 
 
 def field_predicate(column: Column, values: Iterable) -> Column | None:
-    """Predicate of one field, or None if nothing usable was selected."""
+    """Predicate of one field, or None if nothing was selected."""
     values = list(values)
     plain = [v for v in values if not _is_range(v)]
     options = [column.isin(plain)] if plain else []
-    options += [p for p in (_range_predicate(column, v) for v in values if _is_range(v)) if p is not None]
+    options += [_range_predicate(column, v) for v in values if _is_range(v)]
     return reduce(lambda a, b: a | b, options) if options else None
 
 
 def field_predicates(filters: Filters | Iterable[str] | None, fields: Fields) -> dict[str, Column]:
-    """One predicate per filtered field; unknown fields are ignored."""
+    """One predicate per filtered field; unknown fields are ignored, unreadable ranges of known ones are errors."""
     if not filters:
         return {}
     if not isinstance(filters, Mapping):

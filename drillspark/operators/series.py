@@ -80,23 +80,29 @@ def top_metrics(df: DataFrame, n: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("points"), "metricGroup", "metricName").limit(n)
 
 
-def pick_series(df: DataFrame, patterns: list[str], n_processes: int = 5, among: int = 10) -> DataFrame:
+def pick_series(df: DataFrame, patterns: list[str], n_processes: int | None = None, among: int | None = None) -> DataFrame:
     """Points of one metric: the first whose name holds an early pattern, else the largest.
 
-    Only the ``among`` largest metrics are looked at, and only the first processes by name are kept. One pass counts
-    points per metric and process, a second one fetches the chosen points; at most ``n_processes`` rows are broadcast.
+    All metrics are looked at, or the ``among`` largest, and all processes are kept, or the first ``n_processes`` by
+    name. One pass counts points per metric and process, a second one fetches the chosen points; one row, or at most
+    ``n_processes``, is broadcast.
     """
     sizes = df.groupBy("metricGroup", "metricName", "process").agg(F.count("*").alias("points"))
-    sizes = stage_table(sizes, "metric-sizes")
+    if n_processes is not None:
+        sizes = stage_table(sizes, "metric-sizes")
     metrics = sizes.groupBy("metricGroup", "metricName").agg(F.sum("points").alias("points"))
-    largest = metrics.orderBy(F.desc("points"), "metricGroup", "metricName").limit(among)
+    if among is not None:
+        metrics = metrics.orderBy(F.desc("points"), "metricGroup", "metricName").limit(among)
     rank = F.lit(len(patterns))
     for i, pattern in reversed(list(enumerate(patterns))):
         rank = F.when(F.contains(F.col("metricName"), F.lit(pattern)), i).otherwise(rank)
-    best = largest.orderBy(rank, F.desc("points"), "metricGroup", "metricName").limit(1)
+    best = metrics.orderBy(rank, F.desc("points"), "metricGroup", "metricName").limit(1)
     metric = ["metricGroup", "metricName"]
-    shown = join_on(sizes, F.broadcast(best.select(*metric)), metric).orderBy("process").limit(n_processes)
-    points = join_on(df, F.broadcast(shown.select(*metric, "process")), [*metric, "process"])
+    if n_processes is None:
+        points = join_on(df, F.broadcast(best.select(*metric)), metric)
+    else:
+        shown = join_on(sizes, F.broadcast(best.select(*metric)), metric).orderBy("process").limit(n_processes)
+        points = join_on(df, F.broadcast(shown.select(*metric, "process")), [*metric, "process"])
     return points.select(*SERIES, "timestamp_ms", "value").orderBy("timestamp_ms", "host", "process")
 
 

@@ -20,8 +20,9 @@ def match_labels(
 ) -> DataFrame:
     """Series whose labels equal, match or do not match; patterns cover the whole value, missing labels are empty."""
     tests = [label(labels, k) == v for k, v in (eq or {}).items()]
-    tests += [label(labels, k).rlike(f"^(?:{v})$") for k, v in (re or {}).items()]
-    tests += [~label(labels, k).rlike(f"^(?:{v})$") for k, v in (nre or {}).items()]
+    whole = "(?s)\\A(?:{})\\z"  # unlike ^ and $, not around a line break
+    tests += [label(labels, k).rlike(whole.format(v)) for k, v in (re or {}).items()]
+    tests += [~label(labels, k).rlike(whole.format(v)) for k, v in (nre or {}).items()]
     return series.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 

@@ -104,11 +104,11 @@ def top_metrics(spark, sf):
 
 @query(
     "picked_series",
-    f"""{CLEAN}, t AS ({TOP_METRICS}),
-    best AS (SELECT metricGroup FROM t ORDER BY points DESC, metricGroup LIMIT 1),
-    p AS (SELECT DISTINCT process FROM m WHERE metricGroup = (SELECT metricGroup FROM best) ORDER BY 1 LIMIT 5)
-    SELECT {KEYS}, timestamp_ms, value FROM m
-    WHERE metricGroup = (SELECT metricGroup FROM best) AND process IN (SELECT process FROM p)""",
+    f"""{CLEAN}, g AS (SELECT metricGroup, metricName, count(*) AS points FROM m GROUP BY 1, 2),
+    best AS (SELECT metricGroup, metricName FROM g ORDER BY CASE WHEN contains(metricName, 'cpu_seconds_total') THEN 0
+      WHEN contains(metricName, 'requests_total') THEN 1 WHEN contains(metricName, 'alu') THEN 2 ELSE 3 END,
+      points DESC, metricGroup, metricName LIMIT 1)
+    SELECT {KEYS}, timestamp_ms, value FROM m SEMI JOIN best USING (metricGroup, metricName)""",
     S,
 )
 def picked_series(spark, sf):

@@ -206,6 +206,9 @@ def test_label_matchers(spark):
     assert [r.labels for r in kept] == [{"device": "eth0"}, {"other": "x"}]
     assert vectors.match_labels(s, re={"device": "eth"}).count() == 0
     assert vectors.match_labels(s, eq={"device": ""}).count() == 1
+    lines = frame(spark, [{"device": "a\n"}, {"device": "a"}, {"device": "b\nc"}])
+    assert vectors.match_labels(lines, re={"device": "a"}).count() == 1
+    assert vectors.match_labels(lines, re={"device": "b.c"}).count() == 1
 
 
 def mapped(spark, labels, threshold=100):
