@@ -9,7 +9,6 @@ from ..functions import codes, formats, times
 from ..functions.text import tokens
 from ..operators import alerts, facets, histograms, quantiles, search, stats
 from ..operators.filters import EVENT_FIELDS
-from ..sources import events
 from .registry import avg_of, query
 
 M = ("monitoring",)
@@ -290,9 +289,3 @@ def status_band(spark, sf):
         formats.status_band("memory", [(None, "green"), (0.7, "yellow"), (0.9, "red")]).alias("memory"),
         formats.status_band("n", [(None, "red"), (3, "yellow"), (4, "green")]).alias("reporting"),
     )
-
-
-@query("gen_events")
-def gen_events(spark, sf):
-    """One synthetic event per row of the event table."""
-    return events.generate_events(fixtures.table(spark, sf, "events"), "2024-02-01 00:00:00", id_column="event_id")

@@ -3,10 +3,8 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from drillspark.operators import alerts, histograms, quantiles, search, stats
-from drillspark.sources import events
 
 SCHEMA = (
     "event_id int, event_ts timestamp_ntz, host string, service string, event_type string, severity string, "
@@ -133,23 +131,3 @@ def test_quantiles_of_one_value_and_of_missing_values(spark):
     df = spark.createDataFrame([(1, 5.0)] * 300 + [(1, None), (2, None), (None, 7.0)], "k int, v double")
     got = quantiles.quantiles(df, "v", [0.5], ["k"]).collect()
     assert {tuple(r) for r in got} == {(1, 0.5, 5.0), (None, 0.5, 7.0)}
-
-
-def test_generated_events(spark):
-    ids = spark.range(20_000)
-    first = events.generate_events(ids, "2024-02-01 00:00:00", seed=1)
-    again = events.generate_events(ids.repartition(3), "2024-02-01 00:00:00", seed=1)
-    assert first.exceptAll(again).isEmpty()
-    shares = {r.severity: r["count"] / 20_000 for r in first.groupBy("severity").count().collect()}
-    for name, share in [("info", 0.7), ("warning", 0.2), ("error", 0.08), ("critical", 0.02)]:
-        assert shares[name] == pytest.approx(share, abs=0.01)
-    r = first.agg(
-        F.min("event_ts").alias("a"),
-        F.max("event_ts").alias("b"),
-        F.min("cpu_percent").alias("c"),
-        F.max("cpu_percent").alias("d"),
-        F.count_if(F.col("message").contains("{")).alias("open"),
-        F.countDistinct(F.substring("message", 1, 12)).alias("templates"),
-    ).first()
-    assert r.a >= dt.datetime(2024, 1, 31) and r.b <= dt.datetime(2024, 2, 1)
-    assert (r.c, r.d, r.open, r.templates) == (5.0, 95.0, 0, 15)

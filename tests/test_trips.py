@@ -177,7 +177,7 @@ def test_top_routes_honour_all_filters(trips):
 
 def test_top_routes_boundary(trips):
     valid = lambda t: t["total_amount"] > 0 and 1 <= marks(t) <= 120
-    expected = [e for e in plain_routes(valid, marks) if e[1] >= 10][:20]
+    expected = [e for e in plain_routes(valid, marks) if e[1] >= 10][:100]
     best = routes.top_routes_boundary(trips, n=100).orderBy(F.desc("score")).collect()
     assert [((r.PULocationID, r.DOLocationID), r.trip_count) for r in best] == [e[:2] for e in expected]
     assert {r.total_trips for r in best} == {len(TRIPS)}
