@@ -51,8 +51,9 @@ def minutes_elapsed(start: Column | str, end: Column | str) -> Column:
 
 
 def minute_boundaries(start: Column | str, end: Column | str) -> Column:
-    """Number of full-minute marks crossed, seconds ignored."""
-    minutes = [F.floor(F.unix_seconds(as_col(c).cast("timestamp")) / 60) for c in (start, end)]
+    """Number of full-minute marks crossed, seconds ignored; as in ``minutes_elapsed``, without the session's zone."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    minutes = [F.floor(F.timestamp_diff("MICROSECOND", epoch, as_col(c)) / F.lit(60_000_000.0)) for c in (start, end)]
     return minutes[1] - minutes[0]
 
 
