@@ -137,3 +137,15 @@ def test_row_id_is_stable(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "k int, v string").select(formats.row_id("k", "v").alias("i"))
     ids = [r.i for r in df.collect()]
     assert ids[0] == ids[1] != ids[2]
+
+
+def test_minutes_do_not_depend_on_the_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # whose clocks change on both days
+    try:
+        for day in ("2023-03-26", "2023-10-29"):
+            start, end = (F.lit(f"{day} {t}").cast("timestamp_ntz") for t in ("01:50:30", "03:10:10"))
+            row = spark.range(1).select(times.minutes_elapsed(start, end).alias("a"), times.minute_boundaries(start, end).alias("b")).first()
+            assert (round(row.a, 6), row.b) == (round(80 - 20 / 60, 6), 80)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
