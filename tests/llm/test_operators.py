@@ -378,3 +378,27 @@ def test_pipeline(spark):
 def test_native_plans(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow|CartesianProduct|NestedLoop", plan)
+
+
+def wrapped(text, width=40):
+    return "\n".join(re.findall(rf".{{1,{width}}}(?:\s|$)", " ".join(text.split())))
+
+
+def test_wrapped_and_embedded_licences(spark):
+    full = {name: text for name, text in license_scan.TEMPLATES if len(text) > 500}
+    before, after = "Some notes on trees and rivers. " * 9, " They were written in the autumn." * 9
+    notices = [
+        ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+        ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+        ("reserved", "Copyright 2020 Example Inc. All rights reserved."),
+        ("CC-BY-SA-4.0", "A short page about trees. Licensed under CC BY-SA 4.0. Written in spring by hand."),
+        *[(name, full[name]) for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0")],
+    ]
+    given = [(i, f"{before}\n# {wrapped(text)}\n{after}") for i, (_, text) in enumerate(notices)]
+    given += [(100 + i, f"{before} {' '.join(text.split())} {after}") for i, (_, text) in enumerate(notices)]
+    given.append((200, before + "Rights reserved by all. Licensed under rules. The MIT campus is released." + after))
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, given)).collect()}
+    for i, (name, _) in enumerate(notices):
+        for r in (got[i], got[100 + i]):
+            assert name in r.licenses.split(",") and r.best_dice >= 0.8, (i, name, r)
+    assert got[2].best_dice == 1 and got[3].best_license == "CC-BY-SA-4.0" and got[200].n_matches == 0
