@@ -1,18 +1,20 @@
-"""Language-model scores by deleted interpolation.
-
-Each token belongs to a class: the most frequent tokens have a class of their own, all others share hashed classes. The
-probability of a token is that of its class after the class before it, times its share of its class. The first is a mix of
-maximum-likelihood estimates from class pairs, from single classes, and of equal shares; the weights of the mix depend on
-how often the class before occurs (buckets by powers of two) and are learned by expectation-maximisation on the pair
-counts of a part of the corpus that the estimates did not see. A token's share of its class is smoothed by one, with one
-more share for tokens never seen, so probabilities add up to one.
-
-The pair table has a fixed bound (the square of the number of classes). Token counts have none: the most frequent ones are
-broadcast up to a bound, all others meet the texts in a shuffled join.
+"""Language-model scores by deleted interpolation of word trigrams, word pairs and classes.
+
+A token's probability mixes three maximum-likelihood estimates: after the two words before it, after the one word before
+it, and by classes. Each distinct run of three words is counted, in bounded buffers per task and then by a shuffle; pairs
+and contexts are sums of these counts. The weights of the mix depend on how often the two contexts occur (buckets by powers
+of two) and are learned by expectation-maximisation on the runs of a part of the corpus that the estimates did not see. Words
+are compared as 64-bit codes. The runs of the texts to be scored meet the counts in shuffled joins.
+
+By classes: the most frequent tokens have a class of their own, all others share hashed classes. The estimate is that of
+a token's class after the class before it, times the token's share of its class. The first is itself a mix of class pairs,
+single classes and equal shares, with weights learned in the same way. The share is smoothed by one, with one more share
+for tokens never seen, so probabilities add up to one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,12 +36,13 @@ END = b""
 
 @dataclass(frozen=True)
 class Settings:
-    """Classes of their own and shared ones, the bound of the broadcast counts, and a task's buffers."""
+    """Classes of their own and shared ones, the bound of the broadcast counts, and a task's buffers of tokens and of runs."""
 
     own: int = 511
     shared: int = 512
     broadcast_counts: int = 100_000
     buffered: int = 300_000
+    buffered_runs: int = 1 << 20
     steps: int = 60
 
     @property
@@ -124,6 +127,112 @@ def _paired(batches, sent) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
+class Codes:
+    """64-bit codes of tokens; 0 stands for what is before a text."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > 1 << 18:
+            known.clear()
+        for token in set(tokens):
+            if token not in known:
+                known[token] = int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little")
+        return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One code for two."""
+    mixed = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: the code of the two words before it, of the word before it, and its own."""
+    v = np.concatenate([np.zeros(1, np.uint64), codes[:-1]])
+    return _joined(np.concatenate([np.zeros(1, np.uint64), v[:-1]]), v), v, codes
+
+
+def _counted_runs(batches, sent) -> Iterator[pa.RecordBatch]:
+    """Counts of three words (u, v, w) with the cell of their classes, apart for texts to learn from and held out ones."""
+    s = sent.value
+    classes, codes, width = Classes(s["own"], s["first"], s["shared"]), Codes(), s["first"] + s["shared"]
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flushed():
+        u, v, w, cell, apart = map(np.concatenate, zip(*held))
+        held.clear()
+        _, at, of = np.unique(_joined(u, w), return_index=True, return_inverse=True)
+        n, h = (np.bincount(of, x, len(at)).astype(np.int64) for x in (~apart, apart))
+        return pa.record_batch([*(pa.array(x[at].view(np.int64)) for x in (u, v, w, cell)), pa.array(n), pa.array(h)], ["u", "v", "w", "cell", "n", "h"])
+
+    total = 0
+    for batch in small_batches(batches):
+        for text, apart in zip(batch.column("text"), batch.column("apart")):
+            tokens = tokens_of(text.as_py())
+            after = classes.of(tokens)
+            cell = np.concatenate([[width], after[:-1]]) * width + after
+            held.append((*_runs(codes.of(tokens)), cell, np.full(len(after), bool(apart.as_py()))))
+            total += len(after)
+            if total >= s["buffered_runs"]:
+                yield flushed()
+                total = 0
+    if total:
+        yield flushed()
+
+
+#: Contexts seen 2**(BUCKETS - 2) times or more share a bucket.
+BUCKETS = 24
+
+
+def _bucket_of(times: Column) -> Column:
+    return F.when(times > 0, F.least(F.length(F.bin(times)), F.lit(BUCKETS - 1))).otherwise(0)
+
+
+def _ratios(batches, sent) -> Iterator[pa.RecordBatch]:
+    """Held-out runs, counted by their buckets and by the ratios of their estimates in quarter powers of two."""
+    chance, sizes, width = (sent.value[k] for k in ("chance", "sizes", "width"))
+    for batch in batches:
+        b3, b2, n, un, pn, vn, wn, cell, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b3", "b2", "n", "un", "pn", "vn", "wn", "cell", "h"))
+        after = cell % width
+        low = chance[cell // width, after] * np.where(after < sent.value["first"], 1, (wn + 1) / sizes[after])
+        columns = [pa.array(b3, pa.int32()), pa.array(b2, pa.int32())]
+        for count, context in ((n, un), (pn, vn)):
+            with np.errstate(divide="ignore"):
+                ratio = np.round(4 * np.log2(count / np.maximum(context, 1) / low))
+            columns.append(pa.array(np.where(count > 0, ratio, 0).astype(np.int32), mask=count == 0))
+        yield pa.record_batch([*columns, pa.array(h, pa.int64())], ["b3", "b2", "q3", "q2", "h"])
+
+
+def run_weights(b3: np.ndarray, b2: np.ndarray, estimates: np.ndarray, times: np.ndarray, steps: int) -> np.ndarray:
+    """Weights of the estimates by three words, two words and classes, for each two buckets of the contexts.
+
+    Buckets without held-out runs take the weights of all runs together; a context never seen has no weight.
+    """
+    possible = np.ones((BUCKETS, BUCKETS, 3))
+    possible[0, :, 0] = possible[:, 0, 1] = 0
+    possible = possible.reshape(-1, 3)
+
+    def fitted(of: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        for _ in range(steps):
+            shares = weights[of] * estimates
+            shares *= (times / np.maximum(shares.sum(axis=1), 1e-300))[:, None]
+            sums = np.stack([np.bincount(of, shares[:, k], len(weights)) for k in range(3)], axis=1)
+            total = sums.sum(axis=1, keepdims=True)
+            weights = np.where(total > 0, sums / np.maximum(total, 1e-300), weights)
+        return weights
+
+    together = fitted(np.zeros(len(times), np.int64), np.full((1, 3), 1 / 3))
+    floor = 1e-6  # classes never vanish, so every token stays possible
+    together = together * (1 - floor) + floor * np.array([0, 0, 1])
+    start = possible * together
+    weights = fitted(b3 * BUCKETS + b2, start / start.sum(axis=1, keepdims=True)) * possible
+    return weights * (1 - floor) + floor * np.array([0, 0, 1])
+
+
 def bucket(times: np.ndarray) -> np.ndarray:
     """Contexts never seen, and powers of two of how often the others occur."""
     return np.where(times > 0, np.floor(np.log2(np.maximum(times, 1))) + 1, 0).astype(np.int64)
@@ -175,16 +284,44 @@ def learn(docs: DataFrame, apart: Column, settings: Settings = Settings()) -> di
     cells[table.column("cell").to_numpy()] = table.column("n").to_numpy()
     learned, held = cells.reshape(2, width + 1, width)
     weights = mix_weights(learned, held, settings.steps)
-    pair, single, equal = _parts(learned + held)
-    of = weights[bucket((learned + held).sum(axis=1))]
-    chance = of[:, :1] * pair + of[:, 1:2] * single[None, :] + of[:, 2:] * equal
+    chance, learned_chance = (_chance(c, weights) for c in (learned + held, learned))
     # of each shared class: tokens and distinct tokens
     shared = counts.join(if_small(_frame_of(spark, own)), "token", "left_anti")
     shared = shared.groupBy((settings.own + F.crc32("token") % settings.shared).cast("int").alias("class"))
     sizes = np.ones(width)
     for row in shared.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # a row for each class
         sizes[row["class"]] = row["n"] + row["kinds"] + 1
-    return {"counts": counts, "head": head, "own": own, "total": total, "distinct": distinct, "chance": chance, "sizes": sizes, "settings": settings}
+    model = {"counts": counts, "head": head, "own": own, "total": total, "distinct": distinct, "chance": chance, "sizes": sizes, "settings": settings}
+    return {**model, **_learn_runs(docs, apart, settings, own, learned_chance, sizes)}
+
+
+def _chance(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    pair, single, equal = _parts(counts)
+    of = weights[bucket(counts.sum(axis=1))]
+    return of[:, :1] * pair + of[:, 1:2] * single[None, :] + of[:, 2:] * equal
+
+
+def _learn_runs(docs: DataFrame, apart: Column, settings: Settings, own: dict[bytes, int], chance: np.ndarray, sizes: np.ndarray) -> dict:
+    """Tables of runs, pairs and contexts, and the weights of their estimates."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast({"own": own, "first": settings.own, "shared": settings.shared, "buffered_runs": settings.buffered_runs})
+    runs = docs.select("text", apart.alias("apart")).mapInArrow(lambda it: _counted_runs(it, sent), "u long, v long, w long, cell long, n long, h long")
+    runs = stage_table(runs.groupBy("u", "v", "w", "cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h")), "runs")
+
+    def summed(table: DataFrame, keys: list[str], name: str, n: str = "n", h: str = "h") -> DataFrame:
+        return stage_table(table.groupBy(*keys).agg(F.sum(n).alias(f"{name}n"), F.sum(h).alias(f"{name}h")), f"sums-{name}")
+
+    pairs = summed(runs, ["v", "w"], "p")
+    tables = {"twos": summed(runs, ["u"], "u"), "pairs": pairs, "ones": summed(pairs, ["v"], "v", "pn", "ph"), "words": summed(pairs, ["w"], "w", "pn", "ph")}
+    pairs = stage_table(pairs.join(tables["ones"], "v").join(tables["words"], "w"), "pair-counts")
+    runs = stage_table(runs.join(tables["twos"], "u").join(pairs, ["v", "w"]), "run-counts")
+    known = spark.sparkContext.broadcast({"chance": chance, "sizes": sizes, "width": settings.classes, "first": settings.own})
+    held = runs.where("h > 0").select(_bucket_of(F.col("un")).alias("b3"), _bucket_of(F.col("vn")).alias("b2"), "n", "un", "pn", "vn", "wn", "cell", "h")
+    held = held.mapInArrow(lambda it: _ratios(it, known), "b3 int, b2 int, q3 int, q2 int, h long")
+    held = held.groupBy("b3", "b2", "q3", "q2").agg(F.sum("h").alias("h")).orderBy("b3", "b2", "q3", "q2").toArrow()  # few distinct ratios
+    b3, b2, h = (held.column(c).to_numpy() for c in ("b3", "b2", "h"))
+    ratios = [np.nan_to_num(2.0 ** (held.column(c).to_numpy().astype(np.float64) / 4), nan=0) for c in ("q3", "q2")]
+    return {"runs": runs, **tables, "run_weights": run_weights(b3, b2, np.stack([*ratios, np.ones(len(h))], axis=1), h, settings.steps)}
 
 
 def _frame_of(spark, own: dict[bytes, int]) -> DataFrame:
@@ -193,31 +330,39 @@ def _frame_of(spark, own: dict[bytes, int]) -> DataFrame:
 
 def _scored(batches, sent) -> Iterator[pa.RecordBatch]:
     s = sent.value
-    classes, width, logs = Classes(s["own"], s["first"], s["shared"]), s["first"] + s["shared"], s["logs"]
+    classes, codes, width, chance = Classes(s["own"], s["first"], s["shared"]), Codes(), s["first"] + s["shared"], s["chance"]
     head, own, sizes, scale = s["head"], s["own"], s["sizes"], s["scale"]
     base = {t: np.log10((n + 1) / scale) for t, n in head.items()}
-    share = {t: 0.0 if t in own else np.log10((n + 1) / sizes[classes.class_of(t)]) for t, n in head.items()}
+    share = {t: 1.0 if t in own else (n + 1) / sizes[classes.class_of(t)] for t, n in head.items()}
     for batch in small_batches(batches):
-        rows = []
+        rows, runs = [], []
         for text in batch.column("text"):
             tokens = tokens_of(text.as_py())
             after = classes.of(tokens)
             before = np.concatenate([[width], after[:-1]])
-            score = float(logs[before, after].sum())
+            shares = np.fromiter((share.get(t, 0.0) for t in tokens), np.float64, len(tokens))
+            u, v, w = _runs(codes.of(tokens))
+            _, at, n_at = np.unique(_joined(u, w), return_index=True, return_counts=True)
+            rare = shares[at] == 0
+            by_class = chance[before[at], after[at]] * np.where(rare, 1 / sizes[after[at]], shares[at])
+            runs.append((u[at], v[at], w[at], by_class, rare, n_at))
             times = Counter(tokens)
             known, base_score, rest = 0, 0.0, []
             for token, n in times.items():
                 if token in base:
                     known += n
                     base_score += n * base[token]
-                    score += n * share[token]
                 else:
                     rest.append({"token": token, "n": n})
-            rows.append((len(tokens), known, base_score, score, rest))
-        n, known, base_scores, scores, rest = zip(*rows)
+            rows.append((len(tokens), known, base_score, rest))
+        n, known, base_scores, rest = zip(*rows)
         kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-        columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base_scores, pa.float64()), pa.array(scores, pa.float64())]
-        yield pa.record_batch([batch.column("doc_id"), *columns, pa.array(rest, kind)], ["doc_id", "n_tokens", "n_known", "base_score", "score", "rest"])
+        columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base_scores, pa.float64())]
+        ends = np.cumsum([0, *(len(r[0]) for r in runs)]).astype(np.int32)
+        u, v, w, by_class, rare, times = map(np.concatenate, zip(*runs))
+        parts = [*(pa.array(x.view(np.int64)) for x in (u, v, w)), pa.array(by_class), pa.array(rare), pa.array(times.astype(np.int64))]
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["u", "v", "w", "by_class", "rare", "times"]))
+        yield pa.record_batch([batch.column("doc_id"), *columns, pa.array(rest, kind), listed], ["doc_id", "n_tokens", "n_known", "base_score", "rest", "runs"])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -236,28 +381,26 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             "own": model["own"],
             "first": settings.own,
             "shared": settings.shared,
-            "logs": np.log10(model["chance"]),
+            "chance": model["chance"],
             "head": model["head"],
             "sizes": model["sizes"],
             "scale": scale,
         }
     )
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, rest array<struct<token:binary,n:long>>"
+    schema = f"doc_id {id_type}, n_tokens long, n_known long, base_score double, rest array<struct<token:binary,n:long>>"
+    schema += ", runs array<struct<u:long,v:long,w:long,by_class:double,rare:boolean,times:long>>"
     texts = docs.select("doc_id", "text").mapInArrow(lambda it: _scored(it, sent), schema)
     texts = stage_table(texts.withColumn("row", F.monotonically_increasing_id()), "text-scores")
     rare = texts.select("row", F.explode("rest").alias("one")).select("row", "one.token", F.col("one.n").alias("times"))
-    sizes = F.array(*[F.lit(float(x)) for x in model["sizes"][settings.own :]])
     seen = F.coalesce(F.col("n"), F.lit(0))
-    size = F.element_at(sizes, (F.crc32("token") % settings.shared).cast("int") + 1)
     met = rare.join(model["counts"], "token", "left").select(
         "row",
         F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"),
         (F.col("times") * F.log10((seen + 1) / F.lit(float(scale)))).alias("base"),
-        (F.col("times") * F.log10((seen + 1) / size)).alias("share"),
     )
-    sums = met.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base", "share")])
-    out = texts.drop("rest").join(sums, "row", "left")
+    sums = met.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base")])
+    out = texts.drop("rest", "runs").join(sums, "row", "left").join(_run_scores(texts, model), "row", "left")
     zero = F.lit(0)
     return out.select(
         "doc_id",
@@ -265,5 +408,30 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"),
         F.lit(model["total"]).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("base", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("share", zero)).alias("score"),
+        "score",
     )
+
+
+def _run_scores(texts: DataFrame, model: dict) -> DataFrame:
+    """Sums of logarithms for each row of ``texts`` (row, runs); runs that no text of the corpus has meet pairs and contexts."""
+    weights = F.array(*[F.lit(float(x)) for x in model["run_weights"].ravel()])
+
+    def log_chance(n: Column, un: Column, pn: Column, vn: Column, wn: Column) -> Column:
+        n, un, pn, vn, wn = (F.coalesce(c, F.lit(0)) for c in (n, un, pn, vn, wn))
+        at = (_bucket_of(un) * BUCKETS + _bucket_of(vn)) * 3
+        three, two, low = (F.get(weights, at + k) for k in range(3))
+        by_class = F.col("by_class") * F.when(F.col("rare"), wn + 1).otherwise(1)
+        return F.col("times") * F.log10(three * n / F.greatest(un, F.lit(1)) + two * pn / F.greatest(vn, F.lit(1)) + low * by_class)
+
+    def both(name: str) -> Column:
+        return F.col(f"{name}n") + F.col(f"{name}h")
+
+    counts = model["runs"].select("u", "w", (F.col("n") + F.col("h")).alias("n"), *[both(x).alias(f"n_{x}") for x in "upvw"])
+    met = texts.select("row", F.inline("runs")).join(counts, ["u", "w"], "left")
+    found = F.col("n").isNotNull()
+    rest = [F.when(~found, F.col(c)).alias(c) for c in ("u", "v", "w", "by_class", "rare", "times")]
+    met = stage_table(met.select("row", F.when(found, log_chance(F.col("n"), *[F.col(f"n_{x}") for x in "upvw"])).alias("log"), *rest), "met-runs")
+    new = met.where("log IS NULL").drop("log").join(model["twos"], "u", "left").join(model["pairs"], ["v", "w"], "left")
+    new = new.join(model["ones"], "v", "left").join(model["words"], "w", "left")
+    new = new.select("row", log_chance(F.lit(0), *[both(x) for x in "upvw"]).alias("log"))
+    return met.where("log IS NOT NULL").select("row", "log").unionByName(new).groupBy("row").agg(F.sum("log").alias("score"))

@@ -402,3 +402,47 @@ def test_wrapped_and_embedded_licences(spark):
         for r in (got[i], got[100 + i]):
             assert name in r.licenses.split(",") and r.best_dice >= 0.8, (i, name, r)
     assert got[2].best_dice == 1 and got[3].best_license == "CC-BY-SA-4.0" and got[200].n_matches == 0
+
+
+def test_language_model_counts_runs_of_words(spark):
+    rng = random.Random(4)
+    common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(60)]
+    phrase = ["zeta", "eta", "theta", "iota"]
+    given = []
+    for i in range(60):
+        words = rng.choices(common, k=12) + rng.sample(rare, 6)
+        given.append((i, " ".join([*words[:9], *phrase, *words[9:]])))
+    new = [(100, "c1 zeta eta theta iota c2"), (101, "c1 theta zeta iota eta c2"), (102, "c1 zeta eta unseen1 r3 eta theta c1 c2 unseen2"), (103, None)]
+    docs, settings = frame(spark, given), lm_score.Settings(own=6, shared=1, broadcast_counts=8, buffered=50, buffered_runs=100)
+    apart = F.col("doc_id") % 7 == 3
+    model = lm_score.learn(docs, apart, settings)
+    got = {r.doc_id: r.score for r in lm_score.score(frame(spark, given[:5] + new), model).collect()}
+    assert got[100] > got[101] + 1  # the same rare words, all of one class
+
+    counts = [Counter() for _ in range(3)]
+    contexts, n_of = [Counter() for _ in range(3)], Counter()
+    for _, t in given:
+        tokens = [None, None, *lm_score.tokens_of(t)]
+        n_of.update(tokens[2:])
+        for i in range(2, len(tokens)):
+            for k in (1, 2):
+                counts[k][tuple(tokens[i - k : i + 1])] += 1
+                contexts[k][tuple(tokens[i - k : i])] += 1
+    classes = lm_score.Classes(model["own"], settings.own, settings.shared)
+    weights = model["run_weights"].reshape(lm_score.BUCKETS, lm_score.BUCKETS, 3)
+
+    def chance(a, b, c):
+        before = settings.classes if b is None else int(classes.of([b])[0])
+        after = int(classes.of([c])[0])
+        low = model["chance"][before, after] * (1 if c in model["own"] else (n_of[c] + 1) / model["sizes"][after])
+        two, three = contexts[1][(b,)], contexts[2][(a, b)]
+        mix = weights[three.bit_length(), two.bit_length()]
+        return mix[0] * counts[2][(a, b, c)] / max(three, 1) + mix[1] * counts[1][(b, c)] / max(two, 1) + mix[2] * low
+
+    for doc, t in given[:5] + new:
+        tokens = [None, None, *lm_score.tokens_of(t)]
+        expected = sum(math.log10(chance(*tokens[i - 2 : i + 1])) for i in range(2, len(tokens)))
+        assert math.isclose(got[doc], expected, rel_tol=1e-9), doc
+    for a, b in ((b"zeta", b"eta"), (b"r1", b"r2"), (None, None), (b"c1", b"unseen")):
+        total = sum(chance(a, b, c) for c in n_of) + chance(a, b, b"never")
+        assert math.isclose(total, 1, rel_tol=1e-6), (a, b, total)
