@@ -81,7 +81,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
-@query("op4_url_filter")
+#: Pages with host and path, listed keys as a join, and the longest rule that fits.
+URL_FILTER_SQL = r"""
+WITH cut AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), given AS (
+  SELECT page_id, coalesce(regexp_matches(html, '%%%|\*\*\*|###|\$\$\$|&&&'), false) AS garbled,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules(kind, site, beginning) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), fits AS (
+  SELECT host, path, max_by(site || beginning, length(site || beginning)) AS rule, max_by(kind, length(site || beginning)) AS kind
+  FROM given JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, beginning) GROUP BY host, path
+), listed AS (SELECT DISTINCT host || path AS key FROM given WHERE garbled)
+SELECT page_id, given.host, given.path, rule, coalesce(kind, CASE WHEN key IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM given LEFT JOIN fits ON fits.host = given.host AND fits.path = given.path LEFT JOIN listed ON key = given.host || given.path
+"""
+
+
+@query("op4_url_filter", URL_FILTER_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed are the addresses of pages with garbled text (words followed by runs of three marks)."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

@@ -446,3 +446,13 @@ def test_language_model_counts_runs_of_words(spark):
     for a, b in ((b"zeta", b"eta"), (b"r1", b"r2"), (None, None), (b"c1", b"unseen")):
         total = sum(chance(a, b, c) for c in n_of) + chance(a, b, b"never")
         assert math.isclose(total, 1, rel_tol=1e-6), (a, b, total)
+
+
+def test_url_filter_against_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    expected = con.execute(queries.CHECKS["op4_url_filter"]).fetchall()
+    got = [tuple(r) for r in queries.QUERIES["op4_url_filter"](spark, SF).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr) and got
