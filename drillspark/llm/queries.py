@@ -7,7 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import byte_bpe, decontaminate, license_scan, lm_score, ngram_join, quality_lines, secret_scan, toxicity, url_filter, warc
+from . import (
+    byte_bpe,
+    decontaminate,
+    license_scan,
+    lm_score,
+    ngram_join,
+    quality_lines,
+    secret_scan,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -117,3 +129,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     warc.write(pages, path)
     return warc.read(spark, path, pages.schema["page_id"].dataType.simpleString())
+
+
+@query("op11_suffix_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
