@@ -10,12 +10,14 @@ from ..session import new_path
 from . import (
     byte_bpe,
     decontaminate,
+    lexical_search,
     license_scan,
     lm_score,
     ngram_join,
     quality_lines,
     secret_scan,
     suffix_dedup,
+    token_alignment,
     toxicity,
     url_filter,
     warc,
@@ -134,3 +136,45 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_suffix_dedup")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.align(documents(spark, sf_dir), *files)
+
+
+#: The given formulas, on all terms of all documents.
+LEXICAL_SEARCH_SQL = r"""
+WITH terms AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (
+    SELECT row_number() OVER () AS row, doc_id,
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+  )
+), counted AS (SELECT row, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM terms GROUP BY row, term
+), lengths AS (SELECT row, sum(tf)::BIGINT AS n FROM counted GROUP BY row
+), totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), norms AS (SELECT row, 50 + (50 * n * n_docs) // n_terms AS m FROM lengths, totals
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, totals GROUP BY term, n_docs
+), asked AS (
+  SELECT DISTINCT item_id, term FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'
+    )) AS term
+    FROM benchmark
+  )
+), scored AS (
+  SELECT item_id, row, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN norms USING (row) GROUP BY item_id, row
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@query("op12_lexical_search", LEXICAL_SEARCH_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 50)
