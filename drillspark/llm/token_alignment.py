@@ -12,6 +12,7 @@ shuffled. Their number is bounded by the vocabularies; they are sent to executor
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -28,7 +29,9 @@ ship(__name__)
 
 #: Units a worker remembers before it starts anew, characters of text split or encoded at once, and pairs of ids sent to
 #: executors at once.
-REMEMBERED, TOGETHER, PAIRS = 1 << 18, 1 << 20, 1 << 22
+REMEMBERED, TOGETHER, PAIRS = 1 << 19, 1 << 20, 1 << 22
+#: Units encoded as one text; longer texts take more time per token.
+LINE = 256
 #: A space between two characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: What the second tokenizer writes for a space; a text that holds it itself is not given back by its tokens.
@@ -43,9 +46,10 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Two tokenizers as functions from a text, which a space precedes, to ids; and the bytes of each id."""
+    """Two tokenizers as functions from texts, which spaces precede, to ids; and the bytes of each id."""
 
     def __init__(self, given: dict[str, bytes]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -54,15 +58,18 @@ class Tokenizers:
         second = sentencepiece.SentencePieceProcessor(model_proto=given["b"])
         alphabet = byte_alphabet()
         names = {i: token for token, i in first.get_vocab(with_added_tokens=True).items()}
-        self.a = lambda text: first.encode(" " + text, add_special_tokens=False).ids
-        self.b = lambda text: second.encode(text, num_threads=1)
+        self.a = lambda lines: [e.ids for e in first.encode_batch_fast([" " + line for line in lines], add_special_tokens=False)]
+        self.b = lambda lines: second.encode(lines, num_threads=1)
         self.bytes_a = [bytes(alphabet.get(c, 0) for c in names.get(i, "")) for i in range(max(names) + 1)]
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace(MARK, " ").encode()
             for i, p in enumerate(map(second.id_to_piece, range(second.get_piece_size())))
         ]
         self.sizes_a, self.sizes_b = (np.array([len(t) for t in table]) for table in (self.bytes_a, self.bytes_b))
-        self.names_a, self.names_b = ([str(i) for i in range(len(table))] for table in (self.bytes_a, self.bytes_b))
+        # ids as text with what follows them: inside a group, at the end of its part, and in b at the end of a unit
+        self.first_b = 2 * len(self.bytes_a)
+        ends = [(self.bytes_a, ",|"), (self.bytes_b, (",", ";", ""))]
+        self.written = [f"{i}{end}" for table, marks in ends for end in marks for i in range(len(table))]
 
 
 def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
@@ -161,10 +168,10 @@ class Units:
     def _add(self, units: list[str]) -> bool:
         """Units side by side; false if the tokens do not give them back."""
         t = self.tokenizers
-        text = " ".join(units)
-        a, b = t.a(text), t.b(text)
-        raw = (" " + text).encode()
-        if b"".join([t.bytes_a[i] for i in a]) != raw or b"".join([t.bytes_b[i] for i in b]) != raw:
+        lines = [" ".join(units[i : i + LINE]) for i in range(0, len(units), LINE)]
+        a, b = ([i for ids in encode(lines) for i in ids] for encode in (t.a, t.b))
+        raw = (" " + " ".join(lines)).encode()
+        if b"".join(map(t.bytes_a.__getitem__, a)) != raw or b"".join(map(t.bytes_b.__getitem__, b)) != raw:
             return False
         a, b = np.array(a), np.array(b)
         ends_a, ends_b = np.cumsum(t.sizes_a[a]), np.cumsum(t.sizes_b[b])
@@ -176,21 +183,25 @@ class Units:
         upto = np.searchsorted(borders, unit_ends, "right")  # groups up to the end of each unit
         if not np.array_equal(borders[upto - 1], unit_ends):
             return False
-        names_a, names_b = ([names[i] for i in ids] for names, ids in ((t.names_a, a), (t.names_b, b)))
-        written, i, j = [], 0, 0
-        for k, m in zip(cuts_a.tolist(), cuts_b.tolist()):
-            written.append(f"{','.join(names_a[i:k])}|{','.join(names_b[j:m])}")
-            i, j = k, m
-        upto = [0, *upto.tolist()]
-        figures = np.diff(np.stack([cuts_a[np.array(upto[1:]) - 1], cuts_b[np.array(upto[1:]) - 1], upto[1:]], 1), axis=0, prepend=0)
-        figures = np.concatenate([figures, np.ones((len(units), 1), np.int64)], 1)
+        figures = np.diff(np.stack([cuts_a[upto - 1], cuts_b[upto - 1], upto], 1), axis=0, prepend=0)
         pairs = (a[cuts_a - 1] << self.shift) | b[heads]
-        self._append(units, figures, [";".join(written[i:j]) for i, j in zip(upto, upto[1:])], pairs)
+        # tokens in the order they are written: a group's tokens of a, then those of b
+        shape_a, shape_b = a.copy(), b + t.first_b
+        shape_a[cuts_a - 1] += len(t.bytes_a)
+        shape_b[heads] += len(t.bytes_b)
+        shape_b[heads[upto - 1]] += len(t.bytes_b)
+        place_a = np.arange(len(a)) + np.concatenate([[0], cuts_b[:-1]]).repeat(np.diff(cuts_a, prepend=0))
+        place_b = np.arange(len(b)) + cuts_a.repeat(np.diff(cuts_b, prepend=0))
+        order = np.empty(len(a) + len(b), np.int64)
+        order[place_a], order[place_b] = shape_a, shape_b
+        written = list(map(t.written.__getitem__, order.tolist()))
+        ends = (cuts_a + cuts_b)[upto - 1].tolist()
+        groups = ["".join(written[i:j]) for i, j in zip([0, *ends], ends)]
+        self._append(units, np.concatenate([figures, np.ones((len(units), 1), np.int64)], 1), groups, pairs)
         return True
 
     def _append(self, units, figures, groups, pairs) -> None:
-        for unit in units:
-            self.number[unit] = len(self.number)
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units))))
         self.groups.extend(groups)
         ends = self.kept_pairs.n + np.cumsum(figures[:, 2])
         self.kept_figures.add(np.concatenate([figures, ends[:, None]], 1))
