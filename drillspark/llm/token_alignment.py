@@ -5,8 +5,9 @@ between such spaces; each distinct unit is encoded and aligned once and remember
 points to its farthest-right overlapping token; successors are doubled until nothing changes, and the terminal token of a
 token's chain labels its group.
 
-Counts need all texts before any text can be judged, so texts are read twice; only pairs of ids and their counts are
-shuffled. Their number is bounded by the vocabularies; they are sent to executors in blocks of ``PAIRS`` at most.
+Counts need all texts before any text can be judged. Texts are read once: what is known of each is written with its
+distinct links, packed, and judged from there. Only pairs of ids and their counts are shuffled. Their number is bounded by
+the vocabularies; they are sent to executors in blocks of ``PAIRS`` at most.
 """
 
 from __future__ import annotations
@@ -125,13 +126,13 @@ class Units:
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
         self.shift = max(len(tokenizers.bytes_b) - 1, 1).bit_length()
+        self.packed = "<u4" if len(tokenizers.bytes_a) << self.shift <= 1 << 32 else "<u8"
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
         self.kept_figures, self.kept_pairs = Rows(5), Rows()
-        self.kept_sums, self.summed_by = Rows(2), None
 
     @property
     def figures(self) -> np.ndarray:
@@ -234,25 +235,11 @@ class Units:
         look_up()
         return [np.concatenate(f) if f else np.empty(0, np.int64) for f in found]
 
-    def sums(self, block: dict[str, np.ndarray]) -> np.ndarray:
-        """For each unit, how many of its links are their b id's most frequent ones, and the sum of its links' counts."""
-        if self.summed_by is not block:
-            self.kept_sums, self.summed_by = Rows(2), block
-        done = self.kept_sums.n
-        fresh = self.figures[done:]
-        if len(fresh):
-            pairs = self.pairs[self.figures[done - 1, 4] if done else 0 :]
-            values = np.zeros((len(pairs) + 1, 2), np.int64)
-            known = block["pair"]
-            if len(known):
-                at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-                hit = known[at] == pairs
-                values[1:, 0] = np.where(hit, block["best"][at], 0)
-                values[1:, 1] = np.where(hit, block["n"][at], 0)
-            total = np.cumsum(values, axis=0)
-            ends = np.cumsum(fresh[:, 2])
-            self.kept_sums.add(total[ends] - total[ends - fresh[:, 2]])
-        return self.kept_sums.rows
+    def links(self, numbers: np.ndarray) -> np.ndarray:
+        """The pairs of some units, one after another."""
+        sizes, ends = self.figures[numbers, 2], self.figures[numbers, 4]
+        upto = np.cumsum(sizes)
+        return self.pairs[np.arange(sizes.sum()) + np.repeat(ends - upto, sizes)]
 
 
 def _units(state) -> Units:
@@ -263,61 +250,74 @@ def _units(state) -> Units:
     return held["units"]
 
 
-def _pair_counts(batches, state) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids that end together, and how often, for as many texts as the units that are remembered allow."""
+FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
+#: Rows of texts, with distinct links and how often each occurs, packed; and rows of counts over many texts.
+ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, times binary, pair array<long>, n array<long>"
+
+
+def _aligned(batches, state, key: str) -> Iterator[pa.RecordBatch]:
+    """Texts as they are aligned, and from time to time the pairs that end together in the texts so far, with their counts."""
     units, ready = _units(state), []
-    times = np.zeros(0, np.int64)
+    seen = np.zeros(0, np.int64)
+    names = [key, *(c.split()[0] for c in ALIGNED.split(", "))]
 
     def count():
-        nonlocal times
-        n = units.figures[: len(times), 2]
+        nonlocal seen
+        n = units.figures[: len(seen), 2]
         pairs, place = np.unique(units.pairs[: n.sum()], return_inverse=True)
         total = np.zeros(len(pairs), np.int64)
-        np.add.at(total, place, np.repeat(times, n))
-        seen = total > 0
-        ready.append(pa.record_batch([pa.array(pairs[seen]), pa.array(total[seen])], ["pair", "n"]))
-        times = np.zeros(0, np.int64)
+        np.add.at(total, place, np.repeat(seen, n))
+        pairs, total = pairs[total > 0], total[total > 0]
+        lists = [pa.array([x[i : i + TOGETHER] for i in range(0, len(x), TOGETHER)], pa.list_(pa.int64())) for x in (pairs, total)]
+        kinds = [batch.column(key).type, *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary()]
+        ready.append(pa.record_batch([*(pa.nulls(len(lists[0]), k) for k in kinds), *lists], names))
+        seen = np.zeros(0, np.int64)
 
     for batch in small_batches(batches, 64):
         numbers = units.numbers(batch.column("text").to_pylist(), count)
-        found = [n for n in numbers if len(n) and units.figures[n, 3].all()]
-        grown = np.zeros(len(units.number), np.int64)
-        grown[: len(times)] = times
-        times = grown
-        if found:
-            times += np.bincount(np.concatenate(found), minlength=len(times))
-        while ready:
-            yield ready.pop()
-    count()
-    yield from ready
-
-
-NAMES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-
-
-def _judged(batches, state, block, key: str) -> Iterator[pa.RecordBatch]:
-    """The figures of each text; the sums are over the pairs of one block."""
-    units = _units(state)
-    for batch in small_batches(batches, 64):
-        numbers = units.numbers(batch.column("text").to_pylist())
-        sums = units.sums(block.value)
-        rows = np.zeros((len(numbers), 6), np.int64)
-        hashes = [""] * len(numbers)
+        seen = np.concatenate([seen, np.zeros(len(units.number) - len(seen), np.int64)])
+        rows, hashes, packed = np.zeros((len(numbers), 4), np.int64), [""] * len(numbers), [(b"", b"")] * len(numbers)
         for i, n in enumerate(numbers):
             if len(n) and units.figures[n, 3].all():
                 rows[i, :3] = units.figures[n, :3].sum(axis=0)
                 rows[i, 3] = rows[i, 2]
-                rows[i, 4:] = sums[n].sum(axis=0)
                 hashes[i] = hashlib.sha256(";".join([units.groups[u] for u in n.tolist()]).encode()).hexdigest()
-        columns = [batch.column(key), *(pa.array(rows[:, k]) for k in range(6)), pa.array(hashes, pa.string())]
-        yield pa.record_batch(columns, [key, *NAMES, "groups_sha256"])
+                links, times = np.unique(units.links(n), return_counts=True)
+                packed[i] = links.astype(units.packed).tobytes(), times.astype("<u4").tobytes()
+                np.add.at(seen, n, 1)
+        yield from ready
+        ready.clear()
+        columns = [batch.column(key), *(pa.array(rows[:, k]) for k in range(4)), pa.array(hashes, pa.string())]
+        columns += [pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1)]
+        yield pa.record_batch([*columns, *[pa.nulls(len(numbers), pa.list_(pa.int64()))] * 2], names)
+    if len(seen):
+        count()
+    yield from ready
 
 
-def pair_counts(texts: DataFrame, state) -> DataFrame:
+def _judged(batches, kind: str, block, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Texts with two sums over those of their links that are in a block of pairs."""
+    known, n, best = (block.value[c] for c in ("pair", "n", "best"))
+    for batch in small_batches(batches, 256):
+        links, times = (batch.column(c).to_pylist() for c in ("links", "times"))
+        sums = np.zeros((len(links), 2), np.int64)
+        for i, (raw, often) in enumerate(zip(links, times)):
+            pairs = np.frombuffer(raw, kind).astype(np.int64)
+            if not len(pairs) or not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+            often = np.where(known[at] == pairs, np.frombuffer(often, "<u4"), 0)
+            sums[i] = (often * best[at]).sum(), (often * n[at]).sum()
+        columns = {c: batch.column(c) for c in batch.schema.names} | {"n_best": pa.array(sums[:, 0]), "count_sum": pa.array(sums[:, 1])}
+        yield pa.record_batch([columns[c] for c in names], names)
+
+
+def pair_counts(aligned: DataFrame, shift: int) -> DataFrame:
     """pair, n, best: how often two ids end together, and whether no other id ends more often with the same b id."""
-    counted = texts.select("text").mapInArrow(lambda it: _pair_counts(it, state), "pair long, n long")
-    counted = stage_table(counted.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
-    low = F.col("pair").bitwiseAND((1 << state.value["shift"]) - 1)
+    counted = aligned.where("pair IS NOT NULL").select(F.explode(F.arrays_zip("pair", "n")).alias("one"))
+    counted = counted.groupBy("one.pair").agg(F.sum("one.n").alias("n"))
+    counted = stage_table(counted, "pair-counts")
+    low = F.col("pair").bitwiseAND((1 << shift) - 1)
     most = counted.groupBy(low.alias("b")).agg(F.max("n").alias("most"))
     return stage_table(counted.join(most, low == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pairs")
 
@@ -336,24 +336,27 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     given = docs.select("doc_id", "text")
     with open(a_path, "rb") as a, open(b_path, "rb") as b:
         files = {"a": a.read(), "b": b.read()}
-    shift = Units(Tokenizers(files)).shift
-    state = spark.sparkContext.broadcast(files | {"shift": shift})
-    pairs = pair_counts(given, state)
+    units = Units(Tokenizers(files))
+    shift, packed = units.shift, units.packed
+    state = spark.sparkContext.broadcast(files)
+    kind = given.schema["doc_id"].dataType.simpleString()
+    aligned = given.mapInArrow(lambda it: _aligned(it, state, "doc_id"), f"doc_id {kind}, {ALIGNED}")
+    aligned = stage_table(aligned.withColumn("row", F.monotonically_increasing_id()), "aligned")  # with numbers, so that these stay
+    pairs = pair_counts(aligned, shift)
+    texts = aligned.where("links IS NOT NULL").drop("pair", "n")
     blocks = max(1, -(-pairs.count() // (PAIRS * 3 // 4)))
+    types = "n_best long, count_sum long"
 
-    def judged(rows: DataFrame, key: str, block: int) -> DataFrame:
+    def judged(block: int, rows: DataFrame, columns: str) -> DataFrame:
         some = pairs.where(F.pmod(F.xxhash64("pair"), F.lit(blocks)) == block).orderBy("pair").toArrow()
         sent = spark.sparkContext.broadcast({c: some.column(c).to_numpy() for c in some.column_names})
-        types = ", ".join(f"{n} long" for n in NAMES)
-        schema = f"{key} {rows.schema[key].dataType.simpleString()}, {types}, groups_sha256 string"
-        return rows.mapInArrow(lambda it: _judged(it, state, sent, key), schema)
+        names = [c.split()[0] for c in columns.split(", ")]
+        return rows.mapInArrow(lambda it: _judged(it, packed, sent, names), columns)
 
+    whole = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in FIGURES) + f", {types}, groups_sha256 string"
     if blocks == 1:
-        return judged(given, "doc_id", 0)
-    # each block sees all texts, under numbers that are written with them, and adds to two of the sums
-    rows = stage_table(given.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
-    parts = [stage_table(judged(rows.select("row", "text"), "row", k), f"aligned-{k}") for k in range(blocks)]
-    sums = reduce(DataFrame.unionByName, [p.select("row", *NAMES[4:]) for p in parts]).groupBy("row")
-    sums = sums.agg(*[F.sum(n).alias(n) for n in NAMES[4:]])
-    out = rows.select("row", "doc_id").join(parts[0].drop(*NAMES[4:]), "row").join(sums, "row")
-    return out.select("doc_id", *NAMES, "groups_sha256")
+        return judged(0, texts, whole)
+    # each block sees the links of all texts and adds to two of their sums
+    parts = [stage_table(judged(k, texts.select("row", "links", "times"), f"row long, {types}"), f"judged-{k}") for k in range(blocks)]
+    sums = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return texts.join(sums, "row").select("doc_id", *FIGURES, "n_best", "count_sum", "groups_sha256")

@@ -96,23 +96,25 @@ def test_blocks_and_forgetting_change_nothing(spark, plain, monkeypatch):
 
 
 def test_forgetting_keeps_counts(monkeypatch, plain):
-    monkeypatch.setattr(token_alignment, "REMEMBERED", 50)
-    monkeypatch.setattr(token_alignment, "TOGETHER", 100)
     import pyarrow as pa
 
-    class State:
-        value = {"a": open(A, "rb").read(), "b": open(B, "rb").read()}
-
     given = texts()
-    total = Counter()
-    for got in token_alignment._pair_counts([pa.record_batch([pa.array(given, pa.string())], ["text"])], State):
-        total.update(dict(zip(got["pair"].to_pylist(), got["n"].to_pylist())))
-    monkeypatch.setattr(token_alignment, "REMEMBERED", 1 << 18)
-    State.value.pop("units")
-    again = Counter()
-    for got in token_alignment._pair_counts([pa.record_batch([pa.array(given, pa.string())], ["text"])], State):
-        again.update(dict(zip(got["pair"].to_pylist(), got["n"].to_pylist())))
-    assert total == again and sum(total.values()) == sum(r[3] for r in plain(given))
+    batch = pa.record_batch([pa.array(range(len(given))), pa.array(given, pa.string())], ["doc_id", "text"])
+    found = []
+    for sizes in ({"REMEMBERED": 50, "TOGETHER": 100}, {}):
+        for name, size in sizes.items():
+            monkeypatch.setattr(token_alignment, name, size)
+        state = type("State", (), {"value": {"a": open(A, "rb").read(), "b": open(B, "rb").read()}})
+        total, rows = Counter(), []
+        for got in token_alignment._aligned([batch], state, "doc_id"):
+            for row in got.to_pylist():
+                if row["pair"] is None:
+                    rows.append([row[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "times")])
+                else:
+                    total.update(dict(zip(row["pair"], row["n"])))
+        found.append((total, rows))
+        monkeypatch.undo()
+    assert found[0] == found[1] and sum(found[0][0].values()) == sum(r[3] for r in plain(given))
 
 
 def test_terminals_label_components():
