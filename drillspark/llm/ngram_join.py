@@ -167,8 +167,7 @@ def _alike(pairs: DataFrame, parities: DataFrame, join: Join) -> DataFrame:
     """The pairs whose parities differ in no more bits than their sets may differ in shingles; none that links is lost."""
     sides = [parities.select(*[F.col(c).alias(f"{c}_{s}" if c != "row" else s) for c in parities.columns]) for s in "ab"]
     met = pairs.join(sides[0], "a").join(sides[1], "b")
-    words = [F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)]
-    return met.where(_few_differ(reduce(lambda a, b: a + b, words), join)).select("a", "b")
+    return met.where(_parities_allow(join)).select("a", "b")
 
 
 def _few_differ(differ, join: Join):
@@ -207,10 +206,14 @@ def _similar(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
 
 def _can_match(join: Join):
-    """Length bound, position bound (what follows the shared shingle on both sides must suffice) and the bound of hints."""
+    """Length bound, position bound (what follows the shared shingle on both sides must suffice) and the bound of hints.
+
+    A pair meets at each shingle that both prefixes hold. At the first of them, in the order of all shingles, nothing before
+    is shared, so there the bound holds for every pair that links; it need not hold where the pair meets again.
+    """
     small, large = F.least("n_a", "n_b").cast("long"), F.greatest("n_a", "n_b").cast("long")
     # 100 * o >= percent * (n_a + n_b - o)  <=>  (100 + percent) * o >= percent * (n_a + n_b)
-    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     fits = (100 * small >= join.percent * large) & ((100 + join.percent) * most >= join.percent * (small + large))
     return fits & _few_differ(F.bit_count(F.col("hint_a").bitwiseXOR(F.col("hint_b"))), join)
 
@@ -260,7 +263,7 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
         classes = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         open_lists = classes.where("low < high").select("shingle")
         now = stage_table(now.join(open_lists, "shingle"), f"open-{turn}")
-        pairs = _leader_pairs(now, join, turn) if turn < join.rounds else _all_pairs(now, join)
+        pairs = _leader_pairs(now, join, turn) if turn < join.rounds else _all_pairs(now, parities, join)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage_table(_alike(pairs, parities, join), f"pairs-{turn}")
@@ -287,11 +290,27 @@ def _leader_pairs(now: DataFrame, join: Join, turn: int) -> DataFrame:
     return _ordered_pairs(met.where((F.col("label_a") != F.col("label_b")) & _can_match(join)))
 
 
-def _all_pairs(now: DataFrame, join: Join) -> DataFrame:
-    """All pairs of members of a list that are still in different classes."""
-    sides = [now.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "at", "label", "hint")]) for s in "ab"]
-    met = sides[0].join(sides[1], "shingle")
-    return _ordered_pairs(met.where((F.col("label_a") < F.col("label_b")) & _can_match(join)))
+def _all_pairs(now: DataFrame, parities: DataFrame, join: Join) -> DataFrame:
+    """The pairs of members of a list that are still in different classes and that their parities allow.
+
+    A member with too much before the shared shingle, ``late``, cannot match another late one: what follows is too short for
+    both. So lists are joined with their early members only, and the parity is tested where a pair is met, before it is a
+    row: a crowd of texts that are alike, yet not enough, makes no rows.
+    """
+    columns = ["row", "n", "at", "label", "hint", "parity", "late"]
+    # (100 + percent) * (n - at) < 2 * percent * n on both sides leaves min(n - at) below percent * (n_a + n_b) / (100 + percent)
+    late = (100 + join.percent) * (F.col("n") - F.col("at")).cast("long") < 2 * join.percent * F.col("n")
+    whole = stage_table(now.join(if_small(parities.select("row", "parity")), "row").withColumn("late", late), "open-members")
+    sides = [whole.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab"]
+    met = sides[0].where("NOT late_a").join(sides[1], "shingle")
+    # two early members meet from both sides; one of the two is enough
+    once = F.col("late_b") | (F.col("label_a") < F.col("label_b"))
+    return _ordered_pairs(met.where(once & (F.col("label_a") != F.col("label_b")) & _can_match(join) & _parities_allow(join)))
+
+
+def _parities_allow(join: Join):
+    words = [F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64)]
+    return _few_differ(reduce(lambda a, b: a + b, words), join)
 
 
 def _ordered_pairs(met: DataFrame) -> DataFrame:

@@ -102,6 +102,27 @@ def test_join_of_a_chain_and_a_crowd(spark):
     assert ngram_join.keep_one(frame(spark, given)).count() == len(set(got.values()))
 
 
+@pytest.mark.parametrize("changed", [4, 5, 8])
+def test_join_makes_no_pairs_of_a_crowd_just_too_different(spark, monkeypatch, changed):
+    """300 texts of one base, each changed in a few places: hardly any two are similar enough."""
+    rng = random.Random(changed)
+    base = [f"v{i}" for i in range(240)]
+    given = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(len(base)), changed):
+            words[at] = f"x{rng.random()}"
+        given.append((i, " ".join(words)))
+    made = []
+    ordered = ngram_join._ordered_pairs
+    monkeypatch.setattr(ngram_join, "_ordered_pairs", lambda met: made.append(ordered(met)) or made[-1])
+    sets = [word_sets(t) for _, t in given]
+    links = [(a, b) for a, b in itertools.combinations(range(len(given)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in ngram_join.linked(frame(spark, given)).collect()}
+    assert got == smallest(links, range(len(given)))
+    assert made[-1].count() <= 300 + 3 * len(links)
+
+
 def test_join_of_large_sets(spark):
     rng = random.Random(8)
     base = [f"v{i}" for i in range(1100)]
