@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..operators import rollups
-from ..session import new_path
+from ..session import app_folder, new_path, on_disk
 from ..sources import documents, serving, shards, tables, trips, workingset
 from ..streaming import ingest, rollup
 from .registry import query, sum_of
@@ -97,6 +99,32 @@ def shard_write_stats(spark, sf):
     return _write_shards(spark, sf, new_path(spark, "shards")).select("shard", "docs")
 
 
+def _write_valid(spark, sf, root):
+    docs = fixtures.trips(spark, sf).select("trip_order", "trip_line", "fare_amount", "total_amount")
+    return shards.write_shards(docs, root, 16, F.col("trip_order"), valid=F.col("fare_amount") > 0)
+
+
+@query(
+    "shard_write_rejects",
+    """SELECT CAST(CASE WHEN fare_amount > 0 THEN trip_order % 16 END AS INTEGER) AS shard, count(*) AS docs FROM trips GROUP BY 1""",
+    T,
+)
+def shard_write_rejects(spark, sf):
+    """Documents per shard, and those without a fare that were rejected."""
+    return _write_valid(spark, sf, new_path(spark, "shards"))
+
+
+@query(
+    "shard_rejected",
+    "SELECT trip_order, CAST(trip_line AS BIGINT) AS trip_line, fare_amount, total_amount FROM trips WHERE NOT fare_amount > 0",
+    T,
+)
+def shard_rejected(spark, sf):
+    root = new_path(spark, "shards")
+    _write_valid(spark, sf, root)
+    return shards.read_rejected(spark, root, "trip_order bigint, trip_line bigint, fare_amount double, total_amount double")
+
+
 @query(
     "import_stats",
     """s AS (SELECT trip_order % 16 AS shard, count(*) AS docs FROM trips GROUP BY 1)
@@ -115,21 +143,22 @@ def publish_hourly(spark, sf):
 
 
 def _published(spark, sf, name, rollup_of):
-    path = new_path(spark, f"serving-{name}")
-    serving.publish(rollup_of(fixtures.trips(spark, sf)), path)
-    return path
+    """A serving table of this application, built by the first query that needs it and again when the trips change."""
+    files, path = on_disk(spark, f"{sf}/lineitem.parquet")
+    state = files.getFileStatus(path)
+    state = hashlib.md5(f"{sf} {state.getModificationTime()} {state.getLen()}".encode()).hexdigest()
+    return serving.publish_once(spark, f"{app_folder(spark)}/serving-{name}-{state}", lambda: rollup_of(fixtures.trips(spark, sf)))
 
 
 @query("serving_readback", f"SELECT pickup_date, trip_count * 1.0::DOUBLE AS trip_count, day_name FROM ({DAILY_SQL})", T)
 def serving_readback(spark, sf):
-    path = _published(spark, sf, "daily", rollups.rollup_daily)
-    return serving.read_serving(spark, path, ["pickup_date"], ["trip_count"]).select("pickup_date", "trip_count", "day_name")
+    daily = _published(spark, sf, "daily", rollups.rollup_daily)
+    return serving.displayed(daily, ["pickup_date"], ["trip_count"]).select("pickup_date", "trip_count", "day_name")
 
 
 @query("serving_day", f"SELECT * FROM ({HOURLY_SQL}) WHERE pickup_date = '1997-01-15'", T)
 def serving_day(spark, sf):
-    path = _published(spark, sf, "hourly", rollups.rollup_hourly)
-    return serving.serving_day(spark.read.parquet(path), "1997-01-15")
+    return serving.serving_day(_published(spark, sf, "hourly", rollups.rollup_hourly), "1997-01-15")
 
 
 @query(
@@ -138,26 +167,22 @@ def serving_day(spark, sf):
     T,
 )
 def serving_newest_day(spark, sf):
-    path = _published(spark, sf, "hourly", rollups.rollup_hourly)
-    return serving.serving_day(spark.read.parquet(path))
+    return serving.serving_day(_published(spark, sf, "hourly", rollups.rollup_hourly))
 
 
 @query("serving_top_routes", f"SELECT * FROM ({ROUTE_ROLLUP_SQL.format(least=10)}) ORDER BY total_revenue DESC, id LIMIT 10", T)
 def serving_top_routes(spark, sf):
-    path = _published(spark, sf, "routes", rollups.rollup_routes)
-    return serving.serving_top_routes(spark.read.parquet(path))
+    return serving.serving_top_routes(_published(spark, sf, "routes", rollups.rollup_routes))
 
 
 @query("serving_last_days", f"SELECT * FROM ({DAILY_SQL}) ORDER BY pickup_date DESC LIMIT 10", T)
 def serving_last_days(spark, sf):
-    path = _published(spark, sf, "daily", rollups.rollup_daily)
-    return serving.serving_last_days(spark.read.parquet(path))
+    return serving.serving_last_days(_published(spark, sf, "daily", rollups.rollup_daily))
 
 
 @query("serving_dow", f"SELECT day_name, count(*) AS days FROM ({DAILY_SQL}) GROUP BY 1", T)
 def serving_dow(spark, sf):
-    path = _published(spark, sf, "daily", rollups.rollup_daily)
-    return serving.serving_dow(spark.read.parquet(path))
+    return serving.serving_dow(_published(spark, sf, "daily", rollups.rollup_daily))
 
 
 @query(
@@ -224,6 +249,13 @@ def _trip_stream(spark, sf):
     return ingest.file_stream(spark, f"{sf}/lineitem.parquet*", schema).selectExpr(*fixtures.columns(fixtures.TRIPS))
 
 
+def _arriving_trips(spark, sf):
+    """The trips dealt over 6 files, which arrive one after another."""
+    folder, trips = new_path(spark, "arriving"), fixtures.trips(spark, sf)
+    trips.repartition(6, "trip_order", "trip_line").write.parquet(folder)
+    return ingest.file_stream(spark, folder, trips.schema, files_per_batch=1)
+
+
 @query(
     "stream_hourly_rollup",
     f"""SELECT strftime(date_trunc('hour', tpep_pickup_datetime), '%Y-%m-%d %H:%M') AS hour, "PULocationID",
@@ -232,8 +264,15 @@ def _trip_stream(spark, sf):
     T,
 )
 def stream_hourly_rollup(spark, sf):
-    out = new_path(spark, "rollup")
-    rollup.start_hourly_rollup(_trip_stream(spark, sf), out, new_path(spark, "rollup-checkpoint")).awaitTermination()
+    """Six batches; parts are combined on the way, once levels are full and once by a call, and one batch runs twice."""
+    out, checkpoint = new_path(spark, "rollup"), new_path(spark, "rollup-checkpoint")
+    stream = _arriving_trips(spark, sf)
+    for turn in range(2):
+        rollup.start_hourly_rollup(stream, out, checkpoint, fan_in=4).awaitTermination()
+        rollup.compact_rollup(spark, out)
+        if turn == 0:  # as if the last commit had been lost
+            files, last = on_disk(spark, f"{checkpoint}/commits/5")
+            files.delete(last, False)
     return rollup.read_rollup(spark, out).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
 
 

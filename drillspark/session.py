@@ -53,7 +53,8 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def _on_disk(spark: SparkSession, folder: str):
+def on_disk(spark: SparkSession, folder: str):
+    """The file system of a path, and the path, for the few calls that are not about rows."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
@@ -62,7 +63,7 @@ def app_folder(spark: SparkSession) -> str:
     """This application's part of the shared folder; it goes away when the driver ends."""
     folder = f"{shared_root(spark).rstrip('/')}/drillspark/{spark.sparkContext.applicationId}"
     if folder not in _folders:
-        files, path = _on_disk(spark, folder)
+        files, path = on_disk(spark, folder)
         files.mkdirs(path)
         files.deleteOnExit(path)
         _folders.add(folder)
@@ -89,6 +90,6 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Remove everything this application wrote below the shared folder, before the driver ends."""
     folder = app_folder(spark)
-    files, path = _on_disk(spark, folder)
+    files, path = on_disk(spark, folder)
     files.delete(path, True)
     _folders.discard(folder)

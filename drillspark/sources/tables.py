@@ -59,7 +59,7 @@ def read_months(
     Months outside are not listed. Inside them Parquet skips by date, as filters on times without zone are not pushed
     down to it.
     """
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop("_batch")  # a folder below the month, in tables that a stream loads
     df = df.withColumn("month", F.col("month").cast("string"))
     month, date, time = F.col("month"), F.col("pickup_date"), F.col(pickup)
     if start:

@@ -37,9 +37,12 @@ RENAMES = {"Airport_fee": "airport_fee"}
 KEEP_TYPES = ["tpep_pickup_datetime", "tpep_dropoff_datetime", "store_and_fwd_flag"]
 
 
-def read_trips(spark: SparkSession, *paths: str) -> DataFrame:
-    """One or many Parquet files or folders of one schema."""
-    return spark.read.parquet(*paths)
+def read_trips(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -> DataFrame:
+    """One or many Parquet files or folders of one schema, read from the first file if none is given.
+
+    With ``TRIP_SCHEMA`` no file is opened to plan the query, and a column that a file lacks is null.
+    """
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(*paths)
 
 
 def common_columns(dfs: list[DataFrame]) -> list[str]:
