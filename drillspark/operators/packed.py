@@ -13,9 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+from .joins import join_on
 from .series import SERIES, drop_sentinel, finite
 
 # The functions below travel to the executors by value, so this package need not be installed there.
@@ -27,6 +29,8 @@ POINT = np.dtype([("value", ">f8"), ("ts", ">i8")])
 TIME_RANGE = (-62_135_596_800_000, 253_402_300_799_999)
 DAY_MS = 86_400_000
 MAX_POINTS = 50_000
+#: Points of decoded documents in one Arrow batch.
+DECODED = 65_536
 
 DOCUMENT_COLUMNS = {
     "host": "ts_host",
@@ -52,18 +56,33 @@ def _points(text: str | None) -> np.ndarray:
     return np.frombuffer(raw, POINT, count=len(raw) // POINT.itemsize)
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpack(batches: Iterator[pa.RecordBatch], at_once: int = DECODED) -> Iterator[pa.RecordBatch]:
+    """Points of documents, at most ``at_once`` in a batch, whatever came in a batch of documents."""
     for batch in batches:
-        arrays = [_points(text) for text in batch.column("ts_data").to_pylist()]
-        if not arrays:
-            continue
-        points = np.concatenate(arrays)
-        usable = (points["ts"] >= TIME_RANGE[0]) & (points["ts"] <= TIME_RANGE[1])
-        row_of_point = pa.array(np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])[usable])
-        points = points[usable]
-        keys = [batch.column(document).take(row_of_point) for document in DOCUMENT_COLUMNS.values()]
-        values = [pa.array(points["ts"].astype("i8")), pa.array(points["value"].astype("f8"))]
-        yield pa.RecordBatch.from_arrays(keys + values, [*DOCUMENT_COLUMNS, "timestamp_ms", "value"])
+        texts = batch.column("ts_data")
+        row_of, held, size = [], [], 0
+
+        def points():
+            found = np.concatenate(held)
+            rows = pa.array(np.concatenate(row_of))
+            keys = [batch.column(document).take(rows) for document in DOCUMENT_COLUMNS.values()]
+            values = [pa.array(found["ts"].astype("i8")), pa.array(found["value"].astype("f8"))]
+            return pa.RecordBatch.from_arrays(keys + values, [*DOCUMENT_COLUMNS, "timestamp_ms", "value"])
+
+        for row in range(batch.num_rows):
+            found = _points(texts[row].as_py())
+            found = found[(found["ts"] >= TIME_RANGE[0]) & (found["ts"] <= TIME_RANGE[1])]
+            while len(found):
+                part = found[: at_once - size]
+                found = found[len(part) :]
+                held.append(part)
+                row_of.append(np.full(len(part), row))
+                size += len(part)
+                if size == at_once:
+                    yield points()
+                    row_of, held, size = [], [], 0
+        if size:
+            yield points()
 
 
 def decode_series(docs: DataFrame) -> DataFrame:
@@ -71,44 +90,80 @@ def decode_series(docs: DataFrame) -> DataFrame:
     return docs.select(*DOCUMENT_COLUMNS.values(), "ts_data").mapInArrow(_unpack, _POINT_SCHEMA)
 
 
+_PLACE = ["_day", "_document"]
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal (series, day) in sorted rows become documents of at most MAX_POINTS points."""
+    """Runs of equal series, day and document in sorted rows become documents, wherever Arrow batches end."""
+    held: list[pa.RecordBatch] = []  # the run that may go on in the next batch
     names = [*DOCUMENT_COLUMNS.values(), "ts_start", "ts_end", "ts_data_amountValues", "ts_data"]
+
+    def document() -> pa.RecordBatch:
+        run = pa.Table.from_batches(held)
+        ts = run.column("timestamp_ms").to_numpy()
+        points = np.empty(len(ts), POINT)
+        points["ts"], points["value"] = ts, run.column("value").to_numpy()
+        columns = [run.column(k).slice(0, 1).combine_chunks() for k in SERIES]
+        numbers = [pa.array([int(n)], pa.int64()) for n in (ts[0], ts[-1], len(ts))]
+        return pa.RecordBatch.from_arrays([*columns, *numbers, pa.array([base64.b64encode(points.tobytes()).decode()])], names)
+
+    def key(batch: pa.RecordBatch, row: int) -> list:
+        return [batch.column(c)[row].as_py() for c in (*SERIES, *_PLACE)]
+
     for batch in batches:
-        size = batch.num_rows
-        if not size:
+        if not batch.num_rows:
             continue
-        ts = batch.column("timestamp_ms").to_numpy(zero_copy_only=False)
-        keys = [batch.column(k).dictionary_encode() for k in SERIES]
-        codes = [np.nan_to_num(k.indices.to_numpy(zero_copy_only=False), nan=-1) for k in keys] + [ts // DAY_MS]
-        breaks = np.zeros(size, bool)
-        for code in codes:
-            breaks[1:] |= code[1:] != code[:-1]
-        starts = np.flatnonzero(breaks | (np.arange(size) == 0))
-        ends = np.append(starts[1:], size)
-        pieces = [(a, min(a + MAX_POINTS, end)) for s, end in zip(starts, ends) for a in range(s, end, MAX_POINTS)]
-        points = np.empty(size, POINT)
-        points["ts"], points["value"] = ts, batch.column("value").to_numpy(zero_copy_only=False)
-        first = pa.array([a for a, _ in pieces])
-        columns = [batch.column(k).take(first) for k in SERIES]
-        columns += [pa.array([int(ts[a]) for a, _ in pieces]), pa.array([int(ts[b - 1]) for _, b in pieces])]
-        columns += [pa.array([int(b - a) for a, b in pieces])]
-        columns += [pa.array([base64.b64encode(points[a:b].tobytes()).decode() for a, b in pieces])]
-        yield pa.RecordBatch.from_arrays(columns, names)
-
-
-def pack_series(df: DataFrame) -> DataFrame:
-    """Documents of points, sorted in time inside each document, at most one day and MAX_POINTS points long.
-
-    Points are rebalanced by series and day: adaptive execution splits what is too large for a task, even a day with a
-    third of all points, and joins what is small. A series may come in several documents anyway. Points need a value
-    (NaN and infinity are values).
+        if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
+            yield document()
+            held = []
+        breaks = np.zeros(batch.num_rows, bool)
+        for c in (*SERIES, *_PLACE):
+            codes = batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            breaks[1:] |= np.nan_to_num(codes[1:], nan=-1) != np.nan_to_num(codes[:-1], nan=-1)
+        starts = [0, *np.flatnonzero(breaks).tolist(), batch.num_rows]
+        for start, end in zip(starts, starts[1:]):
+            held.append(batch.slice(start, end - start))
+            if end < batch.num_rows:
+                yield document()
+                held = []
+    if held:
+        yield document()
+
+
+def numbered_points(df: DataFrame, by_day: bool = False) -> DataFrame:
+    """Points with ``position``, their number in time order from 0 within their series, or within series and day.
+
+    Sorted slices of all points are written with their numbers, points are counted per slice and series, and the counts
+    of the slices before are added: no series has to fit into a task. Equal times go by value. Points need a value (NaN
+    and infinity are values) and a time.
     """
     points = df.where(F.col("value").isNotNull() & F.col("timestamp_ms").isNotNull())
     points = points.select(*SERIES, F.col("timestamp_ms").cast("bigint"), F.col("value").cast("double"))
-    day = F.floor(F.col("timestamp_ms") / DAY_MS)
-    placed = points.withColumn("_day", day).hint("rebalance", *[F.col(c) for c in (*SERIES, "_day")]).drop("_day")
-    return placed.sortWithinPartitions(*SERIES, "timestamp_ms").mapInArrow(_pack, _DOCUMENT_SCHEMA)
+    points = points.withColumn("_day", F.floor(F.col("timestamp_ms") / DAY_MS))
+    group = [*SERIES, "_day"] if by_day else SERIES
+    order = [*SERIES, "timestamp_ms", "value"]
+    # a row's number grows with its slice, and inside a slice in the order of rows
+    placed = points.repartitionByRange(*order).sortWithinPartitions(*order)
+    slices = stage_table(placed.withColumn("_row", F.monotonically_increasing_id()), "point-slices")
+    slices = slices.withColumn("_slice", F.shiftright("_row", 33))
+    counts = slices.groupBy(*group, "_slice").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offset = (F.col("_before") - F.col("_first")).alias("_offset")
+    met = join_on(slices, counts.select(*group, "_slice", offset), [*group, "_slice"])
+    return met.select(*SERIES, "_day", "timestamp_ms", "value", (F.col("_row") + F.col("_offset")).alias("position"))
+
+
+def pack_series(df: DataFrame, most: int = MAX_POINTS) -> DataFrame:
+    """Documents of points in time order, at most one day and ``most`` points long.
+
+    The points of a series and day are numbered over all tasks, and a document holds the next ``most`` of them, so
+    documents begin and end at the same points however rows are dealt over tasks and batches.
+    """
+    document = F.floor(F.col("position") / most).alias("_document")
+    points = numbered_points(df, by_day=True).select(*SERIES, *_PLACE[:1], document, "timestamp_ms", "value")
+    placed = points.repartition(*SERIES, *_PLACE).sortWithinPartitions(*SERIES, *_PLACE, "timestamp_ms", "value")
+    return placed.mapInArrow(_pack, _DOCUMENT_SCHEMA)
 
 
 CLEANERS = {"finite": finite, "sentinel": drop_sentinel}
@@ -119,6 +174,11 @@ def merge_segments(docs: DataFrame, clean: str = "finite") -> DataFrame:
     return CLEANERS[clean](decode_series(docs))
 
 
+def merged_points(docs: DataFrame, clean: str = "finite") -> DataFrame:
+    """One series in time order of all segments of each key: its cleaned points and their ``position`` from 0."""
+    return numbered_points(merge_segments(docs, clean)).drop("_day")
+
+
 def merged_catalogue(docs: DataFrame, clean: str = "finite") -> DataFrame:
     """Per series after merging and cleaning: first and last time and the new number of points."""
     return merge_segments(docs, clean).groupBy(*SERIES).agg(

@@ -78,13 +78,52 @@ def test_one_hot_day_of_one_series_is_packed_by_many_tasks(spark):
         "'h' AS host", "'p' AS process", "'g' AS metricGroup", "'m' AS metricName",
         "1700006400000 + id * 100 AS timestamp_ms", "rand(1) AS value",
     )
+    name = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    spark.conf.set(name, "10k")
     try:
-        docs = packed.pack_series(points.repartition(16)).withColumn("task", F.spark_partition_id()).collect()
+        docs = packed.pack_series(points.repartition(16), most=5000).withColumn("task", F.spark_partition_id()).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset(name)
     assert len({d.task for d in docs}) > 4
-    assert sum(d.ts_data_amountValues for d in docs) == 200_000
+    assert [d.ts_data_amountValues for d in docs] == [5000] * 40
+
+
+def test_documents_do_not_depend_on_batches(spark, samples):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found = []
+    for size in ("7", "10000"):
+        before = spark.conf.get(name)
+        spark.conf.set(name, size)
+        try:
+            docs = packed.pack_series(samples.repartition(int(size) % 5 + 2), most=10)
+            found.append(sorted(map(tuple, docs.collect()), key=repr))
+        finally:
+            spark.conf.set(name, before)
+    assert found[0] == found[1] and max(d[6] for d in found[0]) == 10
+
+
+def test_merged_points_are_numbered_in_time_order(samples):
+    got = defaultdict(list)
+    for r in packed.merged_points(packed.pack_series(samples, most=9)).collect():
+        got[tuple(r)[:4]].append((r.position, r.timestamp_ms, r.value))
+    want = defaultdict(list)
+    for r in sorted(GOOD, key=lambda r: r[4:6]):
+        want[r[:4]].append((len(want[r[:4]]), r[4], r[5]))
+    assert {k: sorted(v) for k, v in got.items()} == dict(want)
+
+
+def test_decoding_gives_bounded_batches():
+    """Documents of 200 million points are planned, not built: each batch is taken before the next document is read."""
+    import pyarrow as pa
+
+    points = 20_000
+    text = base64.b64encode(b"".join(struct.pack(">dq", 1.0, i) for i in range(points))).decode()
+    columns = [pa.array(["x"] * 100, pa.string())] * 4 + [pa.DictionaryArray.from_arrays([0] * 100, [text]).cast(pa.string())]
+    batch = pa.RecordBatch.from_arrays(columns, ["ts_host", "ts_process", "ts_metricGroup", "ts_metricName", "ts_data"])
+    sizes = [b.num_rows for b in packed._unpack(iter([batch] * 5))]
+    assert max(sizes) == packed.DECODED and sum(sizes) == 5 * 100 * points
 
 
 def test_merging_cleans_and_recounts(samples, rows):

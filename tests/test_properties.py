@@ -1,5 +1,6 @@
 """Properties that must hold for any input."""
 
+from collections import Counter
 import random
 
 import pyarrow as pa
@@ -23,10 +24,17 @@ POINTS = st.lists(
 )
 
 
-@given(POINTS, st.integers(1, 7))
+@given(POINTS, st.integers(1, 7), st.integers(1, 9))
 @settings(max_examples=150, deadline=None)
-def test_packing_keeps_every_point(points, most):
+def test_packing_keeps_every_point(points, most, at_once):
+    """Documents end where they should, whatever the size of the batches that points come in."""
     points = sorted(points, key=lambda p: (p[0], p[1] or "", p[2]))
+    days = [p[2] // packed.DAY_MS for p in points]
+    seen = Counter()
+    numbers = []
+    for p, day in zip(points, days):
+        numbers.append(seen[p[0], p[1], day] // most)
+        seen[p[0], p[1], day] += 1
     batch = pa.RecordBatch.from_arrays(
         [
             pa.array([p[0] for p in points], pa.string()),
@@ -35,19 +43,20 @@ def test_packing_keeps_every_point(points, most):
             pa.array(["m"] * len(points), pa.string()),
             pa.array([p[2] for p in points], pa.int64()),
             pa.array([p[3] for p in points], pa.float64()),
+            pa.array(days, pa.int64()),
+            pa.array(numbers, pa.int64()),
         ],
-        ["host", "process", "metricGroup", "metricName", "timestamp_ms", "value"],
+        ["host", "process", "metricGroup", "metricName", "timestamp_ms", "value", "_day", "_document"],
     )
-    limit, packed.MAX_POINTS = packed.MAX_POINTS, most
-    try:
-        docs = list(packed._pack(iter([batch])))
-    finally:
-        packed.MAX_POINTS = limit
+    batches = [batch.slice(i, at_once) for i in range(0, len(points), at_once)]
+    docs = list(packed._pack(iter(batches)))
+    assert [d.to_pylist() for d in docs] == [d.to_pylist() for d in packed._pack(iter([batch]))]
     for d in docs:
         rows = d.to_pylist()
         assert all(0 < r["ts_data_amountValues"] <= most for r in rows)
         assert all(r["ts_start"] // packed.DAY_MS == r["ts_end"] // packed.DAY_MS for r in rows)
-    back = [tuple(r[c] for c in ("host", "process", "timestamp_ms", "value")) for b in packed._unpack(iter(docs)) for r in b.to_pylist()]
+    back = [tuple(r[c] for c in ("host", "process", "timestamp_ms", "value")) for b in packed._unpack(iter(docs), most) for r in b.to_pylist()]
+    assert all(b.num_rows <= most for b in packed._unpack(iter(docs), most))
     assert sorted(back, key=repr) == sorted(points, key=repr)
 
 
