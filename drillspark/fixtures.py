@@ -37,9 +37,9 @@ MONITORING = {
     "event_type": "CASE event_type WHEN 'error' THEN 'alert' WHEN 'view' THEN 'metric' ELSE 'log' END",
     "severity": "CASE WHEN (event_id*31) % 100 < 70 THEN 'info' WHEN (event_id*31) % 100 < 90 THEN 'warning'"
     " WHEN (event_id*31) % 100 < 98 THEN 'error' ELSE 'critical' END",
-    "message": "CASE WHEN event_id % 5 = 0 THEN 'TCP connection timeout to upstream'"
-    " WHEN event_id % 5 = 1 THEN 'Connection pool exhausted'"
-    " WHEN event_id % 5 = 2 THEN 'Slow query detected' ELSE 'Health check passed' END",
+    "message": "CASE WHEN event_id % 5 = 0 THEN 'No reply from 192.168.7.9 in time: timeout'"
+    " WHEN event_id % 5 = 1 THEN 'Every pooled connection is taken, can’t open more'"
+    " WHEN event_id % 5 = 2 THEN 'A slow query over access_log read 1,204 rows' ELSE 'All checks of the node are fine' END",
     "cpu_percent": "CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST((event_id*13) % 91 + 5 AS DOUBLE) END",
     "memory_percent": "CAST((event_id*17) % 71 + 20 AS DOUBLE)",
     "response_time_ms": "CAST(floor(value*5) AS INT)",
@@ -63,7 +63,7 @@ COUNTERS = {"user_id": "user_id", "event_id": "event_id", "ts": "ts", "value": "
 PROM_SERIES = {
     "metric_name": "lower(p_type) || '_' || replace(p_name, ' ', '_') || CASE WHEN p_size % 17 = 0 THEN '_info' ELSE '' END",
     "job": "CASE WHEN p_partkey % 11 = 0 THEN '' ELSE lower(p_type) END",
-    "instance": "'node' || CAST(p_partkey % 5 AS VARCHAR(5)) || '.cloud.local:9100'",
+    "instance": "'node' || CAST(p_partkey % 5 AS VARCHAR(5)) || '.nodes.example:9100'",
     "brand": "p_brand",
     "size": "CAST(p_size AS VARCHAR(5))",
     "quantile": "CASE WHEN p_partkey % 3 = 0 THEN '0.99' ELSE NULL END",

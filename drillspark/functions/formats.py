@@ -17,7 +17,7 @@ def _fixed(x: Column, places: int) -> Column:
 
 
 def fmt_num(value: Column | str) -> Column:
-    """``20542120681`` -> ``20.54 G``; units T, G, M, K; four decimals below one."""
+    """``7310000000`` -> ``7.31 G``; units T, G, M, K; four decimals below one."""
     v = as_col(value).cast("double")
     size = F.abs(v)
     sign = F.when(v < 0, "-").otherwise("")
@@ -77,7 +77,7 @@ def shorten(text: Column | str, width: int = 15) -> Column:
     return F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 3), F.lit("..."))).otherwise(c)
 
 
-def strip_domain(host: Column | str, domain: str = ".cloud.local") -> Column:
+def strip_domain(host: Column | str, domain: str) -> Column:
     return F.replace(as_col(host), F.lit(domain), F.lit(""))
 
 

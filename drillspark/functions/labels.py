@@ -28,7 +28,7 @@ def label(labels: Column | str, name: str) -> Column:
 
 
 def host_of(instance: Column | str) -> Column:
-    """``node1.cloud.local:9100`` -> ``node1``; without a dot the text before the colon."""
+    """``node1.nodes.example:9100`` -> ``node1``; without a dot the text before the colon."""
     c = F.coalesce(as_col(instance), F.lit(""))
     return F.when(F.contains(c, F.lit(".")), F.substring_index(c, ".", 1)).otherwise(F.substring_index(c, ":", 1))
 

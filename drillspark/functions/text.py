@@ -2,59 +2,68 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .columns import as_col
 
-_GAP = r"[^\p{L}\p{N}]"
-_WORD = r"[\p{L}\p{N}]"
+# The classes of the Unicode rules for word boundaries (UAX 29), in the notation of Java patterns.
+_LETTER = r"[\p{IsAlphabetic}&&[^\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{Nd}]]"
+_NUMBER = r"[\p{Nd}٫]"
+_KATAKANA = r"[\p{IsKatakana}〱-〵ーｰ]"
+_CONNECTOR = r"[_‿⁀⁔︳︴﹍-﹏＿]"
+_IN_WORDS = r"[:.'··՟״‘’․‧︓﹒﹕＇．：]"
+_IN_NUMBERS = r"[,;.';։،؍٬߸‘’․⁄︐︔﹐﹒﹔＇，．；]"
+_ATTACHED = r"[\p{M}\p{Cf}&&[^\u200B]]*"
+_ALONE = r"[\p{IsIdeographic}\p{IsHiragana}]"
+_UNSPACED = r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Longer words are cut into parts of this many characters.
+LONGEST = 255
 
 
-def tokens(text: Column | str) -> Column:
-    """Lower-case words: runs of letters and digits."""
-    return F.filter(F.split(F.lower(as_col(text)), f"{_GAP}+"), lambda w: w != "")
+def _chain(one: str, between: str) -> str:
+    """Characters of one class; one mark may stand between two of them."""
+    return f"{one}{_ATTACHED}(?:(?:{between}{_ATTACHED})?{one}{_ATTACHED})*"
+
+
+_RUN = f"(?:(?:{_chain(_LETTER, _IN_WORDS)}|{_chain(_NUMBER, _IN_NUMBERS)})+|(?:{_KATAKANA}{_ATTACHED})+)"
+_LINK = f"(?:{_CONNECTOR}{_ATTACHED})"
+WORD = f"{_LINK}*{_RUN}(?:{_LINK}+{_RUN})*{_LINK}*|{_UNSPACED}{_ATTACHED}(?:{_UNSPACED}{_ATTACHED})*|{_ALONE}{_ATTACHED}"
 
 
-def query_words(query: str) -> list[str]:
-    """The words of a query, split the same way."""
-    words, current = [], ""
-    for ch in query.lower():
-        if ch.isalpha() or ch.isnumeric():
-            current += ch
-        elif current:
-            words.append(current)
-            current = ""
-    if current:
-        words.append(current)
-    return list(dict.fromkeys(words))
+def tokens(text: Column | str) -> Column:
+    """Lower-case words of a text, by the Unicode rules for word boundaries.
+
+    ``192.168.7.9``, ``access_log``, ``can't`` and ``1,204`` are one word each; a hyphen, a slash or a comma after a letter
+    ends a word; ideographs are words by themselves, scripts without spaces one word a run.
+    """
+    words = F.regexp_extract_all(F.lower(as_col(text)), F.lit(f"({WORD})"), 1)
 
+    def parts(word: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.length(word) - 1) / LONGEST).cast("int"))
+        return F.transform(starts, lambda i: F.substring(word, i * LONGEST + 1, LONGEST))
 
-def _holds(text: Column | str, words: list[str], pattern: str) -> Column:
-    """A plain search for the words first: it spares most texts the pattern."""
-    lower = F.lower(as_col(text))
-    somewhere = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in words])
-    return F.coalesce(somewhere & lower.rlike(pattern), F.lit(False))
+    return F.when(F.exists(words, lambda w: F.length(w) > LONGEST), F.flatten(F.transform(words, parts))).otherwise(words)
 
 
 def has_any_word(text: Column | str, query: str) -> Column:
-    """True if the text holds at least one word of the query.
+    """True if the text holds at least one word of the query, which is cut into words the same way.
 
-    An empty query matches everything, a query of punctuation only matches nothing. No word list is built per row.
+    An empty query matches everything, a query of punctuation only matches nothing. A plain search for the words comes
+    first, so most texts are never cut into words.
     """
-    words = query_words(query)
-    if not words:
-        return F.lit(not query)
-    return _holds(text, words, f"(?<!{_WORD})(?:{'|'.join(map(re.escape, words))})(?!{_WORD})")
+    if not query:
+        return F.lit(True)
+    wanted, lower = tokens(F.lit(query)), F.lower(as_col(text))
+    somewhere = F.exists(wanted, lambda w: F.contains(lower, w))
+    return F.coalesce(somewhere & F.arrays_overlap(tokens(text), wanted), F.lit(False))
 
 
 def has_word_prefix(text: Column | str, prefix: str) -> Column:
     """True if a word of the text starts with ``prefix``."""
-    start = prefix.lower()
-    return _holds(text, [start], f"(?<!{_WORD}){re.escape(start)}")
+    start = F.lit(prefix.lower())
+    found = F.contains(F.lower(as_col(text)), start) & F.exists(tokens(text), lambda w: F.startswith(w, start))
+    return F.coalesce(found, F.lit(False))
 
 
 def is_finite(value: Column | str) -> Column:

@@ -28,8 +28,8 @@ def day_of(ts: Column | str) -> Column:
 
 
 def month_key(ts: Column | str) -> Column:
-    """``yyyyMM``."""
-    return F.date_format(as_col(ts), "yyyyMM")
+    """``yyyyMM``; reckoned, not formatted, for years of four digits."""
+    return (F.year(as_col(ts)) * 100 + F.month(as_col(ts))).cast("string")
 
 
 def hour_start(ts: Column | str) -> Column:

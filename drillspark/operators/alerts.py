@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import exact_avg
-from ..session import stage_table
 from .filters import EVENT_FIELDS, Fields, Filters, compile_filters
+from .toplists import first_rows, with_whole
 
 # Severities that count as alerts.
 ALERT_SEVERITIES = ["error", "critical"]
@@ -16,8 +16,7 @@ ALERT_SEVERITIES = ["error", "critical"]
 def top_alerts(df: DataFrame, filters: Filters | None = None, n: int | None = 5, fields: Fields = EVENT_FIELDS) -> DataFrame:
     """Host and service pairs with most alerts (all of them without ``n``), their averages and latest alert.
 
-    ``total_events`` counts all filtered events, alerts or not. The grouped pairs are written first, so list and total
-    together scan the events once.
+    ``total_events`` counts all filtered events, alerts or not; list and total come from one scan.
     """
     alert = F.col("severity").isin(ALERT_SEVERITIES)
 
@@ -36,11 +35,9 @@ def top_alerts(df: DataFrame, filters: Filters | None = None, n: int | None = 5,
         response.alias("avg_response_ms"),
         latest.alias("latest"),
     )
-    pairs = stage_table(pairs, "alert-pairs")
-    total = pairs.agg(F.coalesce(F.sum("all_events"), F.lit(0))).scalar()
-    best = pairs.where("error_count > 0").orderBy(F.desc("error_count"), "host", "service")
-    best = best if n is None else best.limit(n)
-    return best.select(
+    listed = with_whole(pairs, ["host", "service"], {"total_events": F.coalesce(F.sum("all_events"), F.lit(0))})
+    order = [F.desc("error_count"), "host", "service"]
+    return first_rows(listed, F.col("error_count") > 0, order, n, ["total_events"]).select(
         "host",
         "service",
         "error_count",
@@ -50,12 +47,12 @@ def top_alerts(df: DataFrame, filters: Filters | None = None, n: int | None = 5,
         F.col("latest.message").alias("latest_message"),
         F.col("latest.event_ts").alias("latest_timestamp"),
         F.col("latest.severity").alias("latest_severity"),
-        total.alias("total_events"),
+        "total_events",
     )
 
 
-def host_overview(df: DataFrame, n: int = 10) -> DataFrame:
-    """Events, alerts, alert share and load of the ``n`` hosts with most events."""
+def host_overview(df: DataFrame, n: int | None = 10) -> DataFrame:
+    """Events, alerts, alert share and load of the ``n`` hosts with most events, or of all."""
     stats = df.groupBy("host").agg(
         F.count("*").alias("events"),
         F.count_if(F.col("severity").isin(ALERT_SEVERITIES)).alias("errors"),
@@ -63,4 +60,5 @@ def host_overview(df: DataFrame, n: int = 10) -> DataFrame:
         exact_avg("memory_percent").alias("avg_memory"),
     )
     share = F.when(F.col("events") > 0, F.col("errors") * 100.0 / F.col("events")).otherwise(0.0)
-    return stats.withColumn("error_percent", share).orderBy(F.desc("events"), "host").limit(n)
+    hosts = stats.withColumn("error_percent", share).orderBy(F.desc("events"), "host")
+    return hosts if n is None else hosts.limit(n)

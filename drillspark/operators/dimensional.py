@@ -71,7 +71,7 @@ def to_dimensional(series: DataFrame, threshold: int = THRESHOLD, distinct: bool
     )
     if distinct:
         rows = rows.distinct()
-    splits = stage_table(split_metric(series, threshold), "metric-splits").drop("split")
+    splits = split_metric(series, threshold).drop("split")
     ext, has_job = F.col("group_ext"), F.col("job") != ""
     group = (
         F.when((ext != "") & has_job, F.concat("job", F.lit("_"), ext))

@@ -23,33 +23,30 @@ def facets(
     a limit there is no rank either.
 
     One scan serves all fields: a row counts for a field if no other field's filter rejects it, so rows that two
-    filters reject drop out at once.
+    filters reject drop out at once. Counts combine before the shuffle.
     """
     names = [n for n in names if n in fields.allowed]
     rejects = {f: F.when(p, 0).otherwise(1) for f, p in field_predicates(filters, fields).items()}
     all_rejects = reduce(lambda a, b: a + b, rejects.values(), F.lit(0))
     flagged = df.select(
         all_rejects.alias("_rejects"),
-        *[rejects.get(n, F.lit(0)).alias(f"_own_{i}") for i, n in enumerate(names)],
-        *[fields.column(n).cast("string").alias(f"_value_{i}") for i, n in enumerate(names)],
+        *[rejects.get(n, F.lit(0)).alias(f"_own_{i}") for i, n in enumerate(names, 1)],
+        *[fields.column(n).alias(f"_value_{i}") for i, n in enumerate(names, 1)],
     ).where("_rejects <= 1")
-
-    def item(keep: Column, name: str, value: Column) -> Column:
-        return F.when(keep, F.struct(F.lit(name).alias("field"), value.alias("value")))
-
-    items = [item(F.col("_rejects") == 0, TOTAL, F.lit(TOTAL))]
-    for i, n in enumerate(names):
-        value = F.col(f"_value_{i}")
-        items.append(item((F.col("_rejects") == F.col(f"_own_{i}")) & value.isNotNull(), n, value))
-    counted_once = flagged.select(F.explode(F.array(*items)).alias("item")).where(F.col("item").isNotNull())
-    zero = F.lit(0).cast("bigint").alias("n")
-    no_hit = df.sparkSession.range(0, 1, 1, 1).select(F.lit(TOTAL).alias("field"), F.lit(TOTAL).alias("value"), zero)
-    counted = (
-        counted_once.select("item.field", "item.value", F.lit(1).cast("bigint").alias("n"))
-        .unionByName(no_hit)
-        .groupBy("field", "value")
-        .agg(F.sum("n").alias("count"))
-    )
+    # item 0 is the row itself, item i its value of field i; values keep their types, and become text when they are counted
+    items = flagged.withColumn("_item", F.explode(F.array(*[F.lit(i) for i in range(len(names) + 1)])))
+    keep = F.when(F.col("_item") == 0, F.col("_rejects") == 0)
+    for i in range(1, len(names) + 1):
+        keep = keep.when(F.col("_item") == i, (F.col("_rejects") == F.col(f"_own_{i}")) & F.col(f"_value_{i}").isNotNull())
+    keys = [f"_value_{i}" for i in range(1, len(names) + 1)]
+    own = [F.when(F.col("_item") == i, F.col(k)).alias(k) for i, k in enumerate(keys, 1)]
+    counted_once = items.where(keep).select("_item", *own, F.lit(1).cast("bigint").alias("n"))
+    nothing = [F.lit(None).cast(flagged.schema[k].dataType).alias(k) for k in keys]
+    no_hit = df.sparkSession.range(0, 1, 1, 1).select(F.lit(0).alias("_item"), *nothing, F.lit(0).cast("bigint").alias("n"))
+    grouped = counted_once.unionByName(no_hit).groupBy("_item", *keys).agg(F.sum("n").alias("count"))
+    field = F.element_at(F.array(*[F.lit(n) for n in [TOTAL, *names]]), F.col("_item") + 1)
+    value = F.when(F.col("_item") == 0, F.lit(TOTAL)).otherwise(F.coalesce(*[F.col(k).cast("string") for k in keys], F.lit("")))
+    counted = grouped.select(field.alias("field"), value.alias("value"), "count")
     if limit is None:
         return counted
     per_field = Window.partitionBy("field")

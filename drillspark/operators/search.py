@@ -47,6 +47,19 @@ def search(
     return (hits if size is None else hits.limit(size)).select(*ties, *shown)
 
 
+def search_page(
+    df: DataFrame,
+    query: str,
+    filters: Filters | None = None,
+    size: int | None = 20,
+    column: str = "message",
+    columns: list[str] | None = None,
+    ties: tuple[str, ...] = ("event_id",),
+) -> DataFrame:
+    """The newest hits as ``search`` gives them, each with the number of all hits as ``total``, in one lazy plan."""
+    return search(df, query, filters, size, column, columns, ties).withColumn("total", total_hits(df, query, filters, column).scalar())
+
+
 def total_hits(df: DataFrame, query: str, filters: Filters | None = None, column: str = "message") -> DataFrame:
     return match(df, column, query, filters).agg(F.count("*").alias("total"))
 

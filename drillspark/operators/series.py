@@ -75,9 +75,11 @@ def host_comparison(df: DataFrame) -> DataFrame:
     return join_on(stats, wide, keys, "left")
 
 
-def top_metrics(df: DataFrame, n: int = 10) -> DataFrame:
+def top_metrics(df: DataFrame, n: int | None = 10) -> DataFrame:
+    """Metrics with most points, or all of them."""
     counts = df.groupBy("metricGroup", "metricName").agg(F.count("*").alias("points"))
-    return counts.orderBy(F.desc("points"), "metricGroup", "metricName").limit(n)
+    counts = counts.orderBy(F.desc("points"), "metricGroup", "metricName")
+    return counts if n is None else counts.limit(n)
 
 
 def pick_series(df: DataFrame, patterns: list[str], n_processes: int | None = None, among: int | None = None) -> DataFrame:

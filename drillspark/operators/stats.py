@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.exact import exact_avg, exact_sum, resum
-from ..session import stage_table
 from .filters import EVENT_FIELDS, TRIP_FIELDS, Fields, Filters, compile_filters
 
 
@@ -40,8 +39,11 @@ def stats_by(df: DataFrame, filters: Filters, field: str, fields: Fields = TRIP_
     ).orderBy(field)
 
 
-def event_stats(df: DataFrame, filters: Filters, field: str, fields: Fields = EVENT_FIELDS, limit: int = 50) -> DataFrame:
-    """Events, average response and bytes per value of a field; the largest groups, or all hours in order."""
+def event_stats(df: DataFrame, filters: Filters, field: str, fields: Fields = EVENT_FIELDS, limit: int | None = None) -> DataFrame:
+    """Events, average response and bytes per value of a field: the largest groups first, hours and the like in order.
+
+    All groups are shown, that of missing values too, or the ``limit`` first ones.
+    """
     by = fields.group_column(field)
     rows = df.where(compile_filters(filters, fields))
     stats = rows.groupBy(by.alias(field)).agg(
@@ -49,9 +51,8 @@ def event_stats(df: DataFrame, filters: Filters, field: str, fields: Fields = EV
         exact_avg("response_time_ms").alias("avg_response_time_ms"),
         exact_sum("bytes_sent", 0).alias("sum_bytes_sent"),
     )
-    if field in fields.virtual:
-        return stats.orderBy(field)
-    return stats.where(F.col(field).isNotNull()).orderBy(F.desc("count"), F.asc(field)).limit(limit)
+    stats = stats.orderBy(field) if field in fields.virtual else stats.orderBy(F.desc("count"), F.asc(field))
+    return stats if limit is None else stats.limit(limit)
 
 
 def facet_hour(df: DataFrame) -> DataFrame:
@@ -104,7 +105,8 @@ def by_passengers(df: DataFrame) -> DataFrame:
     ).orderBy("passenger_count")
 
 
-def top_zones(df: DataFrame, n: int = 10) -> DataFrame:
+def top_zones(df: DataFrame, n: int | None = 10) -> DataFrame:
+    """Pickup zones with most trips, or all of them."""
     stats = grouped(
         df,
         ["PULocationID"],
@@ -112,7 +114,8 @@ def top_zones(df: DataFrame, n: int = 10) -> DataFrame:
         {"revenue": "total_amount"},
         {"avg_amount": "total_amount", "avg_distance": "trip_distance"},
     )
-    return stats.orderBy(F.desc("trips"), F.asc("PULocationID")).limit(n)
+    zones = stats.orderBy(F.desc("trips"), F.asc("PULocationID"))
+    return zones if n is None else zones.limit(n)
 
 
 def hour_money(df: DataFrame, distance: bool = False) -> DataFrame:
@@ -125,15 +128,11 @@ def hour_money(df: DataFrame, distance: bool = False) -> DataFrame:
 
 
 def with_share(stats: DataFrame, column: str, width: int = 20) -> DataFrame:
-    """Adds the share of the total in percent and the length of a bar whose longest has ``width`` characters.
-
-    The grouped rows are written first, so rows, total and maximum come from one computation of them.
-    """
-    stats = stage_table(stats, "shares")
-    total = stats.agg(F.sum(column)).scalar()
-    longest = stats.agg(F.max(column)).scalar()
+    """Adds the share of the total in percent and the length of a bar whose longest has ``width`` characters."""
+    whole = stats.agg(F.struct(F.sum(column).alias("total"), F.max(column).alias("longest"))).scalar()
     n = F.col(column).cast("double")
-    return stats.withColumn("share_percent", n * 100 / total).withColumn("bar", (n / longest * width).cast("int"))
+    shown = stats.withColumn("share_percent", n * 100 / whole["total"])
+    return shown.withColumn("bar", (n / whole["longest"] * width).cast("int"))
 
 
 def kpi_cards(hourly: DataFrame, daily: DataFrame) -> DataFrame:

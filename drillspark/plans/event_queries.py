@@ -15,7 +15,6 @@ M = ("monitoring",)
 HOUR = "CAST(hour(event_ts) AS INTEGER)"
 ALERT = "severity IN ('error', 'critical')"
 TS = "strftime(event_ts, '%Y-%m-%d %H:%M:%S')"
-GAP = "[^\\p{L}\\p{N}]"
 
 
 def _text_ts(df, *columns):
@@ -69,7 +68,7 @@ def facets_events(spark, sf):
     M,
 )
 def event_stats_host(spark, sf):
-    return stats.event_stats(fixtures.monitoring(spark, sf), {}, "host")
+    return stats.event_stats(fixtures.monitoring(spark, sf), {}, "host", limit=50)
 
 
 @query(
@@ -176,8 +175,12 @@ def response_percentiles(spark, sf):
     return quantiles.percentiles(fixtures.monitoring(spark, sf), "response_time_ms")
 
 
+#: Latin words: letters with single marks between them, numbers likewise, both joined by underscores.
+LATIN = r"_*(?:\pL(?:[\pL\pM]|[.:''’·]\pL)*|\p{Nd}(?:\p{Nd}|[.,;''’]\p{Nd})*)(?:_*(?:\pL(?:[\pL\pM]|[.:''’·]\pL)*|\p{Nd}(?:\p{Nd}|[.,;''’]\p{Nd})*))*_*"
+
+
 def _words(column: str, *words: str) -> str:
-    return f"regexp_matches(lower({column}), '(^|{GAP})({'|'.join(words)})($|{GAP})')"
+    return f"list_has_any(regexp_extract_all(lower({column}), '{LATIN}'), {list(words)})"
 
 
 SHOWN = "event_id, host, service, severity, event_type, message, cpu_percent, memory_percent, response_time_ms, status_code"
@@ -194,6 +197,20 @@ def text_match(spark, sf):
     return _text_ts(hits, "event_ts")
 
 
+@query(
+    "text_match_page",
+    """h AS (SELECT event_id, message, event_ts, count(*) OVER () AS total FROM monitoring
+      WHERE list_has_any(string_split(lower(message), ' '), ['192.168.7.9', 'access_log', 'can’t']))
+    SELECT event_id, message, strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS event_ts, total FROM h
+    ORDER BY h.event_ts DESC, event_id LIMIT 50""",
+    M,
+)
+def text_match_page(spark, sf):
+    """Addresses, names with underscores and words with apostrophes are words; hits come with their total."""
+    found = search.search_page(fixtures.monitoring(spark, sf), "192.168.7.9 access_log can’t 168", size=50, columns=["message", "event_ts"])
+    return _text_ts(found, "event_ts")
+
+
 @query("text_match_total", f"SELECT count(*) AS total FROM monitoring WHERE {_words('message', 'connection', 'slow')}", M)
 def text_match_total(spark, sf):
     return search.total_hits(fixtures.monitoring(spark, sf), "connection, slow!")
@@ -209,7 +226,7 @@ def text_match_documents(spark, sf):
     return hits.groupBy("lang").agg(F.count("*").alias("documents"))
 
 
-@query("text_prefix", f"SELECT doc_id, source, lang FROM documents WHERE regexp_matches(lower(text), '(^|{GAP})lic')")
+@query("text_prefix", f"SELECT doc_id, source, lang FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '{LATIN}'), lambda w: starts_with(w, 'lic'))) > 0")
 def text_prefix(spark, sf):
     return search.match_prefix(fixtures.table(spark, sf, "documents"), "text", "lic").select("doc_id", "source", "lang")
 
@@ -221,7 +238,7 @@ def text_count(spark, sf):
 
 @query(
     "text_tokens",
-    f"""w AS (SELECT lang, unnest(regexp_split_to_array(lower(text), '{GAP}+')) AS word FROM documents)
+    f"""w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '{LATIN}')) AS word FROM documents)
     SELECT lang, count(*) AS words, count(DISTINCT word) AS vocabulary FROM w WHERE word <> '' GROUP BY 1""",
 )
 def text_tokens(spark, sf):

@@ -172,6 +172,16 @@ def merged_series(spark, sf):
     return packed.merged_catalogue(_documents(spark, sf))
 
 
+@query(
+    "merged_series_points",
+    f"""{CLEAN} SELECT {KEYS}, timestamp_ms, value, row_number() OVER (PARTITION BY {KEYS} ORDER BY timestamp_ms, value) - 1
+      AS position FROM m""",
+    S,
+)
+def merged_series_points(spark, sf):
+    return packed.merged_points(_documents(spark, sf))
+
+
 @query("merged_series_flat", f"SELECT {KEYS}, timestamp_ms, {SHOWN} FROM samples WHERE value <> -1.0", S)
 def merged_series_flat(spark, sf):
     """Segments merged, cleaned and packed again, then flattened."""
@@ -208,6 +218,40 @@ def cpu_utilisation(spark, sf):
     return _rounded(used, "utilisation")
 
 
+def _ranges(length: int, step: int) -> str:
+    """Every reading in every range that holds it; steps are taken anew in each range."""
+    return f"""e AS (SELECT user_id, ts, event_id, value, unnest(range(
+      (epoch_us(ts)//1000000//{step} + 1) * {step}, epoch_us(ts)//1000000 + {length} + 1, {step})) AS range_end FROM counters),
+  s AS (SELECT user_id, range_end, value, lag(value) OVER (PARTITION BY user_id, range_end ORDER BY ts, event_id) AS before FROM e),
+  i AS (SELECT user_id, range_end, CAST(sum(CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value
+    ELSE value - before END) AS BIGINT) AS increase FROM s GROUP BY 1, 2 HAVING count(*) > 1)"""
+
+
+@query("counter_increase_sliding", f"{_ranges(86400, 3600)} SELECT user_id, range_end, increase FROM i", C)
+def counter_increase_sliding(spark, sf):
+    """The growth of the last day, every hour."""
+    return counters.counter_ranges(fixtures.counters(spark, sf), ["user_id"], 86400, 3600, ties=("event_id",))
+
+
+@query("counter_rate_sliding", f"{_ranges(300, 60)} SELECT user_id, range_end, increase / 300.0::DOUBLE AS rate FROM i", C)
+def counter_rate_sliding(spark, sf):
+    """The rate of the last five minutes, every minute."""
+    return counters.counter_range_rates(fixtures.counters(spark, sf), ["user_id"], 300, 60, ties=("event_id",))
+
+
+@query(
+    "cpu_utilisation_sliding",
+    f"""{_ranges(3600, 900)} SELECT 'node' || (user_id % 5) AS instance, range_end,
+      round(1 - avg(increase / 3600.0::DOUBLE), 6) AS utilisation FROM i GROUP BY 1, 2""",
+    C,
+)
+def cpu_utilisation_sliding(spark, sf):
+    """Utilisation over the last hour, every quarter of an hour."""
+    rows = fixtures.counters(spark, sf).withColumn("instance", F.concat(F.lit("node"), (F.col("user_id") % 5).cast("string")))
+    used = counters.cpu_utilisation_ranges(rows, "instance", ["user_id"], 3600, 900, ties=("event_id",))
+    return _rounded(used, "utilisation")
+
+
 M = ("monitoring",)
 VECTOR = """v AS (SELECT host, strftime(date_trunc('hour', event_ts), '%Y-%m-%d %H:%M') AS instant,
   avg(cpu_percent) AS cpu, avg(memory_percent) AS memory FROM monitoring GROUP BY 1, 2)"""
@@ -219,7 +263,6 @@ def _vectors(spark, sf):
     both = fixtures.monitoring(spark, sf).groupBy("host", instant).agg(
         F.avg("cpu_percent").alias("cpu"), F.avg("memory_percent").alias("memory")
     )
-    both = stage_table(both, "instant-vectors")
     cpu = both.where("cpu IS NOT NULL").select("host", "instant", F.col("cpu").alias("value"))
     return cpu, both.select("host", "instant", F.col("memory").alias("value"))
 
@@ -231,15 +274,7 @@ def _vectors(spark, sf):
     M,
 )
 def utilisation_ratio(spark, sf):
-    cpu, memory = _vectors(spark, sf)
-    on = ["host", "instant"]
-    results = [
-        vectors.vector_binary(cpu, memory, on, op).withColumnRenamed("value", op) for op in ("div", "sub", "share", "used")
-    ]
-    joined = results[0]
-    for other in results[1:]:
-        joined = joined.join(other, on)
-    return joined
+    return vectors.vector_binaries(*_vectors(spark, sf), ["host", "instant"], {op: op for op in ("div", "sub", "share", "used")})
 
 
 @query("vector_filter", f"{VECTOR} SELECT host, instant, memory AS value FROM v WHERE memory > 60", M)
@@ -254,11 +289,8 @@ def vector_filter(spark, sf):
     M,
 )
 def vector_sum_by(spark, sf):
-    memory = _vectors(spark, sf)[1]
-    results = [
-        vectors.vector_agg(memory, op, by=["instant"]).withColumnRenamed("value", op) for op in ("sum", "avg", "max")
-    ]
-    return _rounded(results[0].join(results[1], "instant").join(results[2], "instant"), "sum", "avg")
+    found = vectors.vector_aggs(_vectors(spark, sf)[1], {op: op for op in ("sum", "avg", "max")}, by=["instant"])
+    return _rounded(found, "sum", "avg")
 
 
 @query("vector_count_without", f"{VECTOR} SELECT instant, count(*) AS value FROM v GROUP BY 1", M)
@@ -278,14 +310,14 @@ FLAT = "metric_name, job, instance, brand, size, quantile"
 
 @query(
     "label_match",
-    f"""SELECT {FLAT} FROM prom WHERE instance = 'node1.cloud.local:9100' AND regexp_full_match(brand, 'Brand#[12].*')
+    f"""SELECT {FLAT} FROM prom WHERE instance = 'node1.nodes.example:9100' AND regexp_full_match(brand, 'Brand#[12].*')
       AND NOT regexp_full_match(coalesce(quantile, ''), '0[.]99|1')""",
     P,
 )
 def label_match(spark, sf):
     found = vectors.match_labels(
         fixtures.prom_series(spark, sf),
-        eq={"instance": "node1.cloud.local:9100"},
+        eq={"instance": "node1.nodes.example:9100"},
         re={"brand": "Brand#[12].*"},
         nre={"quantile": "0[.]99|1"},
     )
@@ -410,12 +442,12 @@ def label_catalogue(spark, sf):
 )
 def fn_hosts(spark, sf):
     parts = fixtures.table(spark, sf, "part")
-    instance = F.concat(F.lit("node"), (F.col("p_partkey") % 5).cast("string"), F.lit(".cloud.local:9100"))
+    instance = F.concat(F.lit("node"), (F.col("p_partkey") % 5).cast("string"), F.lit(".nodes.example:9100"))
     return parts.select(
         "p_partkey",
         labels.host_of(instance).alias("host"),
         labels.host_of("p_name").alias("bare"),
-        formats.strip_domain(instance).alias("local"),
+        formats.strip_domain(instance, ".nodes.example").alias("local"),
         labels.strip_job("p_name", F.lower("p_brand")).alias("stripped"),
         F.array_join(labels.name_prefixes(F.translate("p_name", " ", "_")), " ").alias("prefixes"),
         labels.quantile_suffix(F.col("p_size").cast("string")).alias("quantile"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions import codes, formats, times
-from ..operators import facets, filters, histograms, lookups, quality, reconcile, rollups, routes, stats, suite
+from ..operators import exact_sums, facets, filters, histograms, lookups, quality, reconcile, rollups, routes, stats, suite
 from ..operators.filters import TRIP_FIELDS, Fields, compile_filters
 from .registry import avg_of, query, sum_of
 
@@ -329,6 +329,23 @@ def top_zones(spark, sf):
     return stats.top_zones(fixtures.trips(spark, sf).where(quality.moving()))
 
 
+def _exact(column: str) -> str:
+    """The sum of whole multiples of 2**-70, rounded once."""
+    return f"CAST(sum(CAST({column} * 1180591620717411303424.0::DOUBLE AS HUGEINT)) AS DOUBLE) / 1180591620717411303424.0::DOUBLE"
+
+
+@query(
+    "exact_sums_zone",
+    f"""SELECT PULocationID, {_exact('total_amount')} AS revenue, {_exact('tip_amount')} AS tips,
+      {_exact('trip_distance')} AS distance, count(total_amount) AS trips FROM trips GROUP BY 1""",
+    T,
+)
+def exact_sums_zone(spark, sf):
+    """Sums of doubles as they are, in exact arithmetic, per pickup zone."""
+    measures = {"revenue": "total_amount", "tips": "tip_amount", "distance": "trip_distance"}
+    return exact_sums.exact_sums(fixtures.trips(spark, sf), ["PULocationID"], measures, {"trips": "total_amount"})
+
+
 @query(
     "hour_share",
     f"""{CLEAN}, g AS ({BY_HOUR_SQL})
@@ -404,6 +421,32 @@ def top_routes_boundary(spark, sf):
     return routes.top_routes_boundary(fixtures.trips(spark, sf), chosen, n=50, min_trips=3)
 
 
+def _decimals(column: str, places: int) -> str:
+    """Halves away from zero, on the decimal value of an average."""
+    return f"CAST(round(CAST({column} AS DECIMAL(30, 8)), {places}) AS DOUBLE) AS {column}"
+
+
+@query(
+    "top_routes_rounded",
+    f"""r AS ({MARKS_ROUTES}), a AS (SELECT PULocationID, DOLocationID, trip_count, {_decimals('avg_fare', 2)},
+      {_decimals('avg_duration_min', 1)}, {_decimals('avg_distance', 2)}, total_revenue FROM r WHERE trip_count >= 10)
+    {SCORED_SQL}, (SELECT count(*) FROM trips) AS total_trips FROM a ORDER BY score DESC, PULocationID, DOLocationID LIMIT 20""",
+    T,
+)
+def top_routes_rounded(spark, sf):
+    """The twenty best routes with ten trips at least, scored by the averages as they are shown."""
+    return routes.top_routes_boundary(fixtures.trips(spark, sf), n=20, min_trips=10, rounded=True)
+
+
+@query(
+    "top_routes_all",
+    f"""r AS ({ELAPSED_ROUTES}) {SCORED_SQL}, CAST((SELECT sum(trip_count) FROM r) AS BIGINT) AS total_trips FROM r""",
+    T,
+)
+def top_routes_all(spark, sf):
+    return routes.top_routes(fixtures.trips(spark, sf), n=None)
+
+
 @query(
     "top_routes_ranked",
     f"""r AS ({MARKS_ROUTES}), best AS ({SCORED_SQL}, (SELECT count(*) FROM trips) AS total_trips

@@ -8,7 +8,7 @@ import check
 from drillspark.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
-PYTHON_ALLOWED = {"decode_series", "merged_series", "merged_series_flat"}
+PYTHON_ALLOWED = {"decode_series", "merged_series", "merged_series_flat", "merged_series_points"}
 
 
 @pytest.fixture(scope="module")
