@@ -139,11 +139,16 @@ def read(spark: SparkSession, path: str, page_type: str = "bigint") -> DataFrame
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     found = files.mapInArrow(_parsed, "record string, page_id string, type string, refers string, digest string, bytes long")
     found = stage_table(found, "warc-records").withColumn("page_id", F.col("page_id").cast(page_type))
-    whole = found.where("type = 'response'").groupBy("record").agg(F.min("page_id").alias("of_page"), F.max("bytes").alias("of_bytes"))
-    met = found.join(whole.withColumnRenamed("record", "refers"), "refers", "left")
-    return met.select(
+    # responses refer to nothing and are not joined; of them, only those that revisits refer to are looked up
+    revisits, responses = found.where("type = 'revisit'"), found.where("type = 'response'")
+    whole = responses.groupBy("record").agg(F.min("page_id").alias("of_page"), F.max("bytes").alias("of_bytes"))
+    whole = whole.join(revisits.select(F.col("refers").alias("record")).distinct(), "record", "left_semi")
+    whole = if_small(stage_table(whole.withColumnRenamed("record", "refers"), "referred"))
+    met = revisits.join(whole, "refers", "left").select("page_id", "of_bytes", "digest", "type", "of_page")
+    kept = responses.select("page_id", F.col("bytes").alias("of_bytes"), "digest", "type", F.lit(None).cast(page_type).alias("of_page"))
+    return met.unionByName(kept).select(
         "page_id",
-        F.when(F.col("type") == "revisit", F.col("of_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
+        F.col("of_bytes").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("of_page").alias("refers_to"),

@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against a plain version that encodes whole texts."""
 
+import bisect
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -56,10 +57,11 @@ def plain():
             most[b] = max(most[b], n)
         out = []
         for ends_a, ends_b, both in split:
-            groups, last = [], 0
-            for e in both:
-                groups.append("|".join(",".join(str(i) for at, i in side.items() if last < at <= e) for side in (ends_a, ends_b)))
-                last = e
+            sides = [[[] for _ in both] for _ in "ab"]
+            for side, ends_of in zip(sides, (ends_a, ends_b)):
+                for at, i in ends_of.items():
+                    side[bisect.bisect_left(both, at)].append(str(i))
+            groups = [f"{','.join(a)}|{','.join(b)}" for a, b in zip(*sides)]
             here = [(ends_a[e], ends_b[e]) for e in both]
             best = sum(links[p] == most[p[1]] for p in here)
             digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
