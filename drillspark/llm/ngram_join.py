@@ -5,9 +5,9 @@ many that two sets which are similar enough must share one; representatives with
 one group. Group pairs that share a prefix shingle and pass the length and position bounds are expanded into member
 pairs, whose whole shingle sets are compared.
 
-Only the classes are wanted, so a pair whose members are already linked through others is not compared again: each round
-compares every member of a list with one of a few leaders of it, then joins classes; what is left across classes is
-compared in full. No pair of different classes is ever skipped.
+Only the classes are wanted, so a pair whose members are already linked through others is not compared again: a round
+compares every member of a list with one of a few leaders of it, then joins classes; the next one compares an eighth of the
+pairs that are left across classes, and the last one all that are still left. No pair of different classes is ever skipped.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ class Join:
     common: int = 1 << 19
     buffered: int = 1 << 20
     leaders: int = 3
-    rounds: int = 2
+    rounds: int = 1
+    thin: int = 8
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -258,12 +259,12 @@ def linked(docs: DataFrame, join: Join = Join(), with_key: bool = False) -> Data
     parities = members.join(needed, "row", "left_semi").select("row", "n", "parity")
     labels = needed.select("row", F.col("row").alias("label"))
     links, done = None, None
-    for turn in range(join.rounds + 1):
+    for turn in range(join.rounds + 2):
         now = listed.join(if_small(labels), "row") if turn else listed.withColumn("label", F.col("row"))
         classes = now.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         open_lists = classes.where("low < high").select("shingle")
         now = stage_table(now.join(open_lists, "shingle"), f"open-{turn}")
-        pairs = _leader_pairs(now, join, turn) if turn < join.rounds else _all_pairs(now, parities, join)
+        pairs = _leader_pairs(now, join, turn) if turn < join.rounds else _all_pairs(now, parities, join, join.thin if turn == join.rounds else 1)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage_table(_alike(pairs, parities, join), f"pairs-{turn}")
@@ -290,9 +291,12 @@ def _leader_pairs(now: DataFrame, join: Join, turn: int) -> DataFrame:
     return _ordered_pairs(met.where((F.col("label_a") != F.col("label_b")) & _can_match(join)))
 
 
-def _all_pairs(now: DataFrame, parities: DataFrame, join: Join) -> DataFrame:
+def _all_pairs(now: DataFrame, parities: DataFrame, join: Join, thin: int = 1) -> DataFrame:
     """The pairs of members of a list that are still in different classes and that their parities allow.
 
+    With ``thin``, one of so many pairs only, drawn by their rows: in a crowd whose members are linked with many others these
+    few links make one class already, and the round for all pairs that follows meets hardly any of its pairs again.
+
     A member with too much before the shared shingle, ``late``, cannot match another late one: what follows is too short for
     both. So lists are joined with their early members only, and the parity is tested where a pair is met, before it is a
     row: a crowd of texts that are alike, yet not enough, makes no rows.
@@ -305,6 +309,8 @@ def _all_pairs(now: DataFrame, parities: DataFrame, join: Join) -> DataFrame:
     met = sides[0].where("NOT late_a").join(sides[1], "shingle")
     # two early members meet from both sides; one of the two is enough
     once = F.col("late_b") | (F.col("label_a") < F.col("label_b"))
+    if thin > 1:
+        once &= F.pmod(F.xxhash64(F.least("row_a", "row_b"), F.greatest("row_a", "row_b")), F.lit(thin)) == 0
     return _ordered_pairs(met.where(once & (F.col("label_a") != F.col("label_b")) & _can_match(join) & _parities_allow(join)))
 
 
