@@ -250,9 +250,9 @@ def _trip_stream(spark, sf):
 
 
 def _arriving_trips(spark, sf):
-    """The trips dealt over 6 files, which arrive one after another."""
+    """The trips dealt over 4 files, which arrive one after another."""
     folder, trips = new_path(spark, "arriving"), fixtures.trips(spark, sf)
-    trips.repartition(6, "trip_order", "trip_line").write.parquet(folder)
+    trips.repartition(4, "trip_order", "trip_line").write.parquet(folder)
     return ingest.file_stream(spark, folder, trips.schema, files_per_batch=1)
 
 
@@ -264,14 +264,14 @@ def _arriving_trips(spark, sf):
     T,
 )
 def stream_hourly_rollup(spark, sf):
-    """Six batches; parts are combined on the way, once levels are full and once by a call, and one batch runs twice."""
+    """Four batches; parts are combined when a level is full and once more by a call, and one batch runs twice."""
     out, checkpoint = new_path(spark, "rollup"), new_path(spark, "rollup-checkpoint")
     stream = _arriving_trips(spark, sf)
     for turn in range(2):
-        rollup.start_hourly_rollup(stream, out, checkpoint, fan_in=4).awaitTermination()
+        rollup.start_hourly_rollup(stream, out, checkpoint, fan_in=3).awaitTermination()
         rollup.compact_rollup(spark, out)
         if turn == 0:  # as if the last commit had been lost
-            files, last = on_disk(spark, f"{checkpoint}/commits/5")
+            files, last = on_disk(spark, f"{checkpoint}/commits/3")
             files.delete(last, False)
     return rollup.read_rollup(spark, out).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm"))
 
