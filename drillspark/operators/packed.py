@@ -29,8 +29,8 @@ POINT = np.dtype([("value", ">f8"), ("ts", ">i8")])
 TIME_RANGE = (-62_135_596_800_000, 253_402_300_799_999)
 DAY_MS = 86_400_000
 MAX_POINTS = 50_000
-#: Points of decoded documents in one Arrow batch.
-DECODED = 65_536
+#: Points of decoded documents in one Arrow batch, and packed documents in one.
+DECODED, PACKED = 65_536, 1024
 
 DOCUMENT_COLUMNS = {
     "host": "ts_host",
@@ -45,15 +45,15 @@ _DOCUMENT_SCHEMA = (
 )
 
 
-def _points(text: str | None) -> np.ndarray:
-    """Points of one payload; a broken payload has none, a broken last pair is left out."""
+def _payload(text: str | None) -> bytes:
+    """Whole points of one payload; a broken payload has none, a broken last pair is left out."""
     if not text:
-        return np.empty(0, POINT)
+        return b""
     try:
         raw = base64.b64decode(text)
     except (binascii.Error, ValueError):
-        return np.empty(0, POINT)
-    return np.frombuffer(raw, POINT, count=len(raw) // POINT.itemsize)
+        return b""
+    return raw[: len(raw) // POINT.itemsize * POINT.itemsize]
 
 
 def _unpack(batches: Iterator[pa.RecordBatch], at_once: int = DECODED) -> Iterator[pa.RecordBatch]:
@@ -63,26 +63,29 @@ def _unpack(batches: Iterator[pa.RecordBatch], at_once: int = DECODED) -> Iterat
         row_of, held, size = [], [], 0
 
         def points():
-            found = np.concatenate(held)
-            rows = pa.array(np.concatenate(row_of))
-            keys = [batch.column(document).take(rows) for document in DOCUMENT_COLUMNS.values()]
-            values = [pa.array(found["ts"].astype("i8")), pa.array(found["value"].astype("f8"))]
-            return pa.RecordBatch.from_arrays(keys + values, [*DOCUMENT_COLUMNS, "timestamp_ms", "value"])
+            found = np.frombuffer(b"".join(held), POINT)
+            rows = np.repeat(row_of, [len(raw) // POINT.itemsize for raw in held])
+            usable = (found["ts"] >= TIME_RANGE[0]) & (found["ts"] <= TIME_RANGE[1])
+            found, rows = found[usable], rows[usable]
+            for at in range(0, len(found), at_once):
+                part, of = found[at : at + at_once], pa.array(rows[at : at + at_once])
+                keys = [batch.column(document).take(of) for document in DOCUMENT_COLUMNS.values()]
+                values = [pa.array(part["ts"].astype("i8")), pa.array(part["value"].astype("f8"))]
+                yield pa.RecordBatch.from_arrays(keys + values, [*DOCUMENT_COLUMNS, "timestamp_ms", "value"])
 
         for row in range(batch.num_rows):
-            found = _points(texts[row].as_py())
-            found = found[(found["ts"] >= TIME_RANGE[0]) & (found["ts"] <= TIME_RANGE[1])]
-            while len(found):
-                part = found[: at_once - size]
-                found = found[len(part) :]
+            raw = _payload(texts[row].as_py())
+            while raw:
+                part = raw[: (at_once - size) * POINT.itemsize]
+                raw = raw[len(part) :]
                 held.append(part)
-                row_of.append(np.full(len(part), row))
-                size += len(part)
+                row_of.append(row)
+                size += len(part) // POINT.itemsize
                 if size == at_once:
-                    yield points()
+                    yield from points()
                     row_of, held, size = [], [], 0
         if size:
-            yield points()
+            yield from points()
 
 
 def decode_series(docs: DataFrame) -> DataFrame:
@@ -93,19 +96,36 @@ def decode_series(docs: DataFrame) -> DataFrame:
 _PLACE = ["_day", "_document"]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal series, day and document in sorted rows become documents, wherever Arrow batches end."""
-    held: list[pa.RecordBatch] = []  # the run that may go on in the next batch
+def _breaks(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows with another series, day or document than the row before."""
+    breaks = np.zeros(batch.num_rows, bool)
+    for c in (*SERIES, *_PLACE):
+        codes = batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        breaks[1:] |= np.nan_to_num(codes[1:], nan=-1) != np.nan_to_num(codes[:-1], nan=-1)
+    return np.flatnonzero(breaks)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _documents(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """A document for each run of sorted rows."""
+    first = np.concatenate([[0], _breaks(rows)])
+    ends = np.append(first[1:], rows.num_rows)
+    points = np.empty(rows.num_rows, POINT)
+    points["ts"], points["value"] = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("timestamp_ms", "value"))
+    raw, size = points.tobytes(), POINT.itemsize
+    data = [base64.b64encode(raw[start * size : end * size]).decode() for start, end in zip(first.tolist(), ends.tolist())]
+    columns = [rows.column(k).take(pa.array(first)) for k in SERIES]
+    numbers = [pa.array(n.astype("i8")) for n in (points["ts"][first], points["ts"][ends - 1], ends - first)]
     names = [*DOCUMENT_COLUMNS.values(), "ts_start", "ts_end", "ts_data_amountValues", "ts_data"]
+    return pa.RecordBatch.from_arrays([*columns, *numbers, pa.array(data, pa.string())], names)
+
 
-    def document() -> pa.RecordBatch:
-        run = pa.Table.from_batches(held)
-        ts = run.column("timestamp_ms").to_numpy()
-        points = np.empty(len(ts), POINT)
-        points["ts"], points["value"] = ts, run.column("value").to_numpy()
-        columns = [run.column(k).slice(0, 1).combine_chunks() for k in SERIES]
-        numbers = [pa.array([int(n)], pa.int64()) for n in (ts[0], ts[-1], len(ts))]
-        return pa.RecordBatch.from_arrays([*columns, *numbers, pa.array([base64.b64encode(points.tobytes()).decode()])], names)
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end where a run of equal series, day and document ends."""
+    held: list[pa.RecordBatch] = []  # the run that may go on in the next batch
 
     def key(batch: pa.RecordBatch, row: int) -> list:
         return [batch.column(c)[row].as_py() for c in (*SERIES, *_PLACE)]
@@ -114,20 +134,37 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         if held and key(held[-1], held[-1].num_rows - 1) != key(batch, 0):
-            yield document()
+            yield _joined(held)
             held = []
-        breaks = np.zeros(batch.num_rows, bool)
-        for c in (*SERIES, *_PLACE):
-            codes = batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            breaks[1:] |= np.nan_to_num(codes[1:], nan=-1) != np.nan_to_num(codes[:-1], nan=-1)
-        starts = [0, *np.flatnonzero(breaks).tolist(), batch.num_rows]
-        for start, end in zip(starts, starts[1:]):
-            held.append(batch.slice(start, end - start))
-            if end < batch.num_rows:
-                yield document()
-                held = []
+        breaks = _breaks(batch)
+        if len(breaks):
+            last = int(breaks[-1])
+            yield _joined([*held, batch.slice(0, last)])
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield _joined(held)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of equal series, day and document in sorted rows become documents, wherever Arrow batches end.
+
+    A batch of documents is full with ``PACKED`` of them or the first that brings it to ``DECODED`` points.
+    """
+    held: list[pa.RecordBatch] = []
+    documents = points = 0
+    for rows in _whole_runs(batches):
+        found = _documents(rows)
+        at = 0
+        for end, n in enumerate(found.column("ts_data_amountValues").to_pylist(), 1):
+            documents, points = documents + 1, points + n
+            if documents >= PACKED or points >= DECODED:
+                yield _joined([*held, found.slice(at, end - at)])
+                held, at, documents, points = [], end, 0, 0
+        if at < found.num_rows:
+            held.append(found.slice(at))
     if held:
-        yield document()
+        yield _joined(held)
 
 
 def numbered_points(df: DataFrame, by_day: bool = False) -> DataFrame:

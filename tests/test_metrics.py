@@ -126,6 +126,20 @@ def test_decoding_gives_bounded_batches():
     assert max(sizes) == packed.DECODED and sum(sizes) == 5 * 100 * points
 
 
+def test_short_documents_share_batches():
+    """Thousands of documents of one point each leave in a few batches, and come back in order."""
+    import pyarrow as pa
+
+    n = 5000
+    names = ["host", "process", "metricGroup", "metricName", "timestamp_ms", "value", "_day", "_document"]
+    texts = [pa.array([f"{c}{i}" if i % 7 else None for i in range(n)], pa.string()) for c in "hpgm"]
+    rows = pa.RecordBatch.from_arrays([*texts, pa.array(range(n)), pa.array([1.0] * n), pa.array([0] * n), pa.array(range(n))], names)
+    docs = list(packed._pack(rows.slice(at, 700) for at in range(0, n, 700)))
+    assert [d.num_rows for d in docs] == [packed.PACKED] * 4 + [n - 4 * packed.PACKED]
+    back = pa.Table.from_batches(packed._unpack(iter(docs)))
+    assert back.select(names[:6]).to_pylist() == pa.Table.from_batches([rows]).select(names[:6]).to_pylist()
+
+
 def test_merging_cleans_and_recounts(samples, rows):
     docs = packed.pack_series(samples)
     counts = defaultdict(int)
