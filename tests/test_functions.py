@@ -170,6 +170,27 @@ def test_words(spark, given, words):
     assert one(spark, given, "string", text.tokens) == words
 
 
+def test_long_words_are_read_in_one_go(spark):
+    """A word of any length takes no stack, and the words of a text are searched once."""
+    assert one(spark, "x" * 300_000 + ", end", "string", text.tokens)[-3:] == ["x" * 255, "x" * (300_000 % 255), "end"]
+    frame = spark.range(1).select(F.col("id").cast("string").alias("t")).select(text.tokens("t"))
+    plan = frame._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert plan.count("regexp_extract_all") <= 2, plan  # in the expression and in its name
+
+
+@pytest.mark.parametrize(
+    "given, words",
+    [
+        ("a,b 1,2 a'b a' 'b a.b. x: y:z x;y 1;2", ["a", "b", "1,2", "a'b", "a", "b", "a.b", "x", "y:z", "x", "y", "1;2"]),
+        ("abc123é4 e\u0301\u00ad_x ab\u0301c 9\u066b1", ["abc123é4", "e\u0301\u00ad_x", "ab\u0301c", "9\u066b1"]),
+        ("dé.ja d\u0301.\u0301a mot\u200bsuite", ["dé.ja", "d\u0301.\u0301a", "mot", "suite"]),
+        ("слово, Ünïon-größe λόγος", ["слово", "ünïon", "größe", "λόγος"]),
+    ],
+)
+def test_ends_of_words(spark, given, words):
+    assert one(spark, given, "string", text.tokens) == words
+
+
 def test_words_are_found_whole(spark):
     find = lambda query: lambda c: text.has_any_word(c, query)
     assert not one(spark, "from 192.168.7.9", "string", find("192"))
