@@ -238,3 +238,27 @@ def test_ingest_loads_new_files_only(spark, trips, trip_folder, tmp_path):
         stream = ingest.file_stream(spark, trip_folder, trips.schema)
         ingest.ingest_stream(stream, table, checkpoint).awaitTermination()
     assert tables.read_months(spark, table).count() == len(DATA)
+
+
+def test_arriving_trips_are_not_shuffled(spark, tmp_path, rows):
+    """A part of the trips is written by the tasks that read them, and the parts together are all trips."""
+    from drillspark import fixtures
+    from drillspark.plans import table_queries
+
+    copies = 3
+    lines = spark.createDataFrame(
+        [(i // 3, i % 3 if i % 11 else None, i % 7) for i in range(300)], "l_orderkey long, l_linenumber int, l_partkey long"
+    ).selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "1L AS l_suppkey", "CAST(2 AS DOUBLE) AS l_quantity", "CAST(400 AS DOUBLE) AS l_extendedprice",
+        "CAST(0 AS DOUBLE) AS l_discount", "CAST(0 AS DOUBLE) AS l_tax", "'N' AS l_returnflag", "DATE'2024-01-01' AS l_shipdate",
+    )
+    lines.repartition(copies).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for arrival in range(4):
+            table_queries._arrive(spark, str(tmp_path), f"{tmp_path}/arrived", arrival)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows(spark.read.parquet(f"{tmp_path}/arrived")) == rows(fixtures.trips(spark, str(tmp_path)))
+    assert len(list((tmp_path / "arrived").glob("*.parquet"))) > 4  # a file for each task, not one for each part
