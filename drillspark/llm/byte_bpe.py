@@ -25,7 +25,7 @@ ship(__name__)
 
 #: Encoded pieces that a worker remembers, the longest of them, the characters of a long text handled at once, and those
 #: of several texts handled together.
-REMEMBERED, REMEMBERED_CHARS, PIECE, TOGETHER = 1 << 18, 48, 1 << 20, 1 << 21
+REMEMBERED, REMEMBERED_CHARS, PIECE, TOGETHER = 1 << 18, 48, 1 << 20, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
