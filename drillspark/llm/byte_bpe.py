@@ -23,9 +23,9 @@ from .frames import for_long_texts, ship, small_batches
 
 ship(__name__)
 
-#: Encoded pieces that a worker remembers, the longest of them, the characters of a long text handled at once, and those
-#: of several texts handled together.
-REMEMBERED, REMEMBERED_CHARS, PIECE, TOGETHER = 1 << 18, 48, 1 << 20, 1 << 18
+#: Encoded chunks and pre-tokens in one generation of a worker's memory, the longest of them, the characters of a long
+#: text handled at once, and those of several texts handled together.
+CHUNKS, TOKENS, REMEMBERED_CHARS, PIECE, TOGETHER = 1 << 16, 1 << 17, 48, 1 << 20, 1 << 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -189,6 +189,35 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+class Memory:
+    """Ids of strings in two generations; a full young one takes the place of the old one, where all that was not met since is forgotten."""
+
+    def __init__(self, most: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = most
+
+    def find(self, wanted: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """What is remembered, and the strings that are not."""
+        young, old = self.young, self.old
+        found, missing = {}, []
+        for key in wanted:
+            ids = young.get(key)
+            if ids is None:
+                ids = old.pop(key, None)
+                if ids is None:
+                    missing.append(key)
+                    continue
+                young[key] = ids
+            found[key] = ids
+        return found, missing
+
+    def add(self, new: dict[str, bytes]) -> None:
+        self.young.update((k, v) for k, v in new.items() if len(k) <= REMEMBERED_CHARS)
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+
+
 class Coder:
     """Encodes texts with a vocabulary, remembering what it has encoded.
 
@@ -199,16 +228,7 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern).findall
-        self.chunks: dict[str, bytes] = {}  # by the chunk without the space in front
-        self.tokens: dict[str, bytes] = {}
-
-    @staticmethod
-    def _remember(memory: dict[str, bytes], new: dict[str, bytes], most: int) -> None:
-        """Keep what is new; a full memory forgets every other entry, of which the frequent ones soon come back."""
-        while len(memory) > most:
-            for known in list(memory)[::2]:
-                del memory[known]
-        memory.update((k, v) for k, v in new.items() if len(k) <= REMEMBERED_CHARS)
+        self.chunks, self.tokens = Memory(CHUNKS), Memory(TOKENS)  # chunks without the space in front
 
     def encode(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
@@ -221,19 +241,17 @@ class Coder:
                 start, *chunks = piece.split(" ")
             starts.append(self.split(start))
             rest.append(chunks)
-        split = {c: self.split(" " + c) for c in set().union(*rest) if c not in self.chunks}
-        new = [t for t in set().union(*starts, *split.values()) if t not in self.tokens]
+        held, missing = self.chunks.find(set().union(*rest))
+        split = {c: self.split(" " + c) for c in missing}
+        known, new = self.tokens.find(set().union(*starts, *split.values()))
         coded = dict(zip(new, self.vocabulary.encode([t.encode("utf-8", "surrogatepass") for t in new])))
-        known = self.tokens
-
-        def joined(tokens: list[str]) -> bytes:
-            return b"".join([coded[t] if t in coded else known[t] for t in tokens])
-
-        fresh = {c: joined(tokens) for c, tokens in split.items()}
-        held = self.chunks
-        out = [joined(s) + b"".join([held[c] if c in held else fresh[c] for c in chunks]) for s, chunks in zip(starts, rest)]
-        self._remember(known, coded, REMEMBERED)
-        self._remember(held, fresh, REMEMBERED)
+        known.update(coded)
+        token, chunk = known.__getitem__, held.__getitem__
+        fresh = {c: b"".join(map(token, tokens)) for c, tokens in split.items()}
+        held.update(fresh)
+        out = [b"".join([*map(token, s), *map(chunk, chunks)]) for s, chunks in zip(starts, rest)]
+        self.tokens.add(coded)
+        self.chunks.add(fresh)
         return out
 
 

@@ -526,3 +526,21 @@ def test_texts_are_encoded_in_small_groups():
     groups = list(byte_bpe._grouped(byte_bpe.pa.array([*texts, None, ""])))
     assert max(sum(len(piece) for _, piece in group) for group in groups) < 300_000
     assert [(i, piece) for group in groups for i, piece in group] == list(enumerate([*texts, "", ""]))
+
+
+def test_coder_remembers_what_it_meets_again(monkeypatch):
+    """A worker holds few encoded strings however many it has met; those of every group are encoded once."""
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(byte_bpe, "CHUNKS", 300, raising=False)
+    monkeypatch.setattr(byte_bpe, "TOKENS", 400, raising=False)
+    coder = byte_bpe.Coder(ranks, public_tokenizers.PATTERN)
+    encoded, encode, most = [], coder.vocabulary.encode, 0
+    monkeypatch.setattr(coder.vocabulary, "encode", lambda tokens: encoded.extend(tokens) or encode(tokens))
+    rng = random.Random(5)
+    for _ in range(60):
+        text = " ".join(["zqxjkvb", *("".join(rng.choices("bcdfgh", k=9)) for _ in range(100)), "zqxjkvb"])
+        (got,) = coder.encode([text])
+        assert byte_bpe.np.frombuffer(got, "<u4").tolist() == plain.encode_ordinary(text)
+        most = max(most, *(len(m.young) + len(m.old) for m in (coder.chunks, coder.tokens)))
+    assert most < 2 * (400 + 102) and encoded.count(b" zqxjkvb") == 1
