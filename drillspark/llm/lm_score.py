@@ -1,10 +1,15 @@
 """Language-model scores by deleted interpolation of word trigrams, word pairs and classes.
 
 A token's probability mixes three maximum-likelihood estimates: after the two words before it, after the one word before
-it, and by classes. Each distinct run of three words is counted, in bounded buffers per task and then by a shuffle; pairs
-and contexts are sums of these counts. The weights of the mix depend on how often the two contexts occur (buckets by powers
-of two) and are learned by expectation-maximisation on the runs of a part of the corpus that the estimates did not see. Words
-are compared as 64-bit codes. The runs of the texts to be scored meet the counts in shuffled joins.
+it, and by classes. The weights of the mix depend on how often the two contexts occur (buckets by powers of two) and are
+learned by expectation-maximisation on the runs of a part of the corpus that the estimates did not see.
+
+Texts are written once as groups of bounded size: the distinct words of a group and their numbers, token by token. Counts
+of words, then of pairs, then of runs of three come to the groups by one exchange each: a group sends its distinct keys with
+its own counts, dealt by key, packed; the sums go back in the same order. A context counts as often as the word, or the
+pair, it is made of, so contexts need no counts of their own. What a group need not ask is left out without loss: where a
+word or pair occurs in no other group, no run that holds it does. Words are compared as they are, pairs and runs of three as
+64-bit codes.
 
 By classes: the most frequent tokens have a class of their own, all others share hashed classes. The estimate is that of
 a token's class after the class before it, times the token's share of its class. The first is itself a mix of class pairs,
@@ -14,19 +19,24 @@ for tokens never seen, so probabilities add up to one.
 
 from __future__ import annotations
 
-import hashlib
+import heapq
+import uuid
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
-from .frames import for_long_texts, if_small, ship, small_batches
+from .frames import for_long_texts, ship, small_batches
+from .word_codes import _long_codes
 
 ship(__name__)
 
@@ -36,12 +46,15 @@ END = b""
 
 @dataclass(frozen=True)
 class Settings:
-    """Classes of their own and shared ones, the bound of the broadcast counts, and a task's buffers of tokens and of runs."""
+    """Classes of their own and shared ones, and how many distinct words and how many tokens fill a group of texts.
+
+    ``broadcast_counts`` has no effect any more: no counts are broadcast.
+    """
 
     own: int = 511
     shared: int = 512
     broadcast_counts: int = 100_000
-    buffered: int = 300_000
+    buffered: int = 400_000
     buffered_runs: int = 1 << 20
     steps: int = 60
 
@@ -61,86 +74,19 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
-def _counted(batches, buffered: int) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def flushed():
-        out = pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-        counts.clear()
-        return out
-
-    for batch in small_batches(batches):
-        for text in batch.column("text"):
-            counts.update(tokens_of(text.as_py()))
-            if len(counts) >= buffered:
-                yield flushed()
-    yield flushed()
-
-
 class Classes:
     """The class of each token; class ``own + shared`` stands for the start of a text."""
 
     def __init__(self, own: dict[bytes, int], first: int, shared: int):
-        self.known, self.first, self.shared = dict(own), first, shared
-        self.least = len(own)
+        self.own, self.first, self.shared = own, first, shared
 
     def class_of(self, token: bytes) -> int:
         """The shared class of a token without one of its own."""
         return self.first + zlib.crc32(token) % self.shared
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.least + (1 << 18):
-            for token in list(known)[self.least :]:
-                del known[token]
-        for token in set(tokens):
-            if token not in known:
-                known[token] = self.class_of(token)
-        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-
-
-def _paired(batches, sent) -> Iterator[pa.RecordBatch]:
-    """Counts of class pairs, apart for texts to learn from and texts held out for the weights."""
-    s = sent.value
-    classes, width = Classes(s["own"], s["first"], s["shared"]), s["first"] + s["shared"]
-    size = (width + 1) * width
-    held: list[list[np.ndarray]] = [[], []]
-
-    def flushed():
-        cells = np.concatenate([np.concatenate(h) + k * size for k, h in enumerate(held) if h])
-        for h in held:
-            h.clear()
-        values, times = np.unique(cells, return_counts=True)
-        return pa.record_batch([pa.array(values), pa.array(times.astype(np.int64))], ["cell", "n"])
-
-    total = 0
-    for batch in small_batches(batches):
-        for text, apart in zip(batch.column("text"), batch.column("apart")):
-            after = classes.of(tokens_of(text.as_py()))
-            before = np.concatenate([[width], after[:-1]])
-            held[int(apart.as_py())].append(before * width + after)
-            total += len(after)
-            if total >= 1 << 20:
-                yield flushed()
-                total = 0
-    if total:
-        yield flushed()
-
-
-class Codes:
-    """64-bit codes of tokens; 0 stands for what is before a text."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 1 << 18:
-            known.clear()
-        for token in set(tokens):
-            if token not in known:
-                known[token] = int.from_bytes(hashlib.blake2b(token, digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        own, first, shared, crc = self.own, self.first, self.shared, zlib.crc32
+        return np.array([own[t] if t in own else first + crc(t) % shared for t in tokens], np.int64)
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,63 +96,10 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: the code of the two words before it, of the word before it, and its own."""
-    v = np.concatenate([np.zeros(1, np.uint64), codes[:-1]])
-    return _joined(np.concatenate([np.zeros(1, np.uint64), v[:-1]]), v), v, codes
-
-
-def _counted_runs(batches, sent) -> Iterator[pa.RecordBatch]:
-    """Counts of three words (u, v, w) with the cell of their classes, apart for texts to learn from and held out ones."""
-    s = sent.value
-    classes, codes, width = Classes(s["own"], s["first"], s["shared"]), Codes(), s["first"] + s["shared"]
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def flushed():
-        u, v, w, cell, apart = map(np.concatenate, zip(*held))
-        held.clear()
-        _, at, of = np.unique(_joined(u, w), return_index=True, return_inverse=True)
-        n, h = (np.bincount(of, x, len(at)).astype(np.int64) for x in (~apart, apart))
-        return pa.record_batch([*(pa.array(x[at].view(np.int64)) for x in (u, v, w, cell)), pa.array(n), pa.array(h)], ["u", "v", "w", "cell", "n", "h"])
-
-    total = 0
-    for batch in small_batches(batches):
-        for text, apart in zip(batch.column("text"), batch.column("apart")):
-            tokens = tokens_of(text.as_py())
-            after = classes.of(tokens)
-            cell = np.concatenate([[width], after[:-1]]) * width + after
-            held.append((*_runs(codes.of(tokens)), cell, np.full(len(after), bool(apart.as_py()))))
-            total += len(after)
-            if total >= s["buffered_runs"]:
-                yield flushed()
-                total = 0
-    if total:
-        yield flushed()
-
-
 #: Contexts seen 2**(BUCKETS - 2) times or more share a bucket.
 BUCKETS = 24
 
 
-def _bucket_of(times: Column) -> Column:
-    return F.when(times > 0, F.least(F.length(F.bin(times)), F.lit(BUCKETS - 1))).otherwise(0)
-
-
-def _ratios(batches, sent) -> Iterator[pa.RecordBatch]:
-    """Held-out runs, counted by their buckets and by the ratios of their estimates in quarter powers of two."""
-    chance, sizes, width = (sent.value[k] for k in ("chance", "sizes", "width"))
-    for batch in batches:
-        b3, b2, n, un, pn, vn, wn, cell, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b3", "b2", "n", "un", "pn", "vn", "wn", "cell", "h"))
-        after = cell % width
-        low = chance[cell // width, after] * np.where(after < sent.value["first"], 1, (wn + 1) / sizes[after])
-        columns = [pa.array(b3, pa.int32()), pa.array(b2, pa.int32())]
-        for count, context in ((n, un), (pn, vn)):
-            with np.errstate(divide="ignore"):
-                ratio = np.round(4 * np.log2(count / np.maximum(context, 1) / low))
-            columns.append(pa.array(np.where(count > 0, ratio, 0).astype(np.int32), mask=count == 0))
-        yield pa.record_batch([*columns, pa.array(h, pa.int64())], ["b3", "b2", "q3", "q2", "h"])
-
-
 def run_weights(b3: np.ndarray, b2: np.ndarray, estimates: np.ndarray, times: np.ndarray, steps: int) -> np.ndarray:
     """Weights of the estimates by three words, two words and classes, for each two buckets of the contexts.
 
@@ -266,103 +159,481 @@ def mix_weights(learned: np.ndarray, held: np.ndarray, steps: int) -> np.ndarray
     return weights * (1 - floor) + floor * np.array([0, 0, 1])
 
 
-def learn(docs: DataFrame, apart: Column, settings: Settings = Settings()) -> dict:
-    """A model of ``docs`` (doc_id, text); rows where ``apart`` holds set the weights, all rows the counts."""
-    spark = docs.sparkSession
-    for_long_texts(spark)
-    counted = docs.select("text").mapInArrow(lambda it: _counted(it, settings.buffered), "token binary, n long")
-    counts = stage_table(counted.groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(max(settings.broadcast_counts, settings.own)).toArrow()
-    head = dict(zip(top.column("token").to_pylist(), top.column("n").to_pylist()))
-    own = {token: i for i, token in enumerate(list(head)[: settings.own])}
-    sent = spark.sparkContext.broadcast({"own": own, "first": settings.own, "shared": settings.shared})
-    pairs = docs.select("text", apart.alias("apart")).mapInArrow(lambda it: _paired(it, sent), "cell long, n long")
-    table = pairs.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most twice the square of the classes
-    width = settings.classes
-    cells = np.zeros(2 * (width + 1) * width)
-    cells[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    learned, held = cells.reshape(2, width + 1, width)
-    weights = mix_weights(learned, held, settings.steps)
-    chance, learned_chance = (_chance(c, weights) for c in (learned + held, learned))
-    # of each shared class: tokens and distinct tokens
-    shared = counts.join(if_small(_frame_of(spark, own)), "token", "left_anti")
-    shared = shared.groupBy((settings.own + F.crc32("token") % settings.shared).cast("int").alias("class"))
-    sizes = np.ones(width)
-    for row in shared.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():  # a row for each class
-        sizes[row["class"]] = row["n"] + row["kinds"] + 1
-    model = {"counts": counts, "head": head, "own": own, "total": total, "distinct": distinct, "chance": chance, "sizes": sizes, "settings": settings}
-    return {**model, **_learn_runs(docs, apart, settings, own, learned_chance, sizes)}
-
-
 def _chance(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     pair, single, equal = _parts(counts)
     of = weights[bucket(counts.sum(axis=1))]
     return of[:, :1] * pair + of[:, 1:2] * single[None, :] + of[:, 2:] * equal
 
 
-def _learn_runs(docs: DataFrame, apart: Column, settings: Settings, own: dict[bytes, int], chance: np.ndarray, sizes: np.ndarray) -> dict:
-    """Tables of runs, pairs and contexts, and the weights of their estimates."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast({"own": own, "first": settings.own, "shared": settings.shared, "buffered_runs": settings.buffered_runs})
-    runs = docs.select("text", apart.alias("apart")).mapInArrow(lambda it: _counted_runs(it, sent), "u long, v long, w long, cell long, n long, h long")
-    runs = stage_table(runs.groupBy("u", "v", "w", "cell").agg(F.sum("n").alias("n"), F.sum("h").alias("h")), "runs")
+def _packed(values: np.ndarray) -> tuple[int, int, bytes]:
+    """Whole numbers from 0 on: how many, bytes of each, and these byte by byte, compressed."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return len(values), width, pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(packed: tuple[int, int, bytes]) -> np.ndarray:
+    n, width, data = packed
+    raw = pa.Codec("zstd").decompress(data, n * width, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).reshape(-1).view(f"<u{width}").astype(np.int64 if width < 8 else np.uint64)
 
-    def summed(table: DataFrame, keys: list[str], name: str, n: str = "n", h: str = "h") -> DataFrame:
-        return stage_table(table.groupBy(*keys).agg(F.sum(n).alias(f"{name}n"), F.sum(h).alias(f"{name}h")), f"sums-{name}")
 
-    pairs = summed(runs, ["v", "w"], "p")
-    tables = {"twos": summed(runs, ["u"], "u"), "pairs": pairs, "ones": summed(pairs, ["v"], "v", "pn", "ph"), "words": summed(pairs, ["w"], "w", "pn", "ph")}
-    pairs = stage_table(pairs.join(tables["ones"], "v").join(tables["words"], "w"), "pair-counts")
-    runs = stage_table(runs.join(tables["twos"], "u").join(pairs, ["v", "w"]), "run-counts")
-    known = spark.sparkContext.broadcast({"chance": chance, "sizes": sizes, "width": settings.classes, "first": settings.own})
-    held = runs.where("h > 0").select(_bucket_of(F.col("un")).alias("b3"), _bucket_of(F.col("vn")).alias("b2"), "n", "un", "pn", "vn", "wn", "cell", "h")
-    held = held.mapInArrow(lambda it: _ratios(it, known), "b3 int, b2 int, q3 int, q2 int, h long")
-    held = held.groupBy("b3", "b2", "q3", "q2").agg(F.sum("h").alias("h")).orderBy("b3", "b2", "q3", "q2").toArrow()  # few distinct ratios
-    b3, b2, h = (held.column(c).to_numpy() for c in ("b3", "b2", "h"))
-    ratios = [np.nan_to_num(2.0 ** (held.column(c).to_numpy().astype(np.float64) / 4), nan=0) for c in ("q3", "q2")]
-    return {"runs": runs, **tables, "run_weights": run_weights(b3, b2, np.stack([*ratios, np.ones(len(h))], axis=1), h, settings.steps)}
+#: What a text counts for: to learn from, held out for the weights, or only to be scored.
+LEARNED, HELD, SCORED = 0, 1, 2
 
+_GROUP = ("group", "words", "ids", "lengths", "roles", "doc_ids", "tokens", "asks")
 
-def _frame_of(spark, own: dict[bytes, int]) -> DataFrame:
-    return spark.createDataFrame([(bytearray(t),) for t in own], "token binary")
 
+class _Open:
+    """The texts of a group that is being filled."""
+
+    def __init__(self):
+        self.known, self.ids, self.lengths, self.roles, self.doc_ids, self.total = {END: 0}, [], [], [], [], 0
 
-def _scored(batches, sent) -> Iterator[pa.RecordBatch]:
-    s = sent.value
-    classes, codes, width, chance = Classes(s["own"], s["first"], s["shared"]), Codes(), s["first"] + s["shared"], s["chance"]
-    head, own, sizes, scale = s["head"], s["own"], s["sizes"], s["scale"]
-    base = {t: np.log10((n + 1) / scale) for t, n in head.items()}
-    share = {t: 1.0 if t in own else (n + 1) / sizes[classes.class_of(t)] for t, n in head.items()}
+    def add(self, doc_id, role: int, tokens: list[bytes]) -> None:
+        known = self.known
+        for token in set(tokens).difference(known):
+            known[token] = len(known)
+        self.ids.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
+        self.lengths.append(len(tokens))
+        self.roles.append(role)
+        self.doc_ids.append(doc_id)
+        self.total += len(tokens)
+
+    def row(self, asks: bool, id_type: pa.DataType) -> pa.RecordBatch:
+        """Frequent words have small numbers, words equally frequent go by the alphabet; the end is number 0."""
+        ids, kinds = np.concatenate(self.ids), list(self.known)
+        times = np.bincount(ids, minlength=len(kinds)).tolist()
+        order = [0, *sorted(range(1, len(kinds)), key=lambda i: (-times[i], kinds[i]))]
+        place = np.empty(len(kinds), np.int64)
+        place[order] = np.arange(len(kinds))
+        shape = pa.struct([("n", pa.int64()), ("width", pa.int32()), ("data", pa.binary())])
+        packs = [_text([kinds[i] for i in order]), *(_packed(np.asarray(x, np.int64)) for x in (place[ids], self.lengths, self.roles))]
+        columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.array([dict(zip(("n", "width", "data"), p))], shape) for p in packs)]
+        columns += [pa.array([self.doc_ids], pa.list_(id_type)), pa.array([len(ids)], pa.int64()), pa.array([asks])]
+        return pa.record_batch(columns, list(_GROUP))
+
+
+def _text(words: list[bytes]) -> tuple[int, int, bytes]:
+    text = b"\n".join(words)
+    return len(text), 1, pa.Codec("zstd", 3).compress(text, asbytes=True)
+
+
+def _plain(packed: tuple[int, int, bytes]) -> bytes:
+    return pa.Codec("zstd").decompress(packed[2], packed[0], asbytes=True)
+
+
+def _grouped(batches, words: int, tokens: int, asks: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each group of texts, closed when it has so many distinct words or tokens; held out texts have groups of their own."""
+    filled = {False: _Open(), True: _Open()}
+    id_type = None
     for batch in small_batches(batches):
-        rows, runs = [], []
-        for text in batch.column("text"):
-            tokens = tokens_of(text.as_py())
-            after = classes.of(tokens)
-            before = np.concatenate([[width], after[:-1]])
-            shares = np.fromiter((share.get(t, 0.0) for t in tokens), np.float64, len(tokens))
-            u, v, w = _runs(codes.of(tokens))
-            _, at, n_at = np.unique(_joined(u, w), return_index=True, return_counts=True)
-            rare = shares[at] == 0
-            by_class = chance[before[at], after[at]] * np.where(rare, 1 / sizes[after[at]], shares[at])
-            runs.append((u[at], v[at], w[at], by_class, rare, n_at))
-            times = Counter(tokens)
-            known, base_score, rest = 0, 0.0, []
-            for token, n in times.items():
-                if token in base:
-                    known += n
-                    base_score += n * base[token]
-                else:
-                    rest.append({"token": token, "n": n})
-            rows.append((len(tokens), known, base_score, rest))
-        n, known, base_scores, rest = zip(*rows)
-        kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
-        columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base_scores, pa.float64())]
-        ends = np.cumsum([0, *(len(r[0]) for r in runs)]).astype(np.int32)
-        u, v, w, by_class, rare, times = map(np.concatenate, zip(*runs))
-        parts = [*(pa.array(x.view(np.int64)) for x in (u, v, w)), pa.array(by_class), pa.array(rare), pa.array(times.astype(np.int64))]
-        listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["u", "v", "w", "by_class", "rare", "times"]))
-        yield pa.record_batch([batch.column("doc_id"), *columns, pa.array(rest, kind), listed], ["doc_id", "n_tokens", "n_known", "base_score", "rest", "runs"])
+        id_type = batch.schema.field("doc_id").type
+        for doc, text, role in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("role").to_pylist()):
+            group = filled[role == HELD]
+            group.add(doc, role, tokens_of(text.as_py()))
+            if group.total >= tokens or len(group.known) >= words:
+                yield group.row(asks, id_type)
+                filled[role == HELD] = _Open()
+    for group in filled.values():
+        if group.total:
+            yield group.row(asks, id_type)
+
+
+def _groups_of(docs: DataFrame, role: Column, settings: Settings, asks: bool = True) -> DataFrame:
+    """The texts of ``docs`` (doc_id, text) as a written table of groups; later steps read these, never the texts."""
+    for_long_texts(docs.sparkSession)
+    given = docs.select("doc_id", "text", role.cast("int").alias("role"))
+    id_type = given.schema["doc_id"].dataType.simpleString()
+    pack = "struct<n:long,width:int,data:binary>"
+    schema = f"group long, words {pack}, ids {pack}, lengths {pack}, roles {pack}, doc_ids array<{id_type}>, tokens long, asks boolean"
+
+    return stage_table(given.mapInArrow(lambda it: _grouped(it, settings.buffered, settings.buffered_runs, asks), schema), "text-groups")
+
+
+class Group:
+    """The texts of a group, token by token, with its own counts and, once they have come, those of the corpus.
+
+    Counts are of two rows: learned and held out. Distinct keys are sorted by code, so each bucket of codes is a slice.
+    """
+
+    def __init__(self, row: tuple, answers: dict[int, dict[int, tuple]], buckets: int, place: int = 0):
+        self.row, self.answers, self.buckets, self.place = dict(zip(_GROUP, row)), answers, buckets, place
+        self.ids, self.lengths, self.roles = (_unpacked(self.row[c]).astype(kind) for c, kind in (("ids", np.int32), ("lengths", np.int64), ("roles", np.int8)))
+        self.text = _plain(self.row["words"])
+        self.words = self.text.split(b"\n")
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.role = np.repeat(self.roles, self.lengths)
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[self.starts] = True
+
+    def _own(self, of: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(of[self.role == k], minlength=n) for k in (LEARNED, HELD)])
+
+    def _all(self, level: int, own: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the corpus for the distinct keys, and which of them other groups have, too; the group's own where nothing was asked."""
+        got, out = self.answers[level], np.concatenate([own, np.zeros((1, own.shape[1]), np.int64)])
+        if len(asked):
+            for k in range(3):
+                out[k, asked] = np.concatenate([_unpacked(got[b][k]) for b in sorted(got)]).astype(np.int64)
+        return out[:2], out[2] > 0
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return np.concatenate([np.ones(1, np.uint64), _long_codes(np.frombuffer(self.text, np.uint8))])
+
+    @cached_property
+    def dealt(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words ordered by bucket, and the buckets in that order."""
+        of = _dealt(self.codes, self.buckets)
+        order = np.argsort(of, kind="stable")
+        return order, of[order]
+
+    @cached_property
+    def own_words(self) -> np.ndarray:
+        return self._own(self.ids, len(self.words))
+
+    @cached_property
+    def all_words(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._all(1, self.own_words, self.dealt[0])
+
+    @cached_property
+    def pair_codes(self) -> np.ndarray:
+        codes = self.codes[self.ids]
+        before = np.concatenate([np.zeros(1, np.uint64), codes[:-1]])
+        before[self.first] = 0
+        return _joined(before, codes)
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs, a place of each, and the pair of each place."""
+        return _distinct(self.pair_codes)
+
+    @cached_property
+    def own_pairs(self) -> np.ndarray:
+        return self._own(self.pairs[2], len(self.pairs[0]))
+
+    @cached_property
+    def asked_pairs(self) -> np.ndarray:
+        """Pairs of two words that other groups have, too."""
+        elsewhere = self.all_words[1]
+        at = self.pairs[1]
+        return np.flatnonzero((self.first[at] | elsewhere[self.ids[at - 1]]) & elsewhere[self.ids[at]])
+
+    @cached_property
+    def all_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._all(2, self.own_pairs, self.asked_pairs)
+
+    @cached_property
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct runs of three, a place of each, and the run of each place."""
+        before = np.concatenate([np.zeros(1, np.uint64), self.pair_codes[:-1]])
+        before[self.first] = 0
+        return _distinct(_joined(before, self.codes[self.ids]))
+
+    @cached_property
+    def own_runs(self) -> np.ndarray:
+        return self._own(self.runs[2], len(self.runs[0]))
+
+    @cached_property
+    def asked_runs(self) -> np.ndarray:
+        """Runs of two pairs that other groups have, too."""
+        elsewhere = self.all_pairs[1]
+        at, of = self.runs[1], self.pairs[2]
+        return np.flatnonzero((self.first[at] | elsewhere[of[at - 1]]) & elsewhere[of[at]])
+
+    @cached_property
+    def all_runs(self) -> np.ndarray:
+        return self._all(3, self.own_runs, self.asked_runs)[0]
+
+    def asked(self, level: int) -> Iterator[tuple[int, tuple]]:
+        """For each bucket with keys: the group's partition and number, the keys and their two counts."""
+        if level == 1:
+            order, of = self.dealt
+            own = self.own_words
+        else:
+            keys, order, own = (self.pairs[0], self.asked_pairs, self.own_pairs) if level == 2 else (self.runs[0], self.asked_runs, self.own_runs)
+            of = _dealt(keys[order], self.buckets)
+        cuts = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+        for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            part = order[at:end]
+            if level == 1:
+                sent = _text([self.words[i] for i in part.tolist()])
+            else:
+                sent = _packed(np.diff(keys[part], prepend=np.uint64(0)))
+            yield int(of[at]), ((self.place, self.row["group"]), sent, _packed(own[0, part]), _packed(own[1, part]))
+
+    def contexts(self, at: np.ndarray, k: int | None = None) -> tuple[np.ndarray, ...]:
+        """For runs at these places: counts of the two words before, of the pair, of the word before, and of the word.
+
+        ``k`` chooses one of the two rows of counts; without it they are added.
+        """
+        words, pairs = (c.sum(axis=0) if k is None else c[k] for c, _ in (self.all_words, self.all_pairs))
+        first, of = self.first[at], self.pairs[2]
+        return np.where(first, words[0], pairs[of[at - 1]]), pairs[of[at]], np.where(first, words[0], words[self.ids[at - 1]]), words[self.ids[at]]
+
+    def cells(self, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+        """The class before each token, and its own."""
+        after = classes.of(self.words)[self.ids]
+        before = np.concatenate([[0], after[:-1]])
+        before[self.first] = classes.first + classes.shared
+        return before, after
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes in order, a place of each, and the number of the code at each place."""
+    order = np.argsort(codes)
+    ordered = codes[order]
+    fresh = np.ones(len(codes), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    of = np.empty(len(codes), np.int32)
+    of[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return ordered[fresh], order[fresh], of
+
+
+def _dealt(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each code, in the order of codes."""
+    return ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _groups(zipped: Iterable, buckets: int) -> Iterator[Group]:
+    """Groups of a partition, one at a time; until then they and their answers stay packed."""
+    for given, back in zipped:
+        answers = defaultdict(lambda: defaultdict(dict))
+        for _, (group, level, bucket_, *counts) in back:
+            answers[group][level][bucket_] = counts
+        for place, row in given:
+            yield Group(row, answers.pop(row[0], defaultdict(dict)), buckets, place)
+
+
+def _summed(rows: Iterable, level: int) -> tuple[list, np.ndarray, np.ndarray, list]:
+    """The keys sent to a bucket, the number of each key, the sums of its two counts, and who sent how many of them."""
+    sent, keys = [], []
+    for _, (group, given, *counts) in rows:
+        n, h = map(_unpacked, counts)
+        sent.append((group, len(n), n, h))
+        if level == 1:
+            keys.append(pa.array(_plain(given).split(b"\n"), pa.large_binary()))
+        else:
+            keys.append(np.cumsum(_unpacked(given).astype(np.uint64), dtype=np.uint64))
+    if not sent:
+        return [], np.empty(0, np.int64), np.empty((2, 0), np.int64), []
+    if level == 1:
+        coded = pa.concat_arrays(keys).dictionary_encode()
+        kinds, of = coded.dictionary, coded.indices.to_numpy()
+    else:
+        kinds, of = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.stack([np.bincount(of, np.concatenate([s[k] for s in sent]), len(kinds)).astype(np.int64) for k in (2, 3)])
+    return kinds, of, sums, [s[:2] for s in sent]
+
+
+def _by_bucket(rows: Iterable) -> Iterable[tuple[int, list]]:
+    held = defaultdict(list)
+    for row in rows:
+        held[row[0]].append(row)
+    return held.items()
+
+
+def _answers(rows: Iterable, level: int) -> Iterator[tuple[int, tuple]]:
+    for bucket_, held in _by_bucket(rows):
+        _, of, sums, sent = _summed(held, level)
+        shared, at = np.bincount(of) > 1, 0  # a group sends a key once
+        for (place, group), n in sent:
+            part = of[at : at + n]
+            yield place, (group, level, bucket_, *(_packed(x[part]) for x in (*sums, shared)))
+            at += n
+
+
+def _as_they_are(key: int) -> int:
+    return key
+
+
+#: Bytes of packed groups that one task reads.
+READ = 16 << 20
+
+
+class Exchange:
+    """Groups, which stay where they are read, and beside them the counts that have come back; each step adds one kind."""
+
+    def __init__(self, groups: DataFrame):
+        spark = groups.sparkSession
+        self.context = spark.sparkContext
+        tokens = groups.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        self.buckets = max(self.context.defaultParallelism, -(-tokens // (1 << 21)))
+        packed = lambda p: (p.n, p.width, bytes(p.data))
+        row = lambda r: (r.group, *map(packed, (r.words, r.ids, r.lengths, r.roles)), r.doc_ids, r.tokens, r.asks)
+        name = "spark.sql.files.maxPartitionBytes"
+        before = spark.conf.get(name)
+        spark.conf.set(name, READ)
+        try:
+            self.given = groups.rdd.mapPartitionsWithIndex(lambda place, rows: ((place, row(r)) for r in rows))
+            self.given = self._padded(self.given, 1)
+        finally:
+            spark.conf.set(name, before)
+        self.back = None
+
+    def _padded(self, rows: RDD, parts: int) -> RDD:
+        """With empty partitions at the end, if there are fewer than ``parts``."""
+        more = parts - rows.getNumPartitions()
+        return rows.union(self.context.parallelize([], more)) if more > 0 else rows
+
+    def _zipped(self) -> RDD:
+        back = self.back if self.back is not None else self.context.parallelize([], self.given.getNumPartitions())
+        return self.given.glom().zip(back.glom())  # one list of each to a partition
+
+    def sent(self, level: int) -> RDD:
+        return self.each(lambda group: group.asked(level)).partitionBy(self.buckets, _as_they_are)
+
+    def answered(self, sent: RDD, level: int) -> None:
+        back = sent.mapPartitions(lambda rows: _answers(rows, level)).partitionBy(self.given.getNumPartitions(), _as_they_are)
+        self.given = self._padded(self.given, back.getNumPartitions())
+        self.back = back if self.back is None else self.back.union(back).partitionBy(back.getNumPartitions(), _as_they_are)  # both lie alike, nothing moves
+
+    def each(self, function) -> RDD:
+        """What ``function`` yields of each group."""
+        buckets = self.buckets
+        return self._zipped().mapPartitions(lambda rows: (out for group in _groups(rows, buckets) for out in function(group)))
+
+
+def _frequent(rows: Iterable, own: int, shared: int) -> Iterator[tuple]:
+    """The most frequent tokens of a partition's buckets, all tokens, distinct ones, and both by shared class."""
+    top, total, distinct, sizes = [], 0, 0, np.zeros(shared, np.int64)
+    for _, held in _by_bucket(rows):
+        kinds, _, sums, _ = _summed(held, 1)
+        n = sums.sum(axis=0)
+        seen = np.flatnonzero(n)
+        tokens = kinds.take(pa.array(seen)).to_pylist()
+        total, distinct = total + int(n.sum()), distinct + len(seen)
+        sizes += np.bincount([zlib.crc32(t) % shared for t in tokens], n[seen] + 1, shared).astype(np.int64)
+        top = heapq.nsmallest(own, [*top, *zip((-n[seen]).tolist(), tokens)])
+    yield top, total, distinct, sizes
+
+
+def _counts(groups: DataFrame, own: int, shared: int) -> tuple[Exchange, tuple]:
+    """All counts that the groups need, and what `_frequent` finds in the whole corpus."""
+    exchange = Exchange(groups)
+    sent = exchange.sent(1)
+    found = sent.mapPartitions(lambda rows: _frequent(rows, own, shared)).treeReduce(lambda a, b: (heapq.nsmallest(own, [*a[0], *b[0]]), *map(add, a[1:], b[1:])))
+    exchange.answered(sent, 1)
+    for level in (2, 3):
+        exchange.answered(exchange.sent(level), level)
+    return exchange, found
+
+
+#: Class pairs are added up in blocks of so many cells.
+BLOCK = 1 << 15
+
+
+def _class_pairs(exchange: Exchange, classes: Classes) -> np.ndarray:
+    """Counts of class pairs, of learned and of held out texts."""
+    width = classes.first + classes.shared
+    size = (width + 1) * width
+    known = exchange.context.broadcast(classes)
+
+    def counted(zipped):
+        cells = np.zeros(2 * size, np.int64)
+        for group in _groups(zipped, 1):
+            before, after = group.cells(known.value)
+            counts = group.role != SCORED
+            cells += np.bincount((group.role.astype(np.int64) * size + before * width + after)[counts], minlength=2 * size)
+        for at in range(0, 2 * size, BLOCK):
+            if cells[at : at + BLOCK].any():
+                yield at // BLOCK, _packed(cells[at : at + BLOCK])
+
+    def added(rows):
+        for block, held in _by_bucket(rows):
+            yield block, _packed(sum(_unpacked(packed) for _, packed in held))
+
+    cells = np.zeros(2 * size)  # whole on the driver: at most twice the square of the classes
+    blocks = exchange.given.glom().map(lambda given: (given, [])).mapPartitions(counted).partitionBy(-(-2 * size // BLOCK), _as_they_are)
+    for block, packed in blocks.mapPartitions(added).collect():
+        part = _unpacked(packed)
+        cells[block * BLOCK : block * BLOCK + len(part)] = part
+    return cells.reshape(2, width + 1, width)
+
+
+def _bucket_of(times: np.ndarray) -> np.ndarray:
+    return np.minimum(bucket(times), BUCKETS - 1)
+
+
+def _by_class(group: Group, at: np.ndarray, wn: np.ndarray, known: dict) -> np.ndarray:
+    before, after = (x[at] for x in group.cells(known["classes"]))
+    return known["chance"][before, after] * np.where(after < known["classes"].first, 1, (wn + 1) / known["sizes"][after])
+
+
+def _ratios(group: Group, known: dict) -> Iterator[tuple[tuple, int]]:
+    """Held-out runs, counted by their buckets and by the ratios of their estimates in quarter powers of two."""
+    if not (group.roles == HELD).any():
+        return
+    held = np.flatnonzero(group.own_runs[HELD])
+    at = group.runs[1][held]
+    un, pn, vn, wn = group.contexts(at, LEARNED)
+    low = _by_class(group, at, wn, known)
+    columns = [_bucket_of(un), _bucket_of(vn)]
+    for count, context in ((group.all_runs[LEARNED, held], un), (pn, vn)):
+        with np.errstate(divide="ignore"):
+            ratio = np.round(4 * np.log2(count / np.maximum(context, 1) / low))
+        columns.append(np.where(count > 0, ratio, NEVER).astype(np.int64))
+    kinds, of = np.unique(np.stack(columns), axis=1, return_inverse=True)
+    yield from zip(map(tuple, kinds.T.tolist()), np.bincount(of.ravel(), group.own_runs[HELD, held]).astype(np.int64).tolist())
+
+
+#: Stands for the ratio of a run never seen.
+NEVER = -(1 << 30)
+
+
+def learn(docs: DataFrame, apart: Column, settings: Settings = Settings()) -> dict:
+    """A model of ``docs`` (doc_id, text); rows where ``apart`` holds set the weights, all rows the counts."""
+    groups = _groups_of(docs, F.when(apart, HELD).otherwise(LEARNED), settings, asks=False)
+    return _learned(groups, settings)[0]
+
+
+def _learned(groups: DataFrame, settings: Settings) -> tuple[dict, Exchange]:
+    """The model of the groups, and their counts."""
+    exchange, (top, total, distinct, kinds) = _counts(groups, settings.own, settings.shared)
+    own = {token: i for i, (_, token) in enumerate(top)}
+    classes = Classes(own, settings.own, settings.shared)
+    learned, held = _class_pairs(exchange, classes)
+    weights = mix_weights(learned, held, settings.steps)
+    chance, learned_chance = (_chance(c, weights) for c in (learned + held, learned))
+    sizes = np.ones(settings.classes)  # of each shared class: tokens and distinct tokens
+    sizes[settings.own :] += kinds
+    for n, token in top:
+        sizes[classes.class_of(token)] -= 1 - n
+    known = groups.sparkSession.sparkContext.broadcast({"classes": classes, "chance": learned_chance, "sizes": sizes})
+    ratios = sorted(exchange.each(lambda group: _ratios(group, known.value)).reduceByKey(add).collect())  # few distinct ratios
+    b3, b2, q3, q2 = np.array([key for key, _ in ratios], np.int64).reshape(-1, 4).T
+    times = np.array([n for _, n in ratios], np.int64)
+    estimates = [np.where(q == NEVER, 0, 2.0 ** (q / 4)) for q in (q3, q2)]
+    found = run_weights(b3, b2, np.stack([*estimates, np.ones(len(times))], axis=1), times, settings.steps)
+    model = {"groups": groups, "own": own, "total": total, "distinct": distinct, "chance": chance, "sizes": sizes, "settings": settings, "run_weights": found}
+    return model, exchange
+
+
+def _scored(group: Group, known: dict) -> Iterator[tuple]:
+    """A row for each text of a group."""
+    if not group.row["asks"]:
+        return
+    words = group.all_words[0].sum(axis=0)
+    at = group.runs[1]
+    un, pn, vn, wn = group.contexts(at)
+    three, two, low = known["run_weights"][_bucket_of(un) * BUCKETS + _bucket_of(vn)].T
+    chance = three * group.all_runs.sum(axis=0) / np.maximum(un, 1) + two * pn / np.maximum(vn, 1) + low * _by_class(group, at, wn, known)
+    sums = [np.add.reduceat(x, group.starts).tolist() for x in ((words > 0).astype(np.int64)[group.ids], np.log10((words + 1) / known["scale"])[group.ids], np.log10(chance)[group.runs[2]])]
+    for doc, n, seen, base, score_ in zip(group.row["doc_ids"], group.lengths.tolist(), *sums):
+        yield doc, n, seen, known["total"], base, score_
+
+
+def _scores(exchange: Exchange, model: dict, schema) -> DataFrame:
+    groups, settings = model["groups"], model["settings"]
+    spark = groups.sparkSession
+    sent = {k: model[k] for k in ("chance", "sizes", "total", "run_weights")}
+    sent |= {"classes": Classes(model["own"], settings.own, settings.shared), "scale": model["total"] + model["distinct"] + 1}
+    known = spark.sparkContext.broadcast(sent)
+    columns = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    id_type = schema["doc_id"].dataType.simpleString()
+    return spark.createDataFrame(exchange.each(lambda group: _scored(group, known.value)), f"doc_id {id_type}, {columns}")
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -370,68 +641,18 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     ``score`` is the base-10 logarithm of the model's probability of the whole text with its end, ``base_score`` that of
     single tokens smoothed by one. A missing or empty text has its end alone; repeated rows each have a score; an empty
-    table gives an empty one, and an empty corpus a model of equal shares; other columns are left out.
+    table gives an empty one, and an empty corpus a model of equal shares; other columns are left out. The texts meet the
+    groups of the corpus; where both are one table, `learn_and_score` has each text once.
     """
-    spark = docs.sparkSession
-    for_long_texts(spark)
     settings: Settings = model["settings"]
-    scale = model["total"] + model["distinct"] + 1
-    sent = spark.sparkContext.broadcast(
-        {
-            "own": model["own"],
-            "first": settings.own,
-            "shared": settings.shared,
-            "chance": model["chance"],
-            "head": model["head"],
-            "sizes": model["sizes"],
-            "scale": scale,
-        }
-    )
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_tokens long, n_known long, base_score double, rest array<struct<token:binary,n:long>>"
-    schema += ", runs array<struct<u:long,v:long,w:long,by_class:double,rare:boolean,times:long>>"
-    texts = docs.select("doc_id", "text").mapInArrow(lambda it: _scored(it, sent), schema)
-    texts = stage_table(texts.withColumn("row", F.monotonically_increasing_id()), "text-scores")
-    rare = texts.select("row", F.explode("rest").alias("one")).select("row", "one.token", F.col("one.n").alias("times"))
-    seen = F.coalesce(F.col("n"), F.lit(0))
-    met = rare.join(model["counts"], "token", "left").select(
-        "row",
-        F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"),
-        (F.col("times") * F.log10((seen + 1) / F.lit(float(scale)))).alias("base"),
-    )
-    sums = met.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base")])
-    out = texts.drop("rest", "runs").join(sums, "row", "left").join(_run_scores(texts, model), "row", "left")
-    zero = F.lit(0)
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", zero)).alias("n_known"),
-        F.lit(model["total"]).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("base", zero)).alias("base_score"),
-        "score",
-    )
-
-
-def _run_scores(texts: DataFrame, model: dict) -> DataFrame:
-    """Sums of logarithms for each row of ``texts`` (row, runs); runs that no text of the corpus has meet pairs and contexts."""
-    weights = F.array(*[F.lit(float(x)) for x in model["run_weights"].ravel()])
-
-    def log_chance(n: Column, un: Column, pn: Column, vn: Column, wn: Column) -> Column:
-        n, un, pn, vn, wn = (F.coalesce(c, F.lit(0)) for c in (n, un, pn, vn, wn))
-        at = (_bucket_of(un) * BUCKETS + _bucket_of(vn)) * 3
-        three, two, low = (F.get(weights, at + k) for k in range(3))
-        by_class = F.col("by_class") * F.when(F.col("rare"), wn + 1).otherwise(1)
-        return F.col("times") * F.log10(three * n / F.greatest(un, F.lit(1)) + two * pn / F.greatest(vn, F.lit(1)) + low * by_class)
-
-    def both(name: str) -> Column:
-        return F.col(f"{name}n") + F.col(f"{name}h")
-
-    counts = model["runs"].select("u", "w", (F.col("n") + F.col("h")).alias("n"), *[both(x).alias(f"n_{x}") for x in "upvw"])
-    met = texts.select("row", F.inline("runs")).join(counts, ["u", "w"], "left")
-    found = F.col("n").isNotNull()
-    rest = [F.when(~found, F.col(c)).alias(c) for c in ("u", "v", "w", "by_class", "rare", "times")]
-    met = stage_table(met.select("row", F.when(found, log_chance(F.col("n"), *[F.col(f"n_{x}") for x in "upvw"])).alias("log"), *rest), "met-runs")
-    new = met.where("log IS NULL").drop("log").join(model["twos"], "u", "left").join(model["pairs"], ["v", "w"], "left")
-    new = new.join(model["ones"], "v", "left").join(model["words"], "w", "left")
-    new = new.select("row", log_chance(F.lit(0), *[both(x) for x in "upvw"]).alias("log"))
-    return met.where("log IS NOT NULL").select("row", "log").unionByName(new).groupBy("row").agg(F.sum("log").alias("score"))
+    groups = _groups_of(docs, F.lit(SCORED), settings)
+    learned = model["groups"].withColumn("doc_ids", F.lit(None).cast(groups.schema["doc_ids"].dataType))
+    exchange, _ = _counts(learned.unionByName(groups), settings.own, settings.shared)
+    return _scores(exchange, model, docs.schema)
+
+
+def learn_and_score(docs: DataFrame, learned: Column, apart: Column, settings: Settings = Settings()) -> DataFrame:
+    """`score` of all ``docs`` by the model of those where ``learned`` holds; of these, rows where ``apart`` holds set the weights."""
+    groups = _groups_of(docs, F.when(learned, F.when(apart, HELD).otherwise(LEARNED)).otherwise(SCORED), settings)
+    model, exchange = _learned(groups, settings)
+    return _scores(exchange, model, docs.schema)

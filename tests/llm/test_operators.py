@@ -469,6 +469,30 @@ def test_language_model_counts_runs_of_words(spark):
         assert math.isclose(total, 1, rel_tol=1e-6), (a, b, total)
 
 
+def test_language_model_scores_its_own_corpus_in_one_go(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    given = [(i, None if i == 5 else " ".join(rng.choices(words, k=30) + [f"only{i // 3}", "a", "b"])) for i in range(90)]
+    docs, rest = frame(spark, given), F.col("doc_id") % 7
+    settings = lm_score.Settings(own=6, shared=3, buffered=60, buffered_runs=200)  # many groups, so texts to be scored meet runs of others
+    split = lm_score.score(docs, lm_score.learn(docs.where(rest != 2), rest == 3, settings))
+    whole = lm_score.learn_and_score(docs, rest != 2, rest == 3, settings)
+    split, whole = ({r.doc_id: r for r in df.collect()} for df in (split, whole))
+    assert len(whole) == len(given) and whole.keys() == split.keys()
+    for doc, r in whole.items():
+        assert r[:4] == split[doc][:4] and math.isclose(r.score, split[doc].score, rel_tol=1e-9), doc
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    for given in ([], [0], [255, 0], [256, 3], [1 << 32, 7], [(1 << 64) - 1, 0]):
+        values = np.array(given, np.uint64)
+        assert lm_score._unpacked(lm_score._packed(values)).tolist() == given
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 200_000, np.uint64))
+    assert len(lm_score._packed(np.diff(keys, prepend=np.uint64(0)))[2]) < 7 * len(keys)
+
+
 def test_url_filter_against_its_sql(spark):
     import duckdb
 
