@@ -103,12 +103,14 @@ class Vocabulary:
             else:
                 out[i] = rank.to_bytes(4, "little")
         if open_:
-            ids = self._merge([tokens[i] for i in open_])
+            some = [tokens[i] for i in open_]
+            ids = self._merge(some)
+            starts = ids >= 0
+            packed = ids[starts].astype("<u4").tobytes()
+            ends = 4 * np.cumsum(starts)[np.cumsum([len(token) for token in some]) - 1]
             at = 0
-            for i in open_:
-                end = at + len(tokens[i])
-                some = ids[at:end]
-                out[i] = some[some >= 0].astype("<u4").tobytes()
+            for i, end in zip(open_, ends.tolist()):
+                out[i] = packed[at:end]
                 at = end
         return out
 
