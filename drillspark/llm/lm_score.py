@@ -4,9 +4,9 @@ A token's probability mixes three maximum-likelihood estimates: after the two wo
 it, and by classes. The weights of the mix depend on how often the two contexts occur (buckets by powers of two) and are
 learned by expectation-maximisation on the runs of a part of the corpus that the estimates did not see.
 
-Texts are written once as groups of bounded size: the distinct words of a group and their numbers, token by token. Counts
-of words, then of pairs, then of runs of three come to the groups by one exchange each: a group sends its distinct keys with
-its own counts, dealt by key, packed; the sums go back in the same order. A context counts as often as the word, or the
+Texts are read once into groups of bounded size: the distinct words of a group and their numbers, token by token. Groups
+are dealt once, and stay where they are. Counts of words, then of pairs, then of runs of three come to them by one exchange
+each: a group sends its distinct keys with its own counts, dealt by key, packed; the sums go back in the same order. A context counts as often as the word, or the
 pair, it is made of, so contexts need no counts of their own. What a group need not ask is left out without loss: where a
 word or pair occurs in no other group, no run that holds it does. Words are compared as they are, pairs and runs of three as
 64-bit codes.
@@ -19,24 +19,25 @@ for tokens never seen, so probabilities add up to one.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
+import pyarrow.compute as pc
+from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
-from .frames import for_long_texts, ship, small_batches
-from .word_codes import _long_codes
+from .frames import for_long_texts, ship
+from .word_codes import SLICE, _long_codes
 
 ship(__name__)
 
@@ -185,32 +186,63 @@ LEARNED, HELD, SCORED = 0, 1, 2
 _GROUP = ("group", "words", "ids", "lengths", "roles", "doc_ids", "tokens", "asks")
 
 
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """`tokens_of` each text, in one row as numbers of words, how many a text has, and the words."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    # the space behind the last word leaves an empty word, the end
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.equal(plain, ""), plain, pc.binary_join_element_wise(plain, "", " ")))
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy(), coded.dictionary.cast(pa.binary())
+
+
 class _Open:
     """The texts of a group that is being filled."""
 
     def __init__(self):
-        self.known, self.ids, self.lengths, self.roles, self.doc_ids, self.total = {END: 0}, [], [], [], [], 0
-
-    def add(self, doc_id, role: int, tokens: list[bytes]) -> None:
-        known = self.known
-        for token in set(tokens).difference(known):
-            known[token] = len(known)
-        self.ids.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
-        self.lengths.append(len(tokens))
-        self.roles.append(role)
-        self.doc_ids.append(doc_id)
-        self.total += len(tokens)
-
-    def row(self, asks: bool, id_type: pa.DataType) -> pa.RecordBatch:
-        """Frequent words have small numbers, words equally frequent go by the alphabet; the end is number 0."""
-        ids, kinds = np.concatenate(self.ids), list(self.known)
-        times = np.bincount(ids, minlength=len(kinds)).tolist()
-        order = [0, *sorted(range(1, len(kinds)), key=lambda i: (-times[i], kinds[i]))]
-        place = np.empty(len(kinds), np.int64)
-        place[order] = np.arange(len(kinds))
+        self.words, self.kinds = [pa.array([END], pa.binary())], 1
+        self.ids, self.lengths, self.roles, self.doc_ids, self.total = [], [], [], [], 0
+
+    def add(self, texts: pa.RecordBatch) -> None:
+        ids, lengths, words = _tokens(texts.column("text"))
+        self.ids.append((ids + self.kinds).astype(np.int32))
+        self.words.append(words)
+        self.kinds += len(words)
+        self.lengths.append(lengths)
+        self.roles.append(texts.column("role").to_numpy())
+        self.doc_ids += texts.column("doc_id").to_pylist()
+        self.total += len(ids)
+
+    def merge(self) -> None:
+        """Give each word one number; the end is number 0."""
+        coded = pa.concat_arrays(self.words).dictionary_encode()
+        self.ids = [coded.indices.to_numpy()[np.concatenate(self.ids)]]
+        self.words, self.kinds = [coded.dictionary], len(coded.dictionary)
+
+    def full(self, words: int, tokens: int) -> bool:
+        """Whether there are so many tokens, or half as many distinct words or more; never more than these and one slice."""
+        if self.kinds >= words:
+            self.merge()
+        return self.total >= tokens or len(self.words) == 1 and 2 * self.kinds >= words
+
+    def row(self, number: int, asks: bool, id_type: pa.DataType) -> pa.RecordBatch:
+        """Frequent words have small numbers, words equally frequent go by the alphabet; the end is number 0.
+
+        The group's name rests on its partition, its number there and what it holds, so a repeated task finds it again.
+        """
+        self.merge()
+        (ids,), (words,) = self.ids, self.words
+        times = np.bincount(ids, minlength=len(words))
+        times[0] = len(ids) + 1
+        order = pc.sort_indices(pa.table({"times": times, "word": words}), [("times", "descending"), ("word", "ascending")])
+        place = np.empty(len(words), np.int64)
+        place[order.to_numpy()] = np.arange(len(words))
         shape = pa.struct([("n", pa.int64()), ("width", pa.int32()), ("data", pa.binary())])
-        packs = [_text([kinds[i] for i in order]), *(_packed(np.asarray(x, np.int64)) for x in (place[ids], self.lengths, self.roles))]
-        columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.array([dict(zip(("n", "width", "data"), p))], shape) for p in packs)]
+        packs = [_text(words.take(order).to_pylist()), *(_packed(x.astype(np.int64)) for x in (place[ids], np.concatenate(self.lengths), np.concatenate(self.roles)))]
+        task = TaskContext.get()
+        name = hashlib.blake2b(b"%d %d " % (task.partitionId() if task else 0, number), digest_size=8)
+        for _, _, data in packs:
+            name.update(data)
+        columns = [pa.array([int.from_bytes(name.digest()) >> 1], pa.int64()), *(pa.array([dict(zip(("n", "width", "data"), p))], shape) for p in packs)]
         columns += [pa.array([self.doc_ids], pa.list_(id_type)), pa.array([len(ids)], pa.int64()), pa.array([asks])]
         return pa.record_batch(columns, list(_GROUP))
 
@@ -224,32 +256,45 @@ def _plain(packed: tuple[int, int, bytes]) -> bytes:
     return pa.Codec("zstd").decompress(packed[2], packed[0], asbytes=True)
 
 
+def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows with about so many bytes of text together, or a single longer one."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _grouped(batches, words: int, tokens: int, asks: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each group of texts, closed when it has so many distinct words or tokens; held out texts have groups of their own."""
-    filled = {False: _Open(), True: _Open()}
+    """A row for each group of texts, closed when it has enough distinct words or tokens; held out texts have groups of their own."""
+    filled, number = {False: _Open(), True: _Open()}, 0
     id_type = None
-    for batch in small_batches(batches):
+    for batch in batches:
         id_type = batch.schema.field("doc_id").type
-        for doc, text, role in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("role").to_pylist()):
-            group = filled[role == HELD]
-            group.add(doc, role, tokens_of(text.as_py()))
-            if group.total >= tokens or len(group.known) >= words:
-                yield group.row(asks, id_type)
-                filled[role == HELD] = _Open()
-    for group in filled.values():
+        for texts in _slices(batch, min(SLICE, 8 * words, 8 * tokens)):
+            apart = texts.column("role").to_numpy() == HELD
+            for held in filled:
+                part = texts.filter(pa.array(apart == held))
+                if len(part):
+                    filled[held].add(part)
+                    if filled[held].full(words, tokens):
+                        yield filled[held].row(number, asks, id_type)
+                        filled[held], number = _Open(), number + 1
+    for held, group in filled.items():
         if group.total:
-            yield group.row(asks, id_type)
+            yield group.row(number + held, asks, id_type)
 
 
 def _groups_of(docs: DataFrame, role: Column, settings: Settings, asks: bool = True) -> DataFrame:
-    """The texts of ``docs`` (doc_id, text) as a written table of groups; later steps read these, never the texts."""
+    """The texts of ``docs`` (doc_id, text) as groups, which are written once, by `stage_table` or as they are dealt."""
     for_long_texts(docs.sparkSession)
     given = docs.select("doc_id", "text", role.cast("int").alias("role"))
     id_type = given.schema["doc_id"].dataType.simpleString()
     pack = "struct<n:long,width:int,data:binary>"
     schema = f"group long, words {pack}, ids {pack}, lengths {pack}, roles {pack}, doc_ids array<{id_type}>, tokens long, asks boolean"
 
-    return stage_table(given.mapInArrow(lambda it: _grouped(it, settings.buffered, settings.buffered_runs, asks), schema), "text-groups")
+    return given.mapInArrow(lambda it: _grouped(it, settings.buffered, settings.buffered_runs, asks), schema)
 
 
 class Group:
@@ -269,7 +314,11 @@ class Group:
         self.first[self.starts] = True
 
     def _own(self, of: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(of[self.role == k], minlength=n) for k in (LEARNED, HELD)])
+        out = np.zeros((2, n), np.int64)
+        for k in (LEARNED, HELD):
+            if (self.roles == k).any():
+                out[k] = np.bincount(of if (self.roles == k).all() else of[self.role == k], minlength=n)
+        return out
 
     def _all(self, level: int, own: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of the corpus for the distinct keys, and which of them other groups have, too; the group's own where nothing was asked."""
@@ -364,19 +413,15 @@ class Group:
                 sent = _packed(np.diff(keys[part], prepend=np.uint64(0)))
             yield int(of[at]), ((self.place, self.row["group"]), sent, _packed(own[0, part]), _packed(own[1, part]))
 
-    def contexts(self, at: np.ndarray, k: int | None = None) -> tuple[np.ndarray, ...]:
-        """For runs at these places: counts of the two words before, of the pair, of the word before, and of the word.
-
-        ``k`` chooses one of the two rows of counts; without it they are added.
-        """
-        words, pairs = (c.sum(axis=0) if k is None else c[k] for c, _ in (self.all_words, self.all_pairs))
+    def contexts(self, at: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For runs at these places: counts of the two words before, of the pair, of the word before, and of the word."""
         first, of = self.first[at], self.pairs[2]
         return np.where(first, words[0], pairs[of[at - 1]]), pairs[of[at]], np.where(first, words[0], words[self.ids[at - 1]]), words[self.ids[at]]
 
     def cells(self, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
         """The class before each token, and its own."""
-        after = classes.of(self.words)[self.ids]
-        before = np.concatenate([[0], after[:-1]])
+        after = classes.of(self.words).astype(np.int32)[self.ids]
+        before = np.concatenate([np.zeros(1, np.int32), after[:-1]])
         before[self.first] = classes.first + classes.shared
         return before, after
 
@@ -397,14 +442,23 @@ def _dealt(codes: np.ndarray, buckets: int) -> np.ndarray:
     return ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _groups(zipped: Iterable, buckets: int) -> Iterator[Group]:
+#: Kinds of rows that meet in a partition: a group, counts that come back to one, and what a bucket of words has in all.
+GIVEN, BACK, FOUND = 0, 1, 2
+
+
+def _groups(rows: Iterable, buckets: int) -> Iterator[Group]:
     """Groups of a partition, one at a time; until then they and their answers stay packed."""
-    for given, back in zipped:
-        answers = defaultdict(lambda: defaultdict(dict))
-        for _, (group, level, bucket_, *counts) in back:
+    answers, given = defaultdict(lambda: defaultdict(dict)), []
+    for place, (kind, *row) in rows:
+        if kind == GIVEN:
+            given.append((place, row))
+        elif kind == BACK:
+            group, level, bucket_, *counts = row
             answers[group][level][bucket_] = counts
-        for place, row in given:
-            yield Group(row, answers.pop(row[0], defaultdict(dict)), buckets, place)
+    given.reverse()
+    while given:
+        place, row = given.pop()
+        yield Group(row, answers.pop(row[0], defaultdict(dict)), buckets, place)
 
 
 def _summed(rows: Iterable, level: int) -> tuple[list, np.ndarray, np.ndarray, list]:
@@ -435,13 +489,16 @@ def _by_bucket(rows: Iterable) -> Iterable[tuple[int, list]]:
     return held.items()
 
 
-def _answers(rows: Iterable, level: int) -> Iterator[tuple[int, tuple]]:
+def _answers(rows: Iterable, level: int, own: int, shared: int) -> Iterator[tuple[int, tuple]]:
+    """The sums for each group that has asked and, of words, what `_frequent` finds."""
     for bucket_, held in _by_bucket(rows):
-        _, of, sums, sent = _summed(held, level)
-        shared, at = np.bincount(of) > 1, 0  # a group sends a key once
+        kinds, of, sums, sent = _summed(held, level)
+        if level == 1:
+            yield bucket_, (FOUND, *_frequent(kinds, sums, own, shared))
+        elsewhere, at = np.bincount(of) > 1, 0  # a group sends a key once
         for (place, group), n in sent:
             part = of[at : at + n]
-            yield place, (group, level, bucket_, *(_packed(x[part]) for x in (*sums, shared)))
+            yield place, (BACK, group, level, bucket_, *(_packed(x[part]) for x in (*sums, elsewhere)))
             at += n
 
 
@@ -449,75 +506,72 @@ def _as_they_are(key: int) -> int:
     return key
 
 
-#: Bytes of packed groups that one task reads.
+#: Bytes of a file of texts or of packed groups that one task reads, and so keeps packed.
 READ = 16 << 20
 
 
 class Exchange:
-    """Groups, which stay where they are read, and beside them the counts that have come back; each step adds one kind."""
+    """Groups, dealt once, and beside them the counts that have come back; each step adds one kind.
+
+    Both are dealt to the same partitions by the same rule, so their union reads a partition of each and nothing moves.
+    """
 
-    def __init__(self, groups: DataFrame):
+    def __init__(self, groups: DataFrame, own: int, shared: int):
         spark = groups.sparkSession
-        self.context = spark.sparkContext
-        tokens = groups.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-        self.buckets = max(self.context.defaultParallelism, -(-tokens // (1 << 21)))
+        self.context, self.own, self.shared = spark.sparkContext, own, shared
         packed = lambda p: (p.n, p.width, bytes(p.data))
-        row = lambda r: (r.group, *map(packed, (r.words, r.ids, r.lengths, r.roles)), r.doc_ids, r.tokens, r.asks)
+        row = lambda r: (GIVEN, r.group, *map(packed, (r.words, r.ids, r.lengths, r.roles)), r.doc_ids, r.tokens, r.asks)
         name = "spark.sql.files.maxPartitionBytes"
         before = spark.conf.get(name)
         spark.conf.set(name, READ)
         try:
-            self.given = groups.rdd.mapPartitionsWithIndex(lambda place, rows: ((place, row(r)) for r in rows))
-            self.given = self._padded(self.given, 1)
+            read = groups.rdd.mapPartitionsWithIndex(lambda place, rows: ((place, row(r)) for r in rows))
+            self.given = read.partitionBy(max(1, read.getNumPartitions()), _as_they_are)
         finally:
             spark.conf.set(name, before)
+        tokens = self.given.map(lambda row: row[1][1 + _GROUP.index("tokens")]).sum()
+        self.buckets = max(self.context.defaultParallelism, -(-tokens // (1 << 21)))
         self.back = None
 
-    def _padded(self, rows: RDD, parts: int) -> RDD:
-        """With empty partitions at the end, if there are fewer than ``parts``."""
-        more = parts - rows.getNumPartitions()
-        return rows.union(self.context.parallelize([], more)) if more > 0 else rows
+    def answer(self, level: int) -> None:
+        """Ask for the counts of words, pairs or runs, and send back what they are in the whole corpus."""
+        own, shared = self.own, self.shared
+        sent = self.each(lambda group: group.asked(level)).partitionBy(self.buckets, _as_they_are)
+        back = sent.mapPartitions(lambda rows: _answers(rows, level, own, shared)).partitionBy(self.given.getNumPartitions(), _as_they_are)
+        self.back = back if self.back is None else self.back.union(back)
 
-    def _zipped(self) -> RDD:
-        back = self.back if self.back is not None else self.context.parallelize([], self.given.getNumPartitions())
-        return self.given.glom().zip(back.glom())  # one list of each to a partition
+    def found(self) -> tuple:
+        """What `_frequent` finds in the whole corpus."""
+        own, none = self.own, ([], 0, 0, np.zeros(self.shared, np.int64))
 
-    def sent(self, level: int) -> RDD:
-        return self.each(lambda group: group.asked(level)).partitionBy(self.buckets, _as_they_are)
+        def both(a: tuple, b: tuple) -> tuple:
+            return heapq.nsmallest(own, [*a[0], *b[0]]), *map(add, a[1:], b[1:])
 
-    def answered(self, sent: RDD, level: int) -> None:
-        back = sent.mapPartitions(lambda rows: _answers(rows, level)).partitionBy(self.given.getNumPartitions(), _as_they_are)
-        self.given = self._padded(self.given, back.getNumPartitions())
-        self.back = back if self.back is None else self.back.union(back).partitionBy(back.getNumPartitions(), _as_they_are)  # both lie alike, nothing moves
+        return self.back.mapPartitions(lambda rows: [reduce(both, (tuple(row[1:]) for _, row in rows if row[0] == FOUND), none)]).treeReduce(both)
 
     def each(self, function) -> RDD:
         """What ``function`` yields of each group."""
         buckets = self.buckets
-        return self._zipped().mapPartitions(lambda rows: (out for group in _groups(rows, buckets) for out in function(group)))
+        rows = self.given if self.back is None else self.back.union(self.given)
+        return rows.mapPartitions(lambda rows: (out for group in _groups(rows, buckets) for out in function(group)))
 
 
-def _frequent(rows: Iterable, own: int, shared: int) -> Iterator[tuple]:
-    """The most frequent tokens of a partition's buckets, all tokens, distinct ones, and both by shared class."""
-    top, total, distinct, sizes = [], 0, 0, np.zeros(shared, np.int64)
-    for _, held in _by_bucket(rows):
-        kinds, _, sums, _ = _summed(held, 1)
-        n = sums.sum(axis=0)
-        seen = np.flatnonzero(n)
-        tokens = kinds.take(pa.array(seen)).to_pylist()
-        total, distinct = total + int(n.sum()), distinct + len(seen)
-        sizes += np.bincount([zlib.crc32(t) % shared for t in tokens], n[seen] + 1, shared).astype(np.int64)
-        top = heapq.nsmallest(own, [*top, *zip((-n[seen]).tolist(), tokens)])
-    yield top, total, distinct, sizes
+def _frequent(kinds: pa.Array, sums: np.ndarray, own: int, shared: int) -> tuple:
+    """The most frequent tokens of a bucket, all tokens, distinct ones, and both by shared class."""
+    n = sums.sum(axis=0)
+    seen = np.flatnonzero(n)
+    tokens = kinds.take(pa.array(seen)).to_pylist()
+    sizes = np.bincount([zlib.crc32(t) % shared for t in tokens], n[seen] + 1, shared).astype(np.int64) if tokens else np.zeros(shared, np.int64)
+    return heapq.nsmallest(own, zip((-n[seen]).tolist(), tokens)), int(n.sum()), len(seen), sizes
 
 
 def _counts(groups: DataFrame, own: int, shared: int) -> tuple[Exchange, tuple]:
     """All counts that the groups need, and what `_frequent` finds in the whole corpus."""
-    exchange = Exchange(groups)
-    sent = exchange.sent(1)
-    found = sent.mapPartitions(lambda rows: _frequent(rows, own, shared)).treeReduce(lambda a, b: (heapq.nsmallest(own, [*a[0], *b[0]]), *map(add, a[1:], b[1:])))
-    exchange.answered(sent, 1)
+    exchange = Exchange(groups, own, shared)
+    exchange.answer(1)
+    found = exchange.found()
     for level in (2, 3):
-        exchange.answered(exchange.sent(level), level)
+        exchange.answer(level)
     return exchange, found
 
 
@@ -531,12 +585,12 @@ def _class_pairs(exchange: Exchange, classes: Classes) -> np.ndarray:
     size = (width + 1) * width
     known = exchange.context.broadcast(classes)
 
-    def counted(zipped):
+    def counted(rows):
         cells = np.zeros(2 * size, np.int64)
-        for group in _groups(zipped, 1):
+        for group in _groups(rows, 1):
             before, after = group.cells(known.value)
             counts = group.role != SCORED
-            cells += np.bincount((group.role.astype(np.int64) * size + before * width + after)[counts], minlength=2 * size)
+            cells += np.bincount((group.role.astype(np.int64) * size + before.astype(np.int64) * width + after)[counts], minlength=2 * size)
         for at in range(0, 2 * size, BLOCK):
             if cells[at : at + BLOCK].any():
                 yield at // BLOCK, _packed(cells[at : at + BLOCK])
@@ -546,7 +600,7 @@ def _class_pairs(exchange: Exchange, classes: Classes) -> np.ndarray:
             yield block, _packed(sum(_unpacked(packed) for _, packed in held))
 
     cells = np.zeros(2 * size)  # whole on the driver: at most twice the square of the classes
-    blocks = exchange.given.glom().map(lambda given: (given, [])).mapPartitions(counted).partitionBy(-(-2 * size // BLOCK), _as_they_are)
+    blocks = exchange.given.mapPartitions(counted).partitionBy(-(-2 * size // BLOCK), _as_they_are)
     for block, packed in blocks.mapPartitions(added).collect():
         part = _unpacked(packed)
         cells[block * BLOCK : block * BLOCK + len(part)] = part
@@ -557,35 +611,35 @@ def _bucket_of(times: np.ndarray) -> np.ndarray:
     return np.minimum(bucket(times), BUCKETS - 1)
 
 
-def _by_class(group: Group, at: np.ndarray, wn: np.ndarray, known: dict) -> np.ndarray:
-    before, after = (x[at] for x in group.cells(known["classes"]))
+def _by_class(cells: tuple[np.ndarray, np.ndarray], at: np.ndarray, wn: np.ndarray, known: dict) -> np.ndarray:
+    before, after = (x[at] for x in cells)
     return known["chance"][before, after] * np.where(after < known["classes"].first, 1, (wn + 1) / known["sizes"][after])
 
 
-def _ratios(group: Group, known: dict) -> Iterator[tuple[tuple, int]]:
-    """Held-out runs, counted by their buckets and by the ratios of their estimates in quarter powers of two."""
+#: Stands for the ratio of a run never seen; the others, quarter powers of two of doubles, are far from it.
+NEVER = -(1 << 15)
+
+
+def _ratios(group: Group, known: dict) -> Iterator[tuple[int, int]]:
+    """Held-out runs, counted by their buckets and by the ratios of their estimates in quarter powers of two, all in one number."""
     if not (group.roles == HELD).any():
         return
     held = np.flatnonzero(group.own_runs[HELD])
     at = group.runs[1][held]
-    un, pn, vn, wn = group.contexts(at, LEARNED)
-    low = _by_class(group, at, wn, known)
-    columns = [_bucket_of(un), _bucket_of(vn)]
+    un, pn, vn, wn = group.contexts(at, group.all_words[0][LEARNED], group.all_pairs[0][LEARNED])
+    low = _by_class(group.cells(known["classes"]), at, wn, known)
+    keys = _bucket_of(un) * BUCKETS + _bucket_of(vn)
     for count, context in ((group.all_runs[LEARNED, held], un), (pn, vn)):
         with np.errstate(divide="ignore"):
             ratio = np.round(4 * np.log2(count / np.maximum(context, 1) / low))
-        columns.append(np.where(count > 0, ratio, NEVER).astype(np.int64))
-    kinds, of = np.unique(np.stack(columns), axis=1, return_inverse=True)
-    yield from zip(map(tuple, kinds.T.tolist()), np.bincount(of.ravel(), group.own_runs[HELD, held]).astype(np.int64).tolist())
-
-
-#: Stands for the ratio of a run never seen.
-NEVER = -(1 << 30)
+        keys = (keys << 16) + (np.where(count > 0, ratio, NEVER).astype(np.int64) - NEVER)
+    kinds, of = np.unique(keys, return_inverse=True)
+    yield from zip(kinds.tolist(), np.bincount(of, group.own_runs[HELD, held]).astype(np.int64).tolist())
 
 
 def learn(docs: DataFrame, apart: Column, settings: Settings = Settings()) -> dict:
     """A model of ``docs`` (doc_id, text); rows where ``apart`` holds set the weights, all rows the counts."""
-    groups = _groups_of(docs, F.when(apart, HELD).otherwise(LEARNED), settings, asks=False)
+    groups = stage_table(_groups_of(docs, F.when(apart, HELD).otherwise(LEARNED), settings, asks=False), "text-groups")
     return _learned(groups, settings)[0]
 
 
@@ -603,24 +657,32 @@ def _learned(groups: DataFrame, settings: Settings) -> tuple[dict, Exchange]:
         sizes[classes.class_of(token)] -= 1 - n
     known = groups.sparkSession.sparkContext.broadcast({"classes": classes, "chance": learned_chance, "sizes": sizes})
     ratios = sorted(exchange.each(lambda group: _ratios(group, known.value)).reduceByKey(add).collect())  # few distinct ratios
-    b3, b2, q3, q2 = np.array([key for key, _ in ratios], np.int64).reshape(-1, 4).T
-    times = np.array([n for _, n in ratios], np.int64)
+    keys, times = np.array(ratios, np.int64).reshape(-1, 2).T
+    b3, b2 = np.divmod(keys >> 32, BUCKETS)
+    q3, q2 = ((keys >> k & 0xFFFF) + NEVER for k in (16, 0))
     estimates = [np.where(q == NEVER, 0, 2.0 ** (q / 4)) for q in (q3, q2)]
     found = run_weights(b3, b2, np.stack([*estimates, np.ones(len(times))], axis=1), times, settings.steps)
     model = {"groups": groups, "own": own, "total": total, "distinct": distinct, "chance": chance, "sizes": sizes, "settings": settings, "run_weights": found}
     return model, exchange
 
 
+#: Runs whose chances are worked out at once, so that memory follows these, not the group.
+SCORES = 1 << 16
+
+
 def _scored(group: Group, known: dict) -> Iterator[tuple]:
     """A row for each text of a group."""
     if not group.row["asks"]:
         return
-    words = group.all_words[0].sum(axis=0)
-    at = group.runs[1]
-    un, pn, vn, wn = group.contexts(at)
-    three, two, low = known["run_weights"][_bucket_of(un) * BUCKETS + _bucket_of(vn)].T
-    chance = three * group.all_runs.sum(axis=0) / np.maximum(un, 1) + two * pn / np.maximum(vn, 1) + low * _by_class(group, at, wn, known)
-    sums = [np.add.reduceat(x, group.starts).tolist() for x in ((words > 0).astype(np.int64)[group.ids], np.log10((words + 1) / known["scale"])[group.ids], np.log10(chance)[group.runs[2]])]
+    words, pairs, runs = (c.sum(axis=0) for c in (group.all_words[0], group.all_pairs[0], group.all_runs))
+    cells, logs = group.cells(known["classes"]), np.empty(len(runs))
+    for block in range(0, len(runs), SCORES):
+        part = slice(block, block + SCORES)
+        at = group.runs[1][part]
+        un, pn, vn, wn = group.contexts(at, words, pairs)
+        three, two, low = known["run_weights"][_bucket_of(un) * BUCKETS + _bucket_of(vn)].T
+        logs[part] = np.log10(three * runs[part] / np.maximum(un, 1) + two * pn / np.maximum(vn, 1) + low * _by_class(cells, at, wn, known))
+    sums = [np.add.reduceat(x, group.starts).tolist() for x in ((words > 0).astype(np.int64)[group.ids], np.log10((words + 1) / known["scale"])[group.ids], logs[group.runs[2]])]
     for doc, n, seen, base, score_ in zip(group.row["doc_ids"], group.lengths.tolist(), *sums):
         yield doc, n, seen, known["total"], base, score_
 
@@ -652,7 +714,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def learn_and_score(docs: DataFrame, learned: Column, apart: Column, settings: Settings = Settings()) -> DataFrame:
-    """`score` of all ``docs`` by the model of those where ``learned`` holds; of these, rows where ``apart`` holds set the weights."""
+    """`score` of all ``docs`` by the model of those where ``learned`` holds; of these, rows where ``apart`` holds set the weights.
+
+    Texts are read once, unless an executor is lost: then its part is read again and must give the same rows in the same
+    order, as files do, or the run fails. Where rows may differ, write them first.
+    """
     groups = _groups_of(docs, F.when(learned, F.when(apart, HELD).otherwise(LEARNED)).otherwise(SCORED), settings)
     model, exchange = _learned(groups, settings)
     return _scores(exchange, model, docs.schema)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -568,3 +569,25 @@ def test_coder_remembers_what_it_meets_again(monkeypatch):
         assert byte_bpe.np.frombuffer(got, "<u4").tolist() == plain.encode_ordinary(text)
         most = max(most, *(len(m.young) + len(m.old) for m in (coder.chunks, coder.tokens)))
     assert most < 2 * (400 + 102) and encoded.count(b" zqxjkvb") == 1
+
+
+def test_tokens_of_many_texts_at_once():
+    """Words are split and numbered without a step for each; with that, the language model keeps within its time."""
+    chars = " \t\n\r\x0b\x0cAbÄİ\x1c\x1f\x85\xa0\x00z"
+    texts = [None, "", " ", "\n\t", "a", " A b\t\tc ", *("".join(chars[(i * i + 7 * k * i + k) % len(chars)] for k in range(i % 23)) for i in range(300))]
+    ids, lengths, words = lm_score._tokens(pa.array(texts))
+    tokens = iter([words[i].as_py() for i in ids.tolist()])
+    assert [[next(tokens) for _ in range(n)] for n in lengths.tolist()] == [lm_score.tokens_of(t) for t in texts]
+
+
+def test_language_model_moves_groups_once(spark):
+    """Groups and counts share the rule they are dealt by: a union keeps the partitions, so no task holds lists of both."""
+    docs = frame(spark, [(i, f"w{i % 5} w{i % 3} x{i} y") for i in range(60)])
+    settings = lm_score.Settings(own=3, shared=2, buffered=60, buffered_runs=50)
+    groups = lm_score._groups_of(docs, F.when(F.col("doc_id") % 7 == 0, lm_score.HELD).otherwise(lm_score.LEARNED), settings)
+    assert [r.group for r in groups.select("group").orderBy("group").collect()] == [r.group for r in groups.select("group").orderBy("group").collect()]
+    exchange, _ = lm_score._counts(groups, settings.own, settings.shared)
+    assert exchange.back.union(exchange.given).getNumPartitions() == exchange.given.getNumPartitions()
+    seen = exchange.each(lambda group: [(int(group.own_words.sum()), dict(zip(group.words, group.all_words[0].sum(axis=0).tolist())))]).collect()
+    assert len(seen) > 2 and sum(n for n, _ in seen) == 300
+    assert {n for _, words in seen for word, n in words.items() if word in (b"y", b"")} == {60}
