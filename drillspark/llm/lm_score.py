@@ -506,6 +506,15 @@ def _as_they_are(key: int) -> int:
     return key
 
 
+#: Bytes of text, about 2 million tokens, for which there is a bucket of keys.
+BUCKET = 12 << 20
+
+
+def _bytes(docs: DataFrame) -> int:
+    """The bytes of all texts, for the number of buckets; only sizes are read for it, no text is split."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
 #: Bytes of a file of texts or of packed groups that one task reads, and so keeps packed.
 READ = 16 << 20
 
@@ -516,7 +525,7 @@ class Exchange:
     Both are dealt to the same partitions by the same rule, so their union reads a partition of each and nothing moves.
     """
 
-    def __init__(self, groups: DataFrame, own: int, shared: int):
+    def __init__(self, groups: DataFrame, size: int, own: int, shared: int):
         spark = groups.sparkSession
         self.context, self.own, self.shared = spark.sparkContext, own, shared
         packed = lambda p: (p.n, p.width, bytes(p.data))
@@ -529,8 +538,7 @@ class Exchange:
             self.given = read.partitionBy(max(1, read.getNumPartitions()), _as_they_are)
         finally:
             spark.conf.set(name, before)
-        tokens = self.given.map(lambda row: row[1][1 + _GROUP.index("tokens")]).sum()
-        self.buckets = max(self.context.defaultParallelism, -(-tokens // (1 << 21)))
+        self.buckets = max(self.context.defaultParallelism, -(-size // BUCKET))
         self.back = None
 
     def answer(self, level: int) -> None:
@@ -565,9 +573,9 @@ def _frequent(kinds: pa.Array, sums: np.ndarray, own: int, shared: int) -> tuple
     return heapq.nsmallest(own, zip((-n[seen]).tolist(), tokens)), int(n.sum()), len(seen), sizes
 
 
-def _counts(groups: DataFrame, own: int, shared: int) -> tuple[Exchange, tuple]:
-    """All counts that the groups need, and what `_frequent` finds in the whole corpus."""
-    exchange = Exchange(groups, own, shared)
+def _counts(groups: DataFrame, size: int, own: int, shared: int) -> tuple[Exchange, tuple]:
+    """All counts that the groups of ``size`` bytes of text need, and what `_frequent` finds in the whole corpus."""
+    exchange = Exchange(groups, size, own, shared)
     exchange.answer(1)
     found = exchange.found()
     for level in (2, 3):
@@ -640,12 +648,12 @@ def _ratios(group: Group, known: dict) -> Iterator[tuple[int, int]]:
 def learn(docs: DataFrame, apart: Column, settings: Settings = Settings()) -> dict:
     """A model of ``docs`` (doc_id, text); rows where ``apart`` holds set the weights, all rows the counts."""
     groups = stage_table(_groups_of(docs, F.when(apart, HELD).otherwise(LEARNED), settings, asks=False), "text-groups")
-    return _learned(groups, settings)[0]
+    return _learned(groups, _bytes(docs), settings)[0]
 
 
-def _learned(groups: DataFrame, settings: Settings) -> tuple[dict, Exchange]:
+def _learned(groups: DataFrame, size: int, settings: Settings) -> tuple[dict, Exchange]:
     """The model of the groups, and their counts."""
-    exchange, (top, total, distinct, kinds) = _counts(groups, settings.own, settings.shared)
+    exchange, (top, total, distinct, kinds) = _counts(groups, size, settings.own, settings.shared)
     own = {token: i for i, (_, token) in enumerate(top)}
     classes = Classes(own, settings.own, settings.shared)
     learned, held = _class_pairs(exchange, classes)
@@ -662,7 +670,7 @@ def _learned(groups: DataFrame, settings: Settings) -> tuple[dict, Exchange]:
     q3, q2 = ((keys >> k & 0xFFFF) + NEVER for k in (16, 0))
     estimates = [np.where(q == NEVER, 0, 2.0 ** (q / 4)) for q in (q3, q2)]
     found = run_weights(b3, b2, np.stack([*estimates, np.ones(len(times))], axis=1), times, settings.steps)
-    model = {"groups": groups, "own": own, "total": total, "distinct": distinct, "chance": chance, "sizes": sizes, "settings": settings, "run_weights": found}
+    model = {"groups": groups, "bytes": size, "own": own, "total": total, "distinct": distinct, "chance": chance, "sizes": sizes, "settings": settings, "run_weights": found}
     return model, exchange
 
 
@@ -709,7 +717,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     settings: Settings = model["settings"]
     groups = _groups_of(docs, F.lit(SCORED), settings)
     learned = model["groups"].withColumn("doc_ids", F.lit(None).cast(groups.schema["doc_ids"].dataType))
-    exchange, _ = _counts(learned.unionByName(groups), settings.own, settings.shared)
+    exchange, _ = _counts(learned.unionByName(groups), model["bytes"] + _bytes(docs), settings.own, settings.shared)
     return _scores(exchange, model, docs.schema)
 
 
@@ -720,5 +728,5 @@ def learn_and_score(docs: DataFrame, learned: Column, apart: Column, settings: S
     order, as files do, or the run fails. Where rows may differ, write them first.
     """
     groups = _groups_of(docs, F.when(learned, F.when(apart, HELD).otherwise(LEARNED)).otherwise(SCORED), settings)
-    model, exchange = _learned(groups, settings)
+    model, exchange = _learned(groups, _bytes(docs), settings)
     return _scores(exchange, model, docs.schema)

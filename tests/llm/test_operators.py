@@ -586,7 +586,7 @@ def test_language_model_moves_groups_once(spark):
     settings = lm_score.Settings(own=3, shared=2, buffered=60, buffered_runs=50)
     groups = lm_score._groups_of(docs, F.when(F.col("doc_id") % 7 == 0, lm_score.HELD).otherwise(lm_score.LEARNED), settings)
     assert [r.group for r in groups.select("group").orderBy("group").collect()] == [r.group for r in groups.select("group").orderBy("group").collect()]
-    exchange, _ = lm_score._counts(groups, settings.own, settings.shared)
+    exchange, _ = lm_score._counts(groups, lm_score._bytes(docs), settings.own, settings.shared)
     assert exchange.back.union(exchange.given).getNumPartitions() == exchange.given.getNumPartitions()
     seen = exchange.each(lambda group: [(int(group.own_words.sum()), dict(zip(group.words, group.all_words[0].sum(axis=0).tolist())))]).collect()
     assert len(seen) > 2 and sum(n for n, _ in seen) == 300
